@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from waymark.llm import bpe
+from waymark.llm import bpe, decontaminate
 
 QUERIES = {
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op8_bpe": bpe.op8_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_decontaminate": decontaminate.OP5_SQL}
