@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from waymark.llm import bpe, decontaminate
+from waymark.llm import bpe, decontaminate, langid
 
 QUERIES = {
+    "op2_langid": langid.op2_langid,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op8_bpe": bpe.op8_bpe,
 }
