@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from waymark.llm import bpe, decontaminate, langid
+from waymark.llm import bpe, decontaminate, langid, quality
 
 QUERIES = {
     "op2_langid": langid.op2_langid,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op8_bpe": bpe.op8_bpe,
+    "op10_quality": quality.op10_quality,
 }
 ORACLES: dict[str, str] = {"op5_decontaminate": decontaminate.OP5_SQL}
