@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from waymark.llm import bpe, decontaminate, langid, quality
+from waymark.llm import bpe, decontaminate, langid, quality, simhash
 
 QUERIES = {
     "op2_langid": langid.op2_langid,
+    "op3_simhash": simhash.op3_simhash,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op8_bpe": bpe.op8_bpe,
     "op10_quality": quality.op10_quality,
