@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from waymark.llm import bpe, decontaminate, langid, quality, simhash
+from waymark.llm import bpe, decontaminate, langid, quality, shards, simhash
 
 QUERIES = {
     "op2_langid": langid.op2_langid,
     "op3_simhash": simhash.op3_simhash,
+    "op4_shards": shards.op4_shards,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op8_bpe": bpe.op8_bpe,
     "op10_quality": quality.op10_quality,
