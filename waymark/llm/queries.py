@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from waymark.llm import bpe, decontaminate, langid, quality, shards, simhash
+from waymark.llm import bpe, decontaminate, extract, langid, quality, shards, simhash
 
 QUERIES = {
+    "op1_extract": extract.op1_extract,
     "op2_langid": langid.op2_langid,
     "op3_simhash": simhash.op3_simhash,
     "op4_shards": shards.op4_shards,
