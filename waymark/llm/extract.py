@@ -1,7 +1,7 @@
 """Main text of web pages from a tree-structured graphical model over the DOM.
 
 Every block element is a node with two states, main text or not. A node's evidence is its tag, the words of its class,
-id and role, the tag above it, the length and link share of its own text and its part of the page's text; parent and child are tied by a potential.
+id and role, the two tags above it, the length and link share of its own text and its part of the page's text; parent and child are tied by a potential.
 Sum-product messages pass from the leaves to the root and back and give each element's marginal. All potentials are
 estimated, with smoothing, from labelled pages. Blocks of elements that are more likely main text than not are kept.
 
@@ -22,7 +22,7 @@ from waymark.llm.common import arrow_map, read_table
 from waymark.llm.dom import Page
 from waymark.llm.page_labels import labelled_pages
 
-TRAINING_PAGES = 600
+TRAINING_PAGES = 1200
 
 
 def evidence(page: Page) -> list[list[str]]:
@@ -43,7 +43,9 @@ def evidence(page: Page) -> list[list[str]]:
         share = ("tiny" if part < 0.03 else "small" if part < 0.15 else "half" if part < 0.5 else "most") + (":links" if 2 * links[k] > below[k] else "")
         kind = "none" if not size else ("short" if size < 30 else "middle" if size < 120 else "long") + (":links" if 2 * linked[k] > size else ":end" if dots[k] else ":open")
         over = tags[page.parents[k]] if k else ""
-        out.append([f"tag={tags[k]}", f"path={over}>{tags[k]}", f"share={share}:{size > 0}", f"own={kind}", *(f"word={w}" for w in set(page.words[k]))])
+        above = tags[page.parents[page.parents[k]]] if k and page.parents[k] else ""
+        linked_own = ":links" if 2 * linked[k] > size else ""
+        out.append([f"tag={tags[k]}", f"path={over}>{tags[k]}{linked_own}", f"line={above}>{over}>{tags[k]}{linked_own}", f"share={share}:{size > 0}", f"own={kind}", *(f"word={w}" for w in set(page.words[k])), *(f"over={w}" for w in (set(page.words[page.parents[k]]) if k else ()))])
     return out
 
 
