@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waymark.llm import bpe, decontaminate, extract, langid, quality, shards, simhash
+from waymark.llm import bpe, decontaminate, extract, graph, langid, quality, shards, simhash
 
 QUERIES = {
     "op1_extract": extract.op1_extract,
@@ -11,6 +11,10 @@ QUERIES = {
     "op4_shards": shards.op4_shards,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op8_bpe": bpe.op8_bpe,
+    "op9_repeats": graph.op9_repeats,
     "op10_quality": quality.op10_quality,
 }
-ORACLES: dict[str, str] = {"op5_decontaminate": decontaminate.OP5_SQL}
+ORACLES: dict[str, str] = {
+    "op5_decontaminate": decontaminate.OP5_SQL,
+    "op9_repeats": graph.OP9_SQL,
+}
