@@ -18,23 +18,36 @@ from pyspark.sql import functions as F
 from waymark.llm.common import Shared, U64, gram_hash, mix, pieces, total_bytes
 from waymark.llm.features import BASE, powers
 
-#: Low bits of a composite key that hold the position in the document.
+#: Low bits of a composite key that hold the position in a block of the document.
 POSITION_BITS = U64(28)
 POSITION = U64((1 << 28) - 1)
 GRAM_BASE = U64(0x9FB21C651E98DF25)
 #: Segments that a task holds before it writes them out.
 FLUSH = 1_500_000
+#: Windows of a document that are hashed at once.
+BLOCK = 1 << 19
 #: Bytes of text that a part of the documents and a bucket of segments are meant to stand for.
 PART_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 NO_ID = -(1 << 63)
 
 
 def segments(tokens: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows, hash of the anchor and hash of the content of every segment of one document."""
-    none = np.zeros(0, np.int64)
+    """First window, number of windows, hash of the anchor and hash of the content of every segment of one document.
+
+    Long documents are taken in blocks; a segment that a block cuts in two has the same anchor on both sides.
+    """
     n = len(tokens) - width + 1
     if n <= 0:
+        none = np.zeros(0, np.int64)
         return none, none, np.zeros(0, U64), np.zeros(0, U64)
+    if n <= BLOCK:
+        return block_segments(tokens, n, width, gram)
+    found = [block_segments(tokens[x : x + BLOCK + width - 1], min(BLOCK, n - x), width, gram) for x in range(0, n, BLOCK)]
+    starts = np.concatenate([f[0] + k * BLOCK for k, f in enumerate(found)])
+    return starts, *(np.concatenate([f[k] for f in found]) for k in (1, 2, 3))
+
+
+def block_segments(tokens: np.ndarray, n: int, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     grams = mix(gram_hash(tokens, gram, GRAM_BASE))
     key = (grams & ~POSITION) | np.arange(len(grams), dtype=U64)
     span, size = width - gram + 1, 1
@@ -45,7 +58,8 @@ def segments(tokens: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.
     at = np.flatnonzero(key[1:] != key[:-1]) + 1
     starts = np.concatenate(([0], at))
     counts = np.diff(np.append(starts, n))
-    anchors = mix(grams[(key[starts] & POSITION).astype(np.int64)] + U64(BASE))  # least values are small: mixed anew, to deal evenly
+    # least values are small: mixed anew, to deal evenly
+    anchors = mix(grams[(key[starts] & POSITION).astype(np.int64)] + U64(BASE))
     up, down = powers(len(tokens) + 1)
     total = np.zeros(len(tokens) + 1, U64)
     np.cumsum(tokens * up[:-1], out=total[1:])

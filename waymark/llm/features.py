@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 U32 = np.uint32
 #: Odd multipliers of the hashes of character n-grams, one row per length.
@@ -12,6 +13,8 @@ BYTE_VALUES = _rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint
 BASE = 0xD1342543DE82EF95
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes that are hashed at once.
+BLOCK = 1 << 19
 _powers = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
 
@@ -41,6 +44,20 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     """A 64-bit hash of every word, equal for equal bytes."""
     if not len(starts):
         return np.zeros(0, np.uint64)
+    if len(raw) > BLOCK:  # long texts in blocks of words, very long words on their own
+        out, long = np.zeros(len(starts), np.uint64), ends - starts > BLOCK
+        for i in np.flatnonzero(long):
+            out[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]].tobytes(), 1)
+        for k in np.unique(starts // BLOCK):
+            at = np.flatnonzero((starts // BLOCK == k) & ~long)
+            if len(at):
+                x = starts[at[0]]
+                out[at] = block_hashes(raw[x : ends[at[-1]]], starts[at] - x, ends[at] - x)
+        return out
+    return block_hashes(raw, starts, ends)
+
+
+def block_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(BYTE_VALUES[raw] * up[:-1], out=total[1:])

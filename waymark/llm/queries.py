@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waymark.llm import bpe, decontaminate, extract, graph, langid, quality, shards, simhash, suffixes
+from waymark.llm import bpe, decontaminate, extract, graph, langid, lm, quality, shards, simhash, suffixes
 
 QUERIES = {
     "op1_extract": extract.op1_extract,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op4_shards": shards.op4_shards,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_suffix_tree": lm.op6_suffix_tree,
     "op7_suffixes": suffixes.op7_suffixes,
     "op8_bpe": bpe.op8_bpe,
     "op9_repeats": graph.op9_repeats,
