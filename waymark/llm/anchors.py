@@ -280,8 +280,9 @@ class Repeats:
             rows.append((int(buckets[o[0]]), docs[o].tobytes(), starts[o].tobytes(), counts[o].tobytes(), keys[o].astype(np.uint32).tobytes(), b"".join([payload[i] or b"" for i in o.tolist()])))
         return table_of(rows, CONTENT)
 
-    def find(self, docs: DataFrame, id_col: str, text_col: str, finish: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-        """Runs the passes and hands ``finish`` each part's texts (id, text) and removals (rows of FOUND)."""
+    def find(self, docs: DataFrame, id_col: str, text_col: str, finish: Callable[[pa.Table, pa.Table], pa.Table], schema: str, keep: tuple[str, ...] = ()) -> DataFrame:
+        """Runs the passes and hands ``finish`` each part's texts (id, text, the columns to keep as k0, k1, ...) and
+        removals (rows of FOUND)."""
         shared, size = Shared(docs.sparkSession), total_bytes(docs, text_col)
         parts, bits = pieces(size, PART_BYTES), pieces(size, BUCKET_BYTES).bit_length() - 1
         first, contents, settle = self.first_pass, self.contents, self.settle
@@ -289,7 +290,11 @@ class Repeats:
         found, _ = shared.put(dealt.groupBy("bucket").applyInArrow(lambda key, table: first(key, table, parts), FOUND))
         texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), part_column(id_col, parts).alias("part"))
         by_part = texts.groupBy("part")
-        asked = by_part.cogroup(found.where(F.col("kind") == ASK).groupBy("part")).applyInArrow(lambda texts, asked: contents(texts, asked), CONTENT)
+        if keep:
+            more = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
+            whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *more, part_column(id_col, parts).alias("part"))
+            by_part = whole.groupBy("part")
+        asked = texts.groupBy("part").cogroup(found.where(F.col("kind") == ASK).groupBy("part")).applyInArrow(lambda texts, asked: contents(texts, asked), CONTENT)
         more = asked.groupBy("bucket").applyInArrow(lambda table: table_of(settle(table, parts), FOUND), FOUND)
         cuts = found.where(F.col("kind") == CUT).unionByName(more)
         return by_part.cogroup(cuts.groupBy("part")).applyInArrow(finish, schema)

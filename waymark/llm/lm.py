@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +28,10 @@ from waymark.llm.anchors import PART_BYTES, joined
 from waymark.llm.common import U64, Shared, pieces, read_table
 from waymark.llm.features import word_bounds, word_hashes
 
-DEPTH = 4
-LEAST_SHARE = 5e-5
+DEPTH = 5
+LEAST_SHARE = 4e-6
+#: The most states that a tree keeps, those of most gain (with their suffixes): the bound of what is broadcast.
+MOST_STATES = 60_000
 START, END = 0xFE, 0xFF  # bytes that UTF-8 never holds
 END_TOKEN = U64(0x5851F42D4C957F2D)
 #: Bytes of text whose grams are counted or scored at once, and grams that a task holds before it writes them out.
@@ -77,6 +80,16 @@ def summed(codes: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np
     return codes[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Small integers, compressed byte plane by byte plane."""
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(U64).ravel()
+
+
 def gram_counts(texts: DataFrame, bits: int) -> DataFrame:
     """Packed gram counts of the texts, by bucket of the two nearest context bytes."""
 
@@ -86,7 +99,7 @@ def gram_counts(texts: DataFrame, bits: int) -> DataFrame:
         where = ((near * U64(0x9E3779B97F4A7C15)) >> U64(64 - bits)).astype(np.int32)
         order = np.argsort(where, kind="stable")
         cuts = np.append(np.flatnonzero(np.diff(where[order], prepend=-1)), len(order))
-        rows = [(int(where[order[a]]), codes[order[a:z]].tobytes(), counts[order[a:z]].astype(np.int64).tobytes()) for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        rows = [(int(where[order[a]]), packed(np.diff(codes[order[a:z]], prepend=U64(0))), packed(counts[order[a:z]].astype(U64))) for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "codes", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +121,8 @@ def gram_counts(texts: DataFrame, bits: int) -> DataFrame:
 
 def frequent(table: pa.Table, least: float) -> pa.Table:
     """Next-symbol counts of the frequent contexts of depth 2 to DEPTH in a bucket, and of all of depth 1."""
-    codes, counts = summed(joined(table, "codes", U64), joined(table, "counts", np.int64))
+    codes = np.concatenate([np.cumsum(unpacked(x.as_py()), dtype=U64) for x in table.column("codes")])
+    codes, counts = summed(codes, np.concatenate([unpacked(x.as_py()) for x in table.column("counts")]).astype(np.int64))
     out = []
     for d in range(1, DEPTH + 1):
         own, n = summed(codes & U64((1 << (8 * (d + 1))) - 1), counts)
@@ -123,46 +137,59 @@ def frequent(table: pa.Table, least: float) -> pa.Table:
 
 class SuffixTree:
     """States as rows: next state by the byte further back, and log10 probability of the next symbol. Row 0 is none,
-    row 1 the empty context."""
+    row 1 the empty context. Bytes that training texts lack share the last column."""
 
-    def __init__(self, counts: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
+    def __init__(self, counts: dict[int, tuple[np.ndarray, np.ndarray]], most: int = MOST_STATES) -> None:
         """counts: for each depth sorted codes (context and next symbol) and their counts."""
         codes, n = counts.get(1, (np.zeros(0, U64), np.zeros(0, np.int64)))
-        root = np.bincount((codes & U64(255)).astype(np.int64), n, 256) + 0.5
-        root[START] = 0
-        nodes = {(0, 0): (root / root.sum(), 0.0)}  # (depth, context): distribution, what keeping it gains
+        root = np.bincount((codes & U64(255)).astype(np.int64), n, 256)
+        used = np.flatnonzero((root > 0) | (np.arange(256) == START))
+        self.column = np.full(256, len(used), np.uint8)
+        self.column[used] = np.arange(len(used))
+        width = len(used) + 1
+        root = np.append(root[used], 0) + 0.5
+        root[self.column[START]] = 1e-9
+        levels = [(np.zeros(1, np.int64), (root / (root.sum() + 0.5 * (256 - width)))[None].astype(np.float32), np.full(1, np.inf))]
         for d in range(1, DEPTH + 1):
             codes, n = counts.get(d, (codes[:0], n[:0]))
-            context = (codes >> U64(8)).astype(np.int64)
-            at = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(context) else []
-            for a, z in zip(at, np.append(at[1:], len(context)) if len(at) else []):
-                s, total, up = int(context[a]), int(n[a:z].sum()), (d - 1, int(context[a]) & ((1 << (8 * (d - 1))) - 1))
-                if up not in nodes:
-                    continue
-                parent, x, k = nodes[up][0], (codes[a:z] & U64(255)).astype(np.int64), z - a
-                p = k * parent
-                p[x] += n[a:z]
-                # k is how many symbols were seen: Witten and Bell's weight of the parent
-                gain = float((n[a:z] * np.log(n[a:z] / total / parent[x])).sum()) - 0.5 * k * np.log(total)
-                nodes[d, s] = (p / (total + k), gain)
-        kept = {(0, 0)}
-        for d, s in sorted(nodes, reverse=True):
-            if nodes[d, s][1] > 0 or (d, s) in kept:
-                kept.update((e, s & ((1 << (8 * e)) - 1)) for e in range(d + 1))
-        order = {key: i + 1 for i, key in enumerate(sorted(kept))}
-        self.next = np.zeros((len(order) + 1, 256), np.int32)
-        self.logp = np.zeros((len(order) + 1, 256), np.float32)
-        for (d, s), i in order.items():
-            with np.errstate(divide="ignore"):
-                self.logp[i] = np.where(nodes[d, s][0] > 0, np.log10(nodes[d, s][0]), 0)
+            context, symbol = (codes >> U64(8)).astype(np.int64), self.column[(codes & U64(255)).astype(np.int64)]
+            up, dist, _ = levels[-1]
+            at = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(context) else np.zeros(0, np.int64)
+            k = np.diff(np.append(at, len(context)))
+            parent = np.searchsorted(up, context[at] & ((1 << (8 * (d - 1))) - 1))  # a frequent context's suffix is frequent
+            row = np.repeat(np.arange(len(at)), k)
+            total = np.bincount(row, n, len(at))
+            p = dist[parent] * k[:, None]
+            before = dist[parent[row], symbol]
+            p[row, symbol] += n
+            p /= (total + k)[:, None]  # Witten and Bell: the parent weighs as many rows as symbols were seen
+            gain = np.bincount(row, n * np.log(n / total[row] / before), len(at)) - 0.5 * k * np.log(np.maximum(total, 2))
+            levels.append((context[at], p.astype(np.float32), gain))
+        gains = np.sort(np.concatenate([g[g > 0] for _, _, g in levels[1:]]))
+        least = gains[-most] if len(gains) > most else 0.0
+        kept = [g > least if least == 0 else g >= least for _, _, g in levels]
+        for d in range(DEPTH, 1, -1):  # a state's suffixes are states
+            kept[d - 1][np.searchsorted(levels[d - 1][0], levels[d][0][kept[d]] & ((1 << (8 * (d - 1))) - 1))] = True
+        first = np.cumsum([1, *(k.sum() for k in kept)])
+        self.next = np.zeros((int(first[-1]), width), np.int32)
+        self.logp = np.zeros((int(first[-1]), width), np.float32)
+        above = np.zeros(1, np.int64)
+        for d, ((context, p, _), good) in enumerate(zip(levels, kept)):
+            own = context[good]
+            rows = first[d] + np.arange(len(own))
+            self.logp[rows] = np.log10(p[good])
             if d:
-                self.next[order[d - 1, s & ((1 << (8 * (d - 1))) - 1)], s >> (8 * (d - 1))] = i
+                up = first[d - 1] + np.searchsorted(above, own & ((1 << (8 * (d - 1))) - 1))
+                self.next[up, self.column[own >> (8 * (d - 1))]] = rows
+            above = own
+        self.next[:, -1] = 0
 
     def scores(self, stream: np.ndarray, n: int) -> np.ndarray:
         """log10 probability of each of the n texts of a stream."""
         out = np.zeros(n)
         ends = np.flatnonzero(stream == END)
-        done, flat, logp = 0, self.next.ravel(), self.logp.ravel()
+        flat, logp, width = self.next.ravel(), self.logp.ravel(), self.next.shape[1]
+        columns = self.column[stream]
         for x in range(0, len(stream), 1 << 20):  # so that a long text takes no more memory
             at = np.arange(x, min(x + (1 << 20), len(stream)))
             at = at[stream[at] != START]
@@ -170,9 +197,9 @@ class SuffixTree:
                 continue
             state, walk = np.ones(len(at), np.int64), np.ones(len(at), np.int64)
             for d in range(1, DEPTH + 1):
-                walk = flat[(walk << 8) | stream[at - d]].astype(np.int64)
+                walk = flat[walk * width + columns[at - d]].astype(np.int64)
                 np.copyto(state, walk, where=walk > 0)
-            p = logp[(state << 8) | stream[at]].astype(np.float64)
+            p = logp[state * width + columns[at]].astype(np.float64)
             of = np.searchsorted(ends, at)
             out += np.bincount(of, p, n)
         return out
