@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import Shared, U64, gram_hash, mix, pieces, total_bytes
+from waymark.llm.common import Shared, U64, gram_hash, mix, pieces, total_bytes, trim
 from waymark.llm.features import BASE, powers
 
 #: Low bits of a composite key that hold the position in a block of the document.
@@ -23,7 +23,7 @@ POSITION_BITS = U64(28)
 POSITION = U64((1 << 28) - 1)
 GRAM_BASE = U64(0x9FB21C651E98DF25)
 #: Segments that a task holds before it writes them out.
-FLUSH = 1_500_000
+FLUSH = 400_000
 #: Windows of a document that are hashed at once.
 BLOCK = 1 << 19
 #: Bytes of text that a part of the documents and a bucket of segments are meant to stand for.
@@ -213,6 +213,7 @@ def deal(docs: DataFrame, id_col: str, text_col: str, bits: int, cut: Callable[[
                 if dealer.held >= FLUSH:
                     yield from dealer.out()
         yield from dealer.out()
+        trim()
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, Dealer.schema)
 
@@ -286,8 +287,19 @@ class Repeats:
         shared, size = Shared(docs.sparkSession), total_bytes(docs, text_col)
         parts, bits = pieces(size, PART_BYTES), pieces(size, BUCKET_BYTES).bit_length() - 1
         first, contents, settle = self.first_pass, self.contents, self.settle
+
+        def settled(table: pa.Table) -> pa.Table:
+            out = table_of(settle(table, parts), FOUND)
+            trim()
+            return out
+
+        def met(key: tuple, table: pa.Table) -> pa.Table:
+            out = first(key, table, parts)
+            trim()
+            return out
+
         dealt = deal(docs, id_col, text_col, bits, self.cut)
-        found, _ = shared.put(dealt.groupBy("bucket").applyInArrow(lambda key, table: first(key, table, parts), FOUND))
+        found, _ = shared.put(dealt.groupBy("bucket").applyInArrow(met, FOUND))
         texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), part_column(id_col, parts).alias("part"))
         by_part = texts.groupBy("part")
         if keep:
@@ -295,7 +307,7 @@ class Repeats:
             whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *more, part_column(id_col, parts).alias("part"))
             by_part = whole.groupBy("part")
         asked = texts.groupBy("part").cogroup(found.where(F.col("kind") == ASK).groupBy("part")).applyInArrow(lambda texts, asked: contents(texts, asked), CONTENT)
-        more = asked.groupBy("bucket").applyInArrow(lambda table: table_of(settle(table, parts), FOUND), FOUND)
+        more = asked.groupBy("bucket").applyInArrow(settled, FOUND)
         cuts = found.where(F.col("kind") == CUT).unionByName(more)
         return by_part.cogroup(cuts.groupBy("part")).applyInArrow(finish, schema)
 

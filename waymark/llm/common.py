@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,8 +18,28 @@ U64 = np.uint64
 GOLDEN = U64(0x9E3779B97F4A7C15)
 
 
+#: Rows and bytes of a batch that goes to a Python worker; a longer row is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:
+    _libc = None
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, so that what one task held is there for the next."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the corpus tables, by a path that Spark's readers open."""
+    """One of the corpus tables, by a path that Spark's readers open; batches for Python workers are kept small."""
+    for name_, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name_}"
+        held = int(re.match("-?[0-9]+", spark.conf.get(key))[0])
+        if held <= 0 or held > most:
+            spark.conf.set(key, str(most))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -87,7 +87,7 @@ def spans_of(cuts: pa.Table) -> tuple[np.ndarray, ...]:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: the id, the columns to keep, n_words, n_removed, kept (the text without the removed words) and spans, an array of
+    """Per row: the id, the columns to keep (as _keep0, _keep1, ...), n_words, n_removed, kept (the text without the removed words) and spans, an array of
     (start, words, source, source_start) in words; with ``digest``, kept_sha256 of the kept words joined by one space
     stands for kept and spans."""
     plan = WordRepeats()
@@ -107,16 +107,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 words = raw.split()
                 kept.append(hashlib.sha256(b" ".join(words if gone is None else [w for w, g in zip(words, gone.tolist()) if not g])).hexdigest())
             else:
-                kept.append(raw.decode("utf-8", "surrogatepass") if gone is None else without(raw, a, z, gone))
+                kept.append(text.as_py() if gone is None else without(raw, a, z, gone))
                 spans.append([{"start": s, "words": c + WIDTH - 1, "source": d, "source_start": p} for s, c, d, p in zip(starts[x:y].tolist(), counts[x:y].tolist(), src[x:y].tolist(), at[x:y].tolist())])
-        columns = {id_col: pa.array(ids, pa.int64())} | {c: texts.column(f"k{i}") for i, c in enumerate(keep)} | {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64())}
+        columns = {id_col: pa.array(ids, pa.int64())} | {f"_keep{i}": texts.column(f"k{i}") for i in range(len(keep))} | {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64())}
         if digest:
             return pa.table(columns | {"kept_sha256": pa.array(kept, pa.string())})
         kind = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("source", pa.int64()), ("source_start", pa.int64())]))
         return pa.table(columns | {"kept": pa.array(kept, pa.string()), "spans": pa.array(spans, kind)})
 
     types = dict(docs.dtypes)
-    schema = f"`{id_col}` long, " + "".join(f"`{c}` {types[c]}, " for c in keep) + "n_words long, n_removed long, " + ("kept_sha256 string" if digest else "kept string, spans array<struct<start:long,words:long,source:long,source_start:long>>")
+    schema = f"`{id_col}` long, " + "".join(f"_keep{i} {types[c]}, " for i, c in enumerate(keep)) + "n_words long, n_removed long, " + ("kept_sha256 string" if digest else "kept string, spans array<struct<start:long,words:long,source:long,source_start:long>>")
     return plan.find(docs, id_col, text_col, finish, schema, keep)
 
 
@@ -145,8 +145,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: repeated spans are cut out of the texts; documents with no word left go."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     left = repeated_spans(docs, keep=others).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
-    new = {"text": F.col("kept"), "n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept")).otherwise(F.col("n_chars")) if "n_chars" in others else None}
-    return left.select(*[new.get(c, F.col(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    at = {c: F.col(f"_keep{i}") for i, c in enumerate(others)} | {"doc_id": F.col("doc_id"), "text": F.col("kept")}
+    if "n_chars" in others:
+        at["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("kept")).otherwise(at["n_chars"])
+    return left.select(*[at[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 OP9_SQL = r"""

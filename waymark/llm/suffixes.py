@@ -26,7 +26,7 @@ from waymark.llm.features import BYTE_VALUES
 WIDTH, GRAM = 50, 16
 EDGE_BASE = U64(0xC6A4A7935BD1E995)
 #: Suffixes that one array is built of, besides those of a single anchor.
-BLOCK = 200_000
+BLOCK = 100_000
 
 
 def as_bytes(text: str | None) -> bytes:
@@ -108,8 +108,13 @@ class ByteRepeats(Repeats):
         place = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
         at = begins[piece] + place
         # suffixes without an equal beginning elsewhere are leaves of no interval; a hash of the beginning finds them
-        edges = mix(gram_hash(BYTE_VALUES[raw], WIDTH, EDGE_BASE)[at] ^ (anchors[piece].astype(U64) * EDGE_BASE))
+        edges = np.empty(len(at), U64)
+        for x in range(0, len(raw), BLOCK):
+            a, z = np.searchsorted(at, (x, x + BLOCK))
+            edges[a:z] = gram_hash(BYTE_VALUES[raw[x : x + BLOCK + WIDTH - 1]], WIDTH, EDGE_BASE)[at[a:z] - x] if a < z else 0
+        edges = mix(edges ^ (anchors[piece].astype(U64) * EDGE_BASE))
         live = repeated(edges)
+        del edges
         order = np.argsort(anchors[piece[live]], kind="stable")  # anchors one after another, a block of them at a time
         at, piece, place = at[live][order], piece[live][order], place[live][order]
         edge = np.append(np.flatnonzero(np.diff(anchors[piece])) + 1, len(at))
