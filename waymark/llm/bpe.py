@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm.common import arrow_map, read_table
+from waymark.llm.common import arrow_map, read_table, small_batches
 
 #: Entries that a worker remembers before it starts anew; bounds its memory to about 100 MB.
 MEMO_ENTRIES = 200_000
@@ -242,4 +242,5 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last stage of the corpus pipeline: what remains, as token counts and digests."""
+    small_batches(spark)
     return encode_documents(docs, default_tokenizer(), digest=True)

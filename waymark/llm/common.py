@@ -33,13 +33,18 @@ def trim() -> None:
         _libc.malloc_trim(0)
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the corpus tables, by a path that Spark's readers open; batches for Python workers are kept small."""
-    for name_, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        key = f"spark.sql.execution.arrow.{name_}"
+def small_batches(spark: SparkSession) -> None:
+    """Keeps the batches for Python workers small, whatever the session's setting."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
         held = int(re.match("-?[0-9]+", spark.conf.get(key))[0])
         if held <= 0 or held > most:
             spark.conf.set(key, str(most))
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the corpus tables, by a path that Spark's readers open."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

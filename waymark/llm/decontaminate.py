@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import arrow_map, read_table
+from waymark.llm.common import arrow_map, read_table, small_batches
 
 WIDTH = 10
 #: Bytes of item text that one automaton is built from.
@@ -167,6 +167,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with a passage of the benchmark go, all others stay as they are."""
+    small_batches(spark)
     hit = find_contamination(docs, read_table(spark, sf_dir, "benchmark")).where("n_hit > 0").select("doc_id")
     return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
 

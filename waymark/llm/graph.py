@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm.anchors import CUT, NO_ID, Bucket, Repeats, found_rows, joined, removed
-from waymark.llm.common import U64, gram_hash, mix, read_table
+from waymark.llm.common import U64, gram_hash, mix, read_table, small_batches
 from waymark.llm.features import word_bounds, word_hashes
 
 WIDTH, GRAM = 20, 8
@@ -143,6 +143,7 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: repeated spans are cut out of the texts; documents with no word left go."""
+    small_batches(spark)
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     left = repeated_spans(docs, keep=others).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     at = {c: F.col(f"_keep{i}") for i, c in enumerate(others)} | {"doc_id": F.col("doc_id"), "text": F.col("kept")}

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import read_table
+from waymark.llm.common import read_table, small_batches
 from waymark.llm.features import char_grams, counted
 
 BITS = 15
@@ -182,6 +182,7 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without a letter, or whose language no label explains, go; the rest stay as they are."""
+    small_batches(spark)
     model = train(docs, fold("doc_id", 4) != 2, "doc_id", "text", "lang")
     shared = spark.sparkContext.broadcast(model)
     names = docs.columns

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import Shared, arrow_map, read_table
+from waymark.llm.common import Shared, arrow_map, read_table, small_batches
 from waymark.llm.components import connected
 
 WORDS, SEED = 3, 42
@@ -84,5 +84,6 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group the document with the least id stays, as it is."""
+    small_batches(spark)
     gone = near_duplicates(docs).where(F.col("doc_id") != F.col("component")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
