@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from waymark.llm.common import arrow_map, read_table, small_batches
 
-#: Entries that a worker remembers before it starts anew; bounds its memory to about 100 MB.
-MEMO_ENTRIES = 200_000
+#: Words of a generation that a worker remembers; bounds its memory to about 100 MB.
+MEMO_ENTRIES = 120_000
 
 
 def default_tokenizer() -> str:
@@ -39,21 +39,32 @@ def byte_letters() -> list[str]:
 
 
 class Memo(dict):
-    """word -> its ids as text; ``decoded`` holds the decoded text of the same words."""
+    """word -> its ids as text; ``decoded`` holds the decoded text of the same words.
+
+    There are two generations: when the young one is full it becomes the old one, whose words come back when asked for.
+    """
 
     def __init__(self, codec: "WordBpe") -> None:
         super().__init__()
-        self.codec, self.decoded = codec, {}
+        self.codec, self.decoded, self.old, self.old_decoded = codec, {}, {}, {}
 
     def __missing__(self, word: str) -> str:
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-            self.decoded.clear()
-        ids = self.codec.word_ids(word)
-        self[word] = out = " ".join(map(str, ids))
-        self.decoded[word] = " ".join([self.codec.tokens[i] for i in ids])
+        out = self.old.get(word)
+        if out is None:
+            codec = self.codec
+            ids = codec.word_ids(word)
+            out = " ".join(map(str, ids))
+            self.decoded[word] = " ".join([codec.tokens[i] for i in ids])
+        else:
+            self.decoded[word] = self.old_decoded[word]
+        self[word] = out
         return out
 
+    def make_room(self, n: int) -> None:
+        if len(self) + n > MEMO_ENTRIES:
+            self.old, self.old_decoded, self.decoded = dict(self), self.decoded, {}
+            self.clear()
+
 
 class WordBpe:
     """A word-end BPE vocabulary with its normaliser and splitter."""
@@ -78,7 +89,15 @@ class WordBpe:
             inside.update(body[i : i + 2] for i in range(len(body) - 1))
         self.joinable = inside
         self.fragments: dict[str, list[int]] = {}
+        self.none, self.whole = len(self.ranks), set()
         self.memo = Memo(self)
+        # tokens that merging their own letters leads to: a fragment that is one needs no merging
+        self.whole = {i for t, i in self.vocab.items() if self.reachable(t, i)}
+
+    def reachable(self, token: str, i: int) -> bool:
+        last = bool(self.end) and token.endswith(self.end) and token != self.end
+        body = token.removesuffix(self.end) if last else token
+        return bool(body) and self.encoded(body, last) == [i]
 
     def normalise(self, text: str) -> str:
         """NFC, then lower case letter by letter (no final sigma); white space only separates."""
@@ -90,51 +109,46 @@ class WordBpe:
 
     def cut(self, word: str) -> list[str]:
         """A word's byte letters, cut wherever no token has the two letters side by side."""
-        joinable, out, start = self.joinable, [], 0
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in joinable:
-                out.append(word[start:i])
-                start = i
-        out.append(word[start:])
-        return out
+        joinable = self.joinable
+        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in joinable]
+        if not cuts:
+            return [word]
+        return [word[a:z] for a, z in zip([0, *cuts], [*cuts, len(word)])]
 
     def merge(self, parts: list[str]) -> list[str]:
         """Merges by rank, lowest first and leftmost among equals, until none applies."""
-        ranks = self.ranks
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = ranks.get((parts[i], parts[i + 1]))
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            left, right = parts[at], parts[at + 1]
-            out, i, n = parts[:at], at, len(parts)
-            while i < n:
-                if i + 1 < n and parts[i] == left and parts[i + 1] == right:
-                    out.append(left + right)
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+        get, none = self.ranks.get, self.none
+        ranks = [get(pair, none) for pair in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) != none:
+            at = ranks.index(best)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = get((parts[at - 1], parts[at]), none)
+            if at < len(ranks):
+                ranks[at] = get((parts[at], parts[at + 1]), none)
         return parts
 
     def fragment_ids(self, fragment: str, last: bool) -> list[int]:
         key = fragment + self.end if last else fragment
         found = self.fragments.get(key)
         if found is None:
-            if len(self.fragments) >= MEMO_ENTRIES:
+            if len(self.fragments) >= MEMO_ENTRIES // 2:
                 self.fragments.clear()
-            parts = list(fragment)
-            if last:
-                parts[-1] += self.end
-            if len(parts) > 400:  # a run without cuts is merged with a heap instead of rescans
-                parts = self.merge_long(parts)
-            found = self.fragments[key] = [self.vocab[p] for p in self.merge(parts) if p in self.vocab]
+            found = self.fragments[key] = self.encoded(fragment, last)
         return found
 
+    def encoded(self, fragment: str, last: bool) -> list[int]:
+        whole = self.vocab.get(fragment + self.end if last else fragment)
+        if whole is not None and whole in self.whole:
+            return [whole]
+        parts = list(fragment)
+        if last:
+            parts[-1] += self.end
+        # a run without cuts is merged with a heap instead of rescans
+        parts = self.merge_long(parts) if len(parts) > 400 else self.merge(parts)
+        return [self.vocab[p] for p in parts if p in self.vocab]
+
     def merge_long(self, parts: list[str]) -> list[str]:
         """The same merges in n log n steps, for very long words."""
         import heapq
@@ -159,8 +173,12 @@ class WordBpe:
         return [p for p, live in zip(parts, alive) if live]
 
     def word_ids(self, word: str) -> list[int]:
-        letters = self.letters
-        parts = self.cut("".join([letters[b] for b in word.encode("utf-8", "surrogatepass")]))
+        if not (word.isascii() and word.isprintable()):  # else its bytes are their own letters
+            letters = self.letters
+            word = "".join([letters[b] for b in word.encode("utf-8", "surrogatepass")])
+        parts = self.cut(word)
+        if len(parts) == 1:  # remembered as a word already
+            return self.encoded(parts[0], True)
         out: list[int] = []
         for part in parts[:-1]:
             out += self.fragment_ids(part, False)
@@ -177,13 +195,11 @@ class WordBpe:
                 said.append(part)
                 continue
             words = self.words(self.normalise(part))
-            for at in range(0, len(words), 50_000):  # so that a worker's memory starts anew between blocks
+            for at in range(0, len(words), 20_000):  # so that a worker's memory starts anew between blocks
                 some = words[at : at + 50_000]
-                if len(memo) + len(some) > MEMO_ENTRIES:
-                    memo.clear()
-                    memo.decoded.clear()
-                ids += [x for x in map(memo.__getitem__, some) if x]
-                said += [x for x in map(memo.decoded.__getitem__, some) if x]
+                memo.make_room(len(some))
+                ids += map(memo.__getitem__, some)
+                said += map(memo.decoded.__getitem__, some)
         return " ".join(ids), " ".join(said)
 
 
