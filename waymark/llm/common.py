@@ -99,6 +99,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
         for batch in batches:
             if batch.num_rows:
                 yield fn(batch)
+        trim()
 
     return df.mapInArrow(run, schema)
 

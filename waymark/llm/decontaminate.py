@@ -115,24 +115,28 @@ def find_contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, id
     (array of start and end offsets in code points)."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.array().cast("array<int>").alias("runs"), F.array().cast("array<string>").alias("items"))
-    schema = f"id {kind}, text string, runs array<int>, items array<string>"
-    for block in item_blocks(items, item_col, item_text_col):
-        shared = spark.sparkContext.broadcast(block)
+    blocks = [_Block(spark.sparkContext.broadcast(b)) for b in item_blocks(items, item_col, item_text_col)]
 
-        def add(batch: pa.RecordBatch, shared=_Block(shared)) -> pa.RecordBatch:
-            runs, items = [], []
-            for text, old, had in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                _, found, names = scanner(shared, width).scan(text)
-                runs.append(old + [x for run in found for x in run])
-                items.append(had + list(names))
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=["id", "text", "runs", "items"])
+    def scanned(batch: pa.RecordBatch, shared: _Block) -> list[tuple[str | None, int, list[int], list[str]]]:
+        rows = []
+        for text, old, had in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            text = text.as_py()
+            n, found, names = scanner(shared, width).scan(text)
+            rows.append((text, n, old + [x for run in found for x in run], had + list(names)))
+        return rows
 
-        out = arrow_map(out, add, schema)
+    for block in blocks[:-1]:
 
-    def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
+        def add(batch: pa.RecordBatch, block=block) -> pa.RecordBatch:
+            rows = scanned(batch, block)
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r[2] for r in rows], pa.list_(pa.int32())), pa.array([r[3] for r in rows], pa.list_(pa.string()))], names=["id", "text", "runs", "items"])
+
+        out = arrow_map(out, add, f"id {kind}, text string, runs array<int>, items array<string>")
+
+    def last(batch: pa.RecordBatch, block=blocks[-1]) -> pa.RecordBatch:
         n_words, n_hit, names, spans = [], [], [], []
-        for text, runs, items in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            n_words.append(len(normal_words(text)))
+        for text, n, runs, items in scanned(batch, block):
+            n_words.append(n)
             runs = merged(np.array(runs).reshape(-1, 2)) if runs else []
             n_hit.append(sum(b - a for a, b in runs))
             names.append(sorted(set(items)))
@@ -143,7 +147,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, id
             names=[id_col, "n_words", "n_hit", "items", "spans"],
         )
 
-    return arrow_map(out, finish, f"`{id_col}` {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>")
+    return arrow_map(out, last, f"`{id_col}` {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>")
 
 
 class _Block:
