@@ -49,7 +49,7 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], docs))], names=["f", "n"])
 
-    sums = texts.mapInArrow(count, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toPandas()  # 2^BITS + 1 rows at most
+    sums = texts.mapInArrow(count, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow().to_pandas()  # 2^BITS + 1 rows at most
     out = np.zeros((1 << BITS) + 1)
     out[sums["f"].to_numpy()] = sums["n"].to_numpy()
     return out
@@ -134,7 +134,7 @@ def train(docs: DataFrame, is_training: Column, id_col: str, text_col: str, lang
                 [batch.column(0), batch.column(2), pa.array([a.astype(np.int32).tobytes() for a, _ in both], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in both], pa.binary())], names=["l", "o", "a", "n"]
             )
 
-    got = sample.mapInArrow(vectors, "l string, o long, a binary, n binary").toPandas().sort_values(["o", "l"])  # sample_rows rows
+    got = sample.mapInArrow(vectors, "l string, o long, a binary, n binary").toArrow().to_pandas().sort_values(["o", "l"])  # sample_rows rows
     labels = sorted(got["l"].unique())
     if not labels:
         return Model([], idf, np.zeros((1, 1)), np.zeros(1), 1.0)

@@ -159,10 +159,10 @@ class SuffixTree:
             parent = np.searchsorted(up, context[at] & ((1 << (8 * (d - 1))) - 1))  # a frequent context's suffix is frequent
             row = np.repeat(np.arange(len(at)), k)
             total = np.bincount(row, n, len(at))
-            p = dist[parent] * k[:, None]
+            p = dist[parent] * k[:, None].astype(np.float32)
             before = dist[parent[row], symbol]
             p[row, symbol] += n
-            p /= (total + k)[:, None]  # Witten and Bell: the parent weighs as many rows as symbols were seen
+            p /= (total + k)[:, None].astype(np.float32)  # Witten and Bell: the parent weighs as many rows as symbols were seen
             gain = np.bincount(row, n * np.log(n / total[row] / before), len(at)) - 0.5 * k * np.log(np.maximum(total, 2))
             levels.append((context[at], p.astype(np.float32), gain))
         gains = np.sort(np.concatenate([g[g > 0] for _, _, g in levels[1:]]))
@@ -210,7 +210,7 @@ def train_tree(texts: DataFrame, text_col: str, size: int, n_symbols: int) -> Su
     least = max(2.0, LEAST_SHARE * n_symbols)
     # DEPTH / LEAST_SHARE contexts at most, of at most 256 symbols each, and 65,536 rows of depth 1
     rows = gram_counts(texts.select(text_col), bits).groupBy("bucket").applyInArrow(lambda t: frequent(t, least), "depth int, code long, n long")
-    got = rows.groupBy("depth", "code").agg(F.sum("n").alias("n")).toPandas()
+    got = rows.groupBy("depth", "code").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     counts = {}
     for d, rows in got.groupby("depth"):
         codes, n = rows["code"].to_numpy().view(U64), rows["n"].to_numpy()

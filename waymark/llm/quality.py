@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 [batch.column(0), batch.column(1), pa.array([a.astype(np.int32).tobytes() for a, _ in both], pa.binary()), pa.array([x.astype(np.float32).tobytes() for _, x in both], pa.binary())], names=["o", "y", "a", "x"]
             )
 
-    got = sample.mapInArrow(vectors, "o long, y int, a binary, x binary").toPandas().sort_values(["o", "y"])  # sample_rows rows
+    got = sample.mapInArrow(vectors, "o long, y int, a binary, x binary").toArrow().to_pandas().sort_values(["o", "y"])  # sample_rows rows
     return fit([(np.frombuffer(a, np.int32), np.frombuffer(x, np.float32).astype(float)) for a, x in zip(got["a"], got["x"])], got["y"].to_numpy())
 
 
