@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def jaro_winkler(a: str, b: str) -> float:
@@ -64,18 +65,18 @@ def damerau(a: str, b: str) -> int:
     return rows[-1][-1]
 
 
-@F.pandas_udf("jw double, dl int")
+@F.pandas_udf(T.StructType([T.StructField("jw", T.DoubleType()), T.StructField("dl", T.IntegerType())]))
 def _both(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     pairs = [(None, None) if x is None or y is None else (jaro_winkler(x, y), damerau(x, y)) for x, y in zip(a, b)]
     return pd.DataFrame({"jw": pd.Series([p[0] for p in pairs], dtype="float64"), "dl": pd.Series([p[1] for p in pairs], dtype="Int32")})
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def damerau_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else damerau(x, y) for x, y in zip(a, b)], dtype="Int32")
 

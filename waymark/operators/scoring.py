@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from waymark.functions import textnorm
 from waymark.functions.metrics import pair_similarities
 from waymark.functions.vocab import DIRECTIONS, LEVEL_TYPES, StreetTypes, inverted, mapped, score_flat_types
+from waymark.plans.lineage import cut
 
 COMPONENTS = ("postcode", "suburb", "street_name", "street_type", "number", "flat")
 DEFAULT_WEIGHTS = dict(zip(COMPONENTS, (12, 12, 16, 10, 30, 20)))
@@ -98,8 +99,19 @@ def prepared_inputs(inputs: DataFrame, types: StreetTypes | None = None) -> Data
     })
 
 
+#: What scoring, ranking and linking read of a pair; wide columns are joined again after ranking.
+PAIR_COLUMNS = (
+    "input_id", "address_detail_pid", "source", "alias_type", "principal_pid", "in_postcode", "postcode", "in_state", "state", "in_number_first", "in_number_last", "number_first", "number_last",
+    *(f"{side}_{x}" for side in "ic" for x in ("name", "locality", "type", "direction", "flat_type", "flat", "level_type", "level", "lot", "building", "suffix")),
+)
+
+
 def with_similarities(pairs: DataFrame) -> DataFrame:
-    """Adds suburb_similarity, street_similarity and the street gate. Names are compared once per distinct pair."""
+    """Adds suburb_similarity, street_similarity and the street gate. Names are compared once per distinct pair.
+
+    The pairs are written once, narrow, as both comparisons and the scores read them.
+    """
+    pairs = cut(pairs.select(*[c for c in PAIR_COLUMNS if c in pairs.columns]))
     for a, b, out in (("i_locality", "c_locality", "suburb_similarity"), ("i_name", "c_name", "street_similarity")):
         pairs = pairs.join(pair_similarities(pairs, a, b, out), [a, b])
     return pairs.withColumn("street_gate", F.when(F.col("street_similarity") == 0, 1.0).otherwise(F.col("street_similarity")))

@@ -17,6 +17,7 @@ from waymark.functions import textnorm
 from waymark.functions.vocab import StreetTypes
 from waymark.operators import blocking, localities, scoring
 from waymark.operators.scoring import ADDRESS_COLUMNS, COMPONENTS, PARSED_COLUMNS
+from waymark.plans.lineage import cut
 
 SCORES = [f"score_{c}" for c in COMPONENTS]
 
@@ -92,20 +93,21 @@ def cascade(inputs: DataFrame, ref: DataFrame, index: DataFrame, options: MatchO
     some = ref if chosen is None else ref.where(chosen)
     if not options.include_custom:
         some = some.where("source <> 'custom' OR source IS NULL")
-    by_postcode = score_path(blocking.block_pairs(inputs.where("in_postcode IS NOT NULL"), some, [("in_postcode", "postcode")]), options).persist()
-    by_state = score_path(blocking.block_pairs(inputs.where("in_postcode IS NULL AND in_state IS NOT NULL"), some, [("in_state", "state")]), options).persist()
+    by_postcode = cut(score_path(blocking.block_pairs(inputs.where("in_postcode IS NOT NULL"), some, [("in_postcode", "postcode")]), options))
+    by_state = cut(score_path(blocking.block_pairs(inputs.where("in_postcode IS NULL AND in_state IS NOT NULL"), some, [("in_state", "state")]), options))
     found = by_postcode.unionByName(by_state)
     if options.locality_fallback:
         exact = found.where("match_basis = 'exact_components'").select("input_id").distinct()
         open_ = inputs.join(exact, "input_id", "left_anti") if options.max_results == 1 else inputs
-        found = found.unionByName(postcode_identities(open_.where("in_locality IS NOT NULL"), some, index, options))
+        found = found.unionByName(cut(postcode_identities(open_.where("in_locality IS NOT NULL"), some, index, options)))
         weak = int(round(0.85 * options.weights["suburb"]))
         reached = best_scores(by_postcode).where((F.col("best") > options.fallback_threshold) | (F.col("best_suburb") >= weak)).select("input_id")
         by_state_only = inputs.where("in_postcode IS NULL AND in_state IS NOT NULL").select("input_id")
         left = inputs.join(reached, "input_id", "left_anti").join(by_state_only, "input_id", "left_anti").where("in_locality IS NOT NULL OR in_postcode IS NOT NULL")
-        alt = localities.alternative_postcodes(left, index)
+        left = cut(left)
+        alt = cut(localities.alternative_postcodes(left, index))
         pairs = blocking.block_pairs(left.join(alt, "input_id"), some, [("alt_postcode", "postcode")]).drop("alt_postcode")
-        by_locality = score_path(pairs, options)
+        by_locality = cut(score_path(pairs, options))
         found = found.unionByName(by_locality)
     else:
         by_locality = None
@@ -117,7 +119,7 @@ def cascade(inputs: DataFrame, ref: DataFrame, index: DataFrame, options: MatchO
         left = inputs.join(good, "input_id", "left_anti").where("i_name <> ''")
         p = blocking.block_pairs(left.where("in_postcode IS NOT NULL"), some, [("in_postcode", "postcode"), ("i_name", "c_name")], gate=False)
         s = blocking.block_pairs(left.where("in_postcode IS NULL AND in_state IS NOT NULL"), some, [("in_state", "state"), ("i_name", "c_name")], gate=False)
-        found = found.unionByName(score_path(p.unionByName(s), options))
+        found = found.unionByName(cut(score_path(p.unionByName(s), options)))
     if options.street_only and (options.alias_types is None or "street_only" in options.alias_types):
         left = inputs.join(found.select("input_id").distinct(), "input_id", "left_anti").where("in_postcode IS NOT NULL AND i_name <> ''")
         lines = ref.where("alias_type = 'street_only' AND (source IS NULL OR source <> 'custom')")
@@ -152,12 +154,15 @@ def match_parsed(inputs: DataFrame, ref: DataFrame, options: MatchOptions | None
     keyed = inputs.withColumn("_k", F.concat_ws("-", signature, F.sha2(F.to_json(F.struct(*PARSED_COLUMNS)), 256)))
     fan = keyed.select(F.col("input_id").alias("_own"), F.col("_k").alias("_key"))
     distinct = keyed.groupBy("_k").agg(*[F.first(c).alias(c) for c in PARSED_COLUMNS]).withColumnRenamed("_k", "input_id")
-    ready = scoring.prepared_inputs(distinct, types)
-    table = scoring.prepared(ref, types, untyped)
-    places = localities.locality_index(ref) if index is None else index
-    best = cascade(ready, table, places, options)
-    keep = ["match_rank", "match_basis", "total_score", *SCORES, "number_distance", *ADDRESS_COLUMNS]
-    out = fan.join(best.select(F.col("input_id").alias("_key"), *keep), "_key").select(F.col("_own").alias("input_id"), *keep)
+    ready = cut(scoring.prepared_inputs(distinct, types))
+    table = cut(scoring.prepared(ref, types, untyped))
+    places = cut(localities.locality_index(ref) if index is None else index)
+    best = cut(cascade(ready, table, places, options))
+    narrow = ["match_rank", "match_basis", "total_score", *SCORES, "number_distance"]
+    wide = table.select(*ADDRESS_COLUMNS, F.coalesce("source", F.lit("")).alias("_source"))
+    best = best.select(F.col("input_id").alias("_key"), "address_detail_pid", F.coalesce("source", F.lit("")).alias("_source"), *narrow).join(wide, ["address_detail_pid", "_source"])
+    keep = [*narrow, *ADDRESS_COLUMNS]
+    out = fan.join(best, "_key").select(F.col("_own").alias("input_id"), *keep)
     line = textnorm.standardised(F.col)
     result = inputs.withColumn("input_standardised", line).join(out, "input_id", "left").withColumn("matched", F.col("address_detail_pid").isNotNull())
     result = result.withColumn("match_status", status(result))
