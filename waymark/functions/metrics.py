@@ -12,8 +12,6 @@ def jaro_winkler(a: str, b: str) -> float:
     """Jaro similarity, raised by a common prefix of up to four bytes where it exceeds 0.7."""
     s, t = a.encode("utf-8", "surrogatepass"), b.encode("utf-8", "surrogatepass")
     n, m = len(s), len(t)
-    if not n and not m:
-        return 1.0
     if not n or not m:
         return 0.0
     if s == t:

@@ -47,7 +47,11 @@ def point_in_polygon(points: DataFrame, shapes: DataFrame, cell: float = 1.0, mo
         raise ValueError("mode must be first or all")
     dots = points.select("longitude", "latitude").where(valid_point(F.col("longitude"), F.col("latitude"), geographic)).distinct()
     dots = dots.withColumns({"cx": F.floor(F.col("longitude") / cell), "cy": F.floor(F.col("latitude") / cell)})
-    xs, ys = (F.flatten(F.transform("rings", lambda r, k=k: F.transform(r, lambda p: p[k]))) for k in ("x", "y"))
+
+    def all_of(axis: str) -> Column:
+        return F.flatten(F.transform("rings", lambda r: F.transform(r, lambda p: p[axis])))
+
+    xs, ys = all_of("x"), all_of("y")
     boxes = shapes.withColumns({"x0": F.array_min(xs), "x1": F.array_max(xs), "y0": F.array_min(ys), "y1": F.array_max(ys)})
     cells = boxes.withColumn("cx", F.explode(F.sequence(F.floor(F.col("x0") / cell), F.floor(F.col("x1") / cell)))).withColumn("cy", F.explode(F.sequence(F.floor(F.col("y0") / cell), F.floor(F.col("y1") / cell))))
     near = dots.join(cells, ["cx", "cy"]).where(F.col("longitude").between(F.col("x0"), F.col("x1")) & F.col("latitude").between(F.col("y0"), F.col("y1")))

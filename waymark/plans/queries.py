@@ -479,7 +479,8 @@ GRAMS = lambda x: f"CASE WHEN length({x}) < 2 THEN [] ELSE list_distinct([substr
 SELECT input_id, round(jaro_winkler_similarity(a, b) * 100, 1) AS jaro_winkler, round(100.0::DOUBLE * len(list_intersect(ga, gb)) / len(list_distinct(list_concat(ga, gb))), 1) AS jaccard, round(100 * (1 - levenshtein(a, b)::DOUBLE / greatest(1, length(a), length(b))), 1) AS edit FROM y""",
 )
 def text_scores(t):
-    return diagnostics.text_scores(top(t), "in_street_name").select("input_id", "jaro_winkler", "jaccard", "edit")
+    labels = t["addr_ref"].select("address_detail_pid", "address_label")
+    return diagnostics.text_scores(top(t).join(labels, "address_detail_pid"), "i_name").select("input_id", "jaro_winkler", "jaccard", "edit")
 
 
 @query(
