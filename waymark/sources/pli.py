@@ -89,7 +89,7 @@ def address_rows(rows: DataFrame) -> DataFrame:
     col = F.col
     unit = F.nullif(F.concat_ws("", "unit_number", "unit_suffix"), F.lit(""))
     first, last = col("street_no_1").try_cast("int"), col("street_no_2").try_cast("int")
-    said = F.concat(F.concat_ws("", first.cast("string"), "street_no_1_suffix"), F.coalesce(F.concat(F.lit("-"), F.concat_ws("", last.cast("string"), "street_no_2_suffix")), F.lit("")))
+    said = F.concat(F.concat_ws("", first.cast("string"), "street_no_1_suffix"), F.when(last.isNotNull(), F.concat(F.lit("-"), F.concat_ws("", last.cast("string"), "street_no_2_suffix"))).otherwise(""))
     kind = F.when(unit.isNotNull(), F.coalesce("unit_type", F.lit("UNIT")))
     front = F.concat_ws(" ", "property_name", F.concat_ws(" ", kind, unit), F.when(first.isNotNull(), said).when(col("lot").isNotNull(), F.concat(F.lit("LOT "), col("lot"))), "street_name", "street_type", "street_suffix")
     label = F.concat_ws(", ", F.trim(F.regexp_replace(front, " +", " ")), F.concat_ws(" ", "locality_name", F.lit("QLD"), F.lpad(col("postcode").cast("string"), 4, "0")))

@@ -52,7 +52,7 @@ def read_shapefile(spark: SparkSession, path: str, key: str) -> DataFrame:
         rows = [(r.get(key), i, rings, r) for i, (rings, r) in enumerate(zip(shapes(parts[".shp"]), records(parts[".dbf"])))]
         return pd.DataFrame(rows, columns=["shape_id", "ord", "rings", "attributes"])
 
-    return files.groupBy(F.lit(1)).applyInPandas(run, "shape_id string, ord long, rings array<array<struct<x:double,y:double>>>, attributes map<string,string>")
+    return files.withColumn("layer", F.lit(1)).groupBy("layer").applyInPandas(run, "shape_id string, ord long, rings array<array<struct<x:double,y:double>>>, attributes map<string,string>")
 
 
 def subset(layer: DataFrame, column: str, values: list, invert: bool = False) -> DataFrame:
