@@ -23,7 +23,7 @@ POSITION_BITS = U64(28)
 POSITION = U64((1 << 28) - 1)
 GRAM_BASE = U64(0x9FB21C651E98DF25)
 #: Segments that a task holds before it writes them out.
-FLUSH = 400_000
+FLUSH = 250_000
 #: Windows of a document that are hashed at once.
 BLOCK = 1 << 19
 #: Bytes of text that a part of the documents and a bucket of segments are meant to stand for.

@@ -33,8 +33,14 @@ def trim() -> None:
         _libc.malloc_trim(0)
 
 
+#: For Python workers: large arrays come from the system and go back to it at once, instead of staying with the process.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "8388608", "MALLOC_ARENA_MAX": "2"}
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Keeps the batches for Python workers small, whatever the session's setting."""
+    """Keeps the batches for Python workers small, whatever the session's setting, and the workers' memory as well."""
+    for name, value in WORKER_MEMORY.items():
+        spark.sparkContext.environment.setdefault(name, value)
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{name}"
         held = int(re.match("-?[0-9]+", spark.conf.get(key))[0])

@@ -102,29 +102,33 @@ class ByteRepeats(Repeats):
         if not len(counts) or not len(raw):
             return []
         docs, starts, anchors = joined(table, "docs", np.int64), joined(table, "starts", np.uint32).astype(np.int64), joined(table, "anchors", np.uint32)
-        ends = np.cumsum(counts + WIDTH - 1)
-        begins = ends - (counts + WIDTH - 1)
-        piece = np.repeat(np.arange(len(counts)), counts)
-        place = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
-        at = begins[piece] + place
-        # suffixes without an equal beginning elsewhere are leaves of no interval; a hash of the beginning finds them
-        edges = np.empty(len(at), U64)
-        for x in range(0, len(raw), BLOCK):
-            a, z = np.searchsorted(at, (x, x + BLOCK))
-            edges[a:z] = gram_hash(BYTE_VALUES[raw[x : x + BLOCK + WIDTH - 1]], WIDTH, EDGE_BASE)[at[a:z] - x] if a < z else 0
-        edges = mix(edges ^ (anchors[piece].astype(U64) * EDGE_BASE))
-        live = repeated(edges)
-        del edges
-        order = np.argsort(anchors[piece[live]], kind="stable")  # anchors one after another, a block of them at a time
-        at, piece, place = at[live][order], piece[live][order], place[live][order]
-        edge = np.append(np.flatnonzero(np.diff(anchors[piece])) + 1, len(at))
-        rows, done = [], 0
-        while done < len(at):
-            until = int(edge[min(np.searchsorted(edge, done + BLOCK), len(edge) - 1)])
-            rows += self.block(raw, docs, starts, anchors, ends, at[done:until], piece[done:until], place[done:until], parts)
+        begins = np.cumsum(counts + WIDTH - 1) - (counts + WIDTH - 1)
+        order = np.argsort(anchors, kind="stable")  # anchors one after another, a block of them at a time
+        edge = np.append(np.flatnonzero(np.diff(anchors[order])) + 1, len(order))
+        total, rows, done = np.cumsum(counts[order]), [], 0
+        while done < len(order):
+            reach = np.searchsorted(total, (total[done - 1] if done else 0) + BLOCK)
+            until = int(edge[min(np.searchsorted(edge, max(reach, done + 1)), len(edge) - 1)])
+            rows += self.anchors_of(raw, docs, starts, anchors, begins, counts, order[done:until], parts)
             done = until
         return rows
 
+    def anchors_of(self, raw: np.ndarray, docs: np.ndarray, starts: np.ndarray, anchors: np.ndarray, begins: np.ndarray, counts: np.ndarray, some: np.ndarray, parts: int) -> list[tuple]:
+        """The removals among the segments of a block of anchors."""
+        n = counts[some]
+        piece = np.repeat(some, n)
+        place = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
+        at = begins[piece] + place
+        # suffixes without an equal beginning elsewhere are leaves of no interval; a hash of the beginning finds them
+        size = n + WIDTH - 1
+        inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        joint = raw[np.repeat(begins[some], size) + inner]
+        first = np.repeat(np.cumsum(size) - size, n) + place
+        edges = gram_hash(BYTE_VALUES[joint], WIDTH, EDGE_BASE)[first]
+        live = repeated(mix(edges ^ (anchors[piece].astype(U64) * EDGE_BASE)))
+        at, piece, place = at[live], piece[live], place[live]
+        return self.block(raw, docs, starts, anchors, begins + counts + WIDTH - 1, at, piece, place, parts) if len(at) else []
+
     def block(self, raw: np.ndarray, docs: np.ndarray, starts: np.ndarray, anchors: np.ndarray, ends: np.ndarray, at: np.ndarray, piece: np.ndarray, place: np.ndarray, parts: int) -> list[tuple]:
         """The removals among the suffixes of a block of anchors."""
         array = SuffixArray(raw, at, ends[piece], anchors[piece])
