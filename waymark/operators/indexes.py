@@ -103,11 +103,16 @@ def collapsed(ref: DataFrame) -> DataFrame:
 
 
 def nearest(todo: DataFrame, known: DataFrame, on: str) -> DataFrame:
-    """Per todo row (pid, on, longitude, latitude) the postcode of the nearest known row of the same place; ties by pid."""
-    k = known.where("longitude IS NOT NULL AND latitude IS NOT NULL AND postcode IS NOT NULL").select(on, F.col("longitude").alias("_x"), F.col("latitude").alias("_y"), "postcode", F.col("address_detail_pid").alias("_pid"))
-    pairs = todo.join(k, on)
+    """Per todo row (pid, on, longitude, latitude) the postcode of the nearest known row of the same place; ties by pid.
+
+    Places are compared by distinct coordinates on both sides, an equi-join on the place.
+    """
+    k = known.where("longitude IS NOT NULL AND latitude IS NOT NULL AND postcode IS NOT NULL")
+    k = k.groupBy(on, F.col("longitude").alias("_x"), F.col("latitude").alias("_y")).agg(F.min_by("postcode", "address_detail_pid").alias("postcode"), F.min("address_detail_pid").alias("_pid"))
+    spots = todo.select(on, "longitude", "latitude").where("longitude IS NOT NULL AND latitude IS NOT NULL").distinct()
     flat = F.pow((F.col("longitude") - F.col("_x")) * F.cos(F.radians("latitude")), F.lit(2)) + F.pow(F.col("latitude") - F.col("_y"), F.lit(2))
-    return pairs.groupBy("pid").agg(F.min_by("postcode", F.struct(flat, F.col("_pid"))).alias("postcode"))
+    best = spots.join(k, on).groupBy(on, "longitude", "latitude").agg(F.min_by("postcode", F.struct(flat, F.col("_pid"))).alias("postcode"))
+    return todo.join(best, [on, "longitude", "latitude"]).select("pid", "postcode")
 
 
 def rank_first(df: DataFrame, part: list[str], *order) -> DataFrame:

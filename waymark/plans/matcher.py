@@ -80,15 +80,18 @@ def postcode_identities(inputs: DataFrame, ref: DataFrame, index: DataFrame, opt
     w = Window.partitionBy("input_id")
     single = F.min(key).over(w) == F.max(key).over(w)
     basis = F.when(F.col("match_basis") == "exact_components", F.col("match_basis")).when(single, "postcode_only").otherwise("weighted")
-    return pairs.withColumn("match_basis", basis).where(F.col("total_score") >= int(options.min_score))
+    return pairs.withColumn("match_basis", basis)
 
 
 def best_scores(found: DataFrame) -> DataFrame:
     return found.groupBy("input_id").agg(F.max("total_score").alias("best"), F.max_by("score_suburb", "total_score").alias("best_suburb"))
 
 
-def cascade(inputs: DataFrame, ref: DataFrame, index: DataFrame, options: MatchOptions) -> DataFrame:
-    """All paths' candidates of prepared inputs, best first. ref: prepared candidates, all sources together."""
+def cascade(inputs: DataFrame, ref: DataFrame, index: DataFrame, options: MatchOptions) -> tuple[DataFrame, DataFrame]:
+    """All paths' candidates of prepared inputs, best first, and the inputs that had an identical address at all.
+
+    ref: prepared candidates, all sources together.
+    """
     chosen = blocking.alias_filter(options.alias_types)
     some = ref if chosen is None else ref.where(chosen)
     if not options.include_custom:
@@ -99,7 +102,8 @@ def cascade(inputs: DataFrame, ref: DataFrame, index: DataFrame, options: MatchO
     if options.locality_fallback:
         exact = found.where("match_basis = 'exact_components'").select("input_id").distinct()
         open_ = inputs.join(exact, "input_id", "left_anti") if options.max_results == 1 else inputs
-        found = found.unionByName(cut(postcode_identities(open_.where("in_locality IS NOT NULL"), some, index, options)))
+        same = cut(postcode_identities(open_.where("in_locality IS NOT NULL"), some, index, options))
+        found, seen = found.unionByName(same.where(F.col("total_score") >= int(options.min_score))), same.select("input_id").distinct()
         weak = int(round(0.85 * options.weights["suburb"]))
         reached = best_scores(by_postcode).where((F.col("best") > options.fallback_threshold) | (F.col("best_suburb") >= weak)).select("input_id")
         by_state_only = inputs.where("in_postcode IS NULL AND in_state IS NOT NULL").select("input_id")
@@ -110,7 +114,7 @@ def cascade(inputs: DataFrame, ref: DataFrame, index: DataFrame, options: MatchO
         by_locality = cut(score_path(pairs, options))
         found = found.unionByName(by_locality)
     else:
-        by_locality = None
+        by_locality, seen = None, inputs.select("input_id").where(F.lit(False))
     if options.street_fallback:
         so_far = by_postcode.unionByName(by_state)
         if by_locality is not None:
@@ -124,7 +128,7 @@ def cascade(inputs: DataFrame, ref: DataFrame, index: DataFrame, options: MatchO
         left = inputs.join(found.select("input_id").distinct(), "input_id", "left_anti").where("in_postcode IS NOT NULL AND i_name <> ''")
         lines = ref.where("alias_type = 'street_only' AND (source IS NULL OR source <> 'custom')")
         found = found.unionByName(score_path(blocking.block_pairs(left, lines, [("in_postcode", "postcode")], gate=False), options))
-    return ranked(found, options.max_results)
+    return ranked(found, options.max_results), seen
 
 
 def with_links(matched: DataFrame, ref: DataFrame, link: str) -> DataFrame:
@@ -157,22 +161,26 @@ def match_parsed(inputs: DataFrame, ref: DataFrame, options: MatchOptions | None
     ready = cut(scoring.prepared_inputs(distinct, types))
     table = cut(scoring.prepared(ref, types, untyped))
     places = cut(localities.locality_index(ref) if index is None else index)
-    best = cut(cascade(ready, table, places, options))
+    best, seen = cascade(ready, table, places, options)
+    best = cut(best)
     narrow = ["match_rank", "match_basis", "total_score", *SCORES, "number_distance"]
     wide = table.select(*ADDRESS_COLUMNS, F.coalesce("source", F.lit("")).alias("_source"))
     best = best.select(F.col("input_id").alias("_key"), "address_detail_pid", F.coalesce("source", F.lit("")).alias("_source"), *narrow).join(wide, ["address_detail_pid", "_source"])
     keep = [*narrow, *ADDRESS_COLUMNS]
     out = fan.join(best, "_key").select(F.col("_own").alias("input_id"), *keep)
     line = textnorm.standardised(F.col)
-    result = inputs.withColumn("input_standardised", line).join(out, "input_id", "left").withColumn("matched", F.col("address_detail_pid").isNotNull())
-    result = result.withColumn("match_status", status(result))
+    below = fan.join(seen.select(F.col("input_id").alias("_key")), "_key").select(F.col("_own").alias("input_id"), F.lit(True).alias("_seen"))
+    result = inputs.withColumn("input_standardised", line).join(out, "input_id", "left").join(below, "input_id", "left").withColumn("matched", F.col("address_detail_pid").isNotNull())
+    result = result.withColumn("match_status", status()).drop("_seen")
     if options.return_linked:
         result = with_links(result, scoring.with_columns(ref, scoring.ADDRESS_SCHEMA), {"principal": "principal_pid", "primary": "primary_pid"}[options.return_linked])
     return with_principal(result, scoring.with_columns(ref, scoring.ADDRESS_SCHEMA)) if options.resolve_principal else result
 
 
-def status(result: DataFrame):
-    """matched, insufficient_parse (nothing to block on) or no_candidate."""
-    nothing = F.col("in_postcode").isNull() & F.col("in_state").isNull() & F.col("in_locality").isNull()
-    nothing = nothing | (F.col("in_street_name").isNull() & F.col("in_lot_number").isNull() & F.col("in_number_first").isNull())
-    return F.when(F.col("address_detail_pid").isNotNull(), "matched").when(nothing, "insufficient_parse").otherwise("no_candidate")
+def status():
+    """matched; below_min_score if an identical address was found but scored too low; insufficient_parse without a street
+    or any place; no_candidate."""
+    nowhere = F.col("in_postcode").isNull() & F.col("in_state").isNull() & F.col("in_locality").isNull()
+    return (
+        F.when(F.col("matched"), "matched").when(F.coalesce("_seen", F.lit(False)), "below_min_score").when(F.col("in_street_name").isNull() | nowhere, "insufficient_parse").otherwise("no_candidate")
+    )

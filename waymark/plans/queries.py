@@ -411,16 +411,16 @@ def datum_shift(t):
 # second source
 
 PLI_RAW = """SELECT 'Q' || CAST(c_custkey AS STRING) AS address_pid, CASE WHEN c_custkey % 9 = 0 THEN 'XXX' WHEN c_custkey % 2 = 0 THEN ' Street ' ELSE 'road' END AS street_type,
- CASE c_nationkey % 3 WHEN 0 THEN 'E' WHEN 1 THEN NULL ELSE 'CN' END AS street_suffix, lower(replace(c_name, '#', ' ')) AS street_name, CASE WHEN c_nationkey % 4 = 0 THEN 'Spring (Gold Coast)' ELSE 'Hill ' || CAST(c_nationkey AS STRING) END AS locality,
- CASE WHEN c_custkey % 6 = 0 THEN 'D' ELSE 'C' END AS lotplan_status, CASE WHEN c_custkey % 5 = 0 THEN 'H' ELSE 'P' END AS status, CASE WHEN c_custkey % 3 = 0 THEN 'PC' ELSE 'BC' END AS geocode, CAST(c_custkey % 10 AS STRING) AS lot, 'SP' || CAST(c_custkey % 7 AS STRING) AS plan FROM """
+ CASE c_nationkey % 3 WHEN 0 THEN 'East' WHEN 1 THEN NULL ELSE 'central' END AS street_suffix, lower(replace(c_name, '#', ' ')) AS street_name, CASE WHEN c_nationkey % 4 = 0 THEN 'Spring (Gold Coast)' ELSE 'Hill ' || CAST(c_nationkey AS STRING) END AS locality,
+ CASE WHEN c_custkey % 6 = 0 THEN 'D' ELSE 'C' END AS lotplan_status, CASE WHEN c_custkey % 5 = 0 THEN 'H' ELSE 'P' END AS address_status, CASE WHEN c_custkey % 3 = 0 THEN 'PC' ELSE 'BC' END AS geocode_type, CAST(c_custkey % 10 AS STRING) AS lot, 'SP' || CAST(c_custkey % 7 AS STRING) AS plan FROM """
 
 
 @query(
     "q_pli_clean",
     f"""WITH raw AS ({PLI_RAW} customer), up AS (SELECT address_pid, nullif(upper(trim(street_name)), '') AS street_name, nullif(nullif(upper(trim(street_type)), ''), 'XXX') AS street_type,
- CASE upper(trim(street_suffix)) WHEN 'E' THEN 'EAST' WHEN 'W' THEN 'WEST' WHEN 'N' THEN 'NORTH' WHEN 'S' THEN 'SOUTH' WHEN 'CN' THEN 'CENTRAL' ELSE upper(trim(street_suffix)) END AS street_suffix,
- trim(regexp_replace(upper(trim(locality)), ' *\\([^)]*\\)$', '')) AS locality_name, lotplan_status, status, geocode, lot, plan FROM raw)
-SELECT address_pid, street_name, street_type, street_suffix, locality_name FROM up WHERE lotplan_status <> 'D' AND status IN ('P')""",
+ CASE upper(trim(street_suffix)) WHEN 'EAST' THEN 'E' WHEN 'WEST' THEN 'W' WHEN 'NORTH' THEN 'N' WHEN 'SOUTH' THEN 'S' WHEN 'CENTRAL' THEN 'CN' ELSE upper(trim(street_suffix)) END AS street_suffix,
+ trim(regexp_replace(upper(trim(locality)), ' *\\([^)]*\\)$', '')) AS locality_name, lotplan_status, address_status, geocode_type, lot, plan FROM raw)
+SELECT address_pid, street_name, street_type, street_suffix, locality_name FROM up WHERE lotplan_status <> 'D' AND address_status IN ('P')""",
 )
 def pli_clean(t):
     from waymark.sources.pli import cleaned

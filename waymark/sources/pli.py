@@ -15,13 +15,13 @@ from waymark.operators.scoring import ADDRESS_COLUMNS, ADDRESS_SCHEMA, with_colu
 from waymark.sources.store import Store
 
 # Fixed values of the list's format.
-SUFFIX_CODES = {"E": "EAST", "W": "WEST", "N": "NORTH", "S": "SOUTH", "CN": "CENTRAL"}
+SUFFIX_CODES = {"EAST": "E", "WEST": "W", "NORTH": "N", "SOUTH": "S", "CENTRAL": "CN"}
 NO_LOT = ("0", "9999")
 DATUMS = ("GDA94", "GDA2020")
 COLUMNS = (
-    "lot plan lotplan_status address_pid unit_number unit_suffix unit_type floor_number floor_type property_name street_no_1 street_no_1_suffix street_no_2 street_no_2_suffix street_name street_type "
-    "street_suffix locality local_authority address_standard status latitude longitude datum geocode"
-).split()
+    "address_pid plan lot lotplan_status address_status address_standard unit_type unit_number unit_suffix property_name street_no_1 street_no_1_suffix street_no_2 street_no_2_suffix "
+    "street_name street_type street_suffix locality local_authority lga_code latitude longitude geocode_type datum"
+).split()
 
 
 def text_file(path: str, spare: str) -> str:
@@ -45,15 +45,18 @@ def read_pli(spark: SparkSession, path: str, columns: list[str] | None = None) -
     return spark.read.option("sep", "|").option("header", True).option("quote", "").schema(", ".join(f"{c} string" for c in columns)).csv(path)
 
 
-def cleaned(raw: DataFrame, statuses: tuple[str, ...] = ("P", "H")) -> DataFrame:
-    """Trimmed upper case, one row per address_pid, rows of other statuses and deleted lot-plans left out."""
+def cleaned(raw: DataFrame, statuses: tuple[str, ...] = ("P", "H"), deleted_lotplans: bool = False) -> DataFrame:
+    """Trimmed upper case, one row per address_pid; rows of other statuses and, unless asked for, of deleted lot-plans
+    are left out."""
     rows = raw.select(*[F.nullif(F.upper(F.trim(c)), F.lit("")).alias(c) for c in raw.columns])
-    rows = rows.where(F.col("status").isin(*statuses) & (F.coalesce(F.col("lotplan_status"), F.lit("")) != "D"))
+    rows = rows.where(F.col("address_status").isin(*statuses) & F.col("street_name").isNotNull())
+    if not deleted_lotplans:
+        rows = rows.where(F.coalesce(F.col("lotplan_status"), F.lit("")) != "D")
     rows = rows.withColumns({
         "street_type": F.nullif("street_type", F.lit("XXX")), "street_suffix": mapped(F.col("street_suffix"), SUFFIX_CODES), "locality_name": F.trim(F.regexp_replace("locality", r" *\([^)]*\)$", "")),
         "lot": F.when(~F.col("lot").isin(*NO_LOT), F.col("lot")),
     })
-    order = [(F.col("geocode") == "PC").desc_nulls_last(), (F.col("lotplan_status") == "C").desc_nulls_last(), F.col("plan").asc_nulls_last(), F.col("lot").asc_nulls_last()]
+    order = [(F.col("geocode_type") == "PC").desc_nulls_last(), (F.col("lotplan_status") == "C").desc_nulls_last(), F.col("plan").asc_nulls_last(), F.col("lot").asc_nulls_last()]
     order += [F.col(c).asc_nulls_last() for c in ("latitude", "longitude") if c in rows.columns]
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy("address_pid").orderBy(*order))).where("_n = 1").drop("_n")
 
@@ -114,7 +117,7 @@ def core_keys(ref: DataFrame) -> DataFrame:
     return ref.select(F.concat_ws("|", mapped(kind, score_flat_types()), F.coalesce("flat_number", F.lit("")), F.coalesce(span, "lot_number", F.lit("")), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("street_name", "street_type", "locality_name", "postcode")]).alias("core_key"))
 
 
-def load_pli(store: Store, path: str, statuses: tuple[str, ...] = ("P", "H"), overwrite: bool = False) -> DataFrame:
+def load_pli(store: Store, path: str, statuses: tuple[str, ...] = ("P", "H"), overwrite: bool = False, deleted_lotplans: bool = False) -> DataFrame:
     """Reconciles a list with the store and adds what is new; returns the funnel (status, n, pct)."""
     raw = read_pli(store.spark, text_file(path, store.root))
     if not raw.where(F.col("datum").isNotNull() & ~F.upper(F.trim("datum")).isin(*DATUMS)).isEmpty():
@@ -123,7 +126,7 @@ def load_pli(store: Store, path: str, statuses: tuple[str, ...] = ("P", "H"), ov
     rest = ref.where("source IS NULL OR source <> 'pli'")
     if overwrite:
         ref = rest
-    rows = with_postcodes(cleaned(raw, statuses), rest)
+    rows = with_postcodes(cleaned(raw, statuses, deleted_lotplans), rest)
     todo = rows.where("postcode IS NULL").select(F.col("address_pid").alias("pid"), "locality_name", F.col("longitude").try_cast("double").alias("longitude"), F.col("latitude").try_cast("double").alias("latitude"))
     near = indexes.nearest(todo, rest, "locality_name").select(F.col("pid").alias("address_pid"), F.col("postcode").alias("_near"))
     rows = rows.join(near, "address_pid", "left").withColumn("postcode", F.coalesce("postcode", "_near")).drop("_near")
