@@ -300,6 +300,8 @@ class Repeats:
 
         dealt = deal(docs, id_col, text_col, bits, self.cut)
         found, _ = shared.put(dealt.groupBy("bucket").applyInArrow(met, FOUND))
+        del dealt
+        shared.forget()
         texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), part_column(id_col, parts).alias("part"))
         by_part = texts.groupBy("part")
         if keep:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import re
 import tempfile
@@ -79,6 +80,11 @@ class Shared:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
+    def forget(self) -> None:
+        """Lets the driver find the frames that ended in a table, so that Spark deletes their shuffle files."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)

@@ -272,6 +272,8 @@ def score_documents(docs: DataFrame, is_training: Column, id_col: str = "doc_id"
     by_part = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).groupBy("part")
     asked = by_part.applyInArrow(lambda texts: ask(texts, bits), "bucket int, part int, tokens binary, counts binary")
     told, _ = shared.put(asked.groupBy("bucket").applyInArrow(answer, "part int, bucket int, counts binary, wide boolean, total long, kinds long"))
+    del asked
+    shared.forget()
     sums = told.where("part = -1").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("v")).first()
 
     def finish(texts: pa.Table, told: pa.Table) -> pa.Table:
