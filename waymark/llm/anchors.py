@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -202,6 +203,12 @@ def joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, kind)
 
 
+def contents_of(table: pa.Table, kind: type) -> np.ndarray:
+    """The contents in the rows of CONTENT, end to end."""
+    found = [np.frombuffer(zstandard.decompress(x.as_py()), kind) for x in table.column("payload")]
+    return np.concatenate(found) if found else np.zeros(0, kind)
+
+
 def deal(docs: DataFrame, id_col: str, text_col: str, bits: int, cut: Callable[[str | None], tuple[np.ndarray, ...]]) -> DataFrame:
     """Every document's segments, by bucket."""
 
@@ -227,6 +234,7 @@ class Repeats:
 
     width: int
     gram: int
+    sources = False  # whether removals carry the place they repeat
 
     def tokens(self, text: str | None) -> np.ndarray:
         raise NotImplementedError
@@ -255,7 +263,8 @@ class Repeats:
             return table_of([], FOUND)
         gone, ask = self.same(b), self.asks(b)
         anchors = (np.int64(bucket) << np.int64(32)) | b.anchors[ask].astype(np.int64)
-        rows = found_rows(parts, CUT, b.docs[gone], b.starts[gone], b.counts[gone], b.docs[b.first[gone]], b.starts[b.first[gone]].astype(np.uint32))
+        source = b.first[gone] if self.sources else np.zeros(0, np.int64)
+        rows = found_rows(parts, CUT, b.docs[gone], b.starts[gone], b.counts[gone], b.docs[source], b.starts[source].astype(np.uint32))
         rows += found_rows(parts, ASK, b.docs[ask], b.starts[ask], b.counts[ask], anchors, np.zeros(0, np.uint32))
         return table_of(rows, FOUND)
 
@@ -278,7 +287,7 @@ class Repeats:
         rows = []
         for x, y in zip(cuts, cuts[1:]):
             o = order[x:y]
-            rows.append((int(buckets[o[0]]), docs[o].tobytes(), starts[o].tobytes(), counts[o].tobytes(), keys[o].astype(np.uint32).tobytes(), b"".join([payload[i] or b"" for i in o.tolist()])))
+            rows.append((int(buckets[o[0]]), docs[o].tobytes(), starts[o].tobytes(), counts[o].tobytes(), keys[o].astype(np.uint32).tobytes(), zstandard.compress(b"".join([payload[i] or b"" for i in o.tolist()]), 1)))
         return table_of(rows, CONTENT)
 
     def find(self, docs: DataFrame, id_col: str, text_col: str, finish: Callable[[pa.Table, pa.Table], pa.Table], schema: str, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -7,6 +7,7 @@ import gc
 import os
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -82,8 +83,10 @@ class Shared:
 
     def forget(self) -> None:
         """Lets the driver find the frames that ended in a table, so that Spark deletes their shuffle files."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # what the first round finds holds what the second one does
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
 
     def drop(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm

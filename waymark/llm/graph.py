@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.anchors import CUT, NO_ID, Bucket, Repeats, found_rows, joined, removed
+from waymark.llm.anchors import CUT, NO_ID, Bucket, Repeats, contents_of, found_rows, joined, removed
 from waymark.llm.common import U64, gram_hash, mix, read_table, small_batches
 from waymark.llm.features import word_bounds, word_hashes
 
@@ -36,7 +36,7 @@ def text_words(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray, np.ndar
 
 
 class WordRepeats(Repeats):
-    width, gram = WIDTH, GRAM
+    width, gram, sources = WIDTH, GRAM, True
 
     def tokens(self, text: str | None) -> np.ndarray:
         return text_words(text)[3]
@@ -54,7 +54,7 @@ class WordRepeats(Repeats):
     def settle(self, table: pa.Table, parts: int) -> list[tuple]:
         """Each edge's first occurrence is its source; the others repeat it."""
         counts = joined(table, "counts", np.uint8).astype(np.int64)
-        edges = joined(table, "payload", np.uint64)
+        edges = contents_of(table, np.uint64)
         piece = np.repeat(np.arange(len(counts)), counts)
         place = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
         docs, starts = joined(table, "docs", np.int64)[piece], joined(table, "starts", np.uint32).astype(np.int64)[piece] + place

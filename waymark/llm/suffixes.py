@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm.anchors import CUT, NO_ID, Bucket, Repeats, found_rows, joined, removed, repeated
+from waymark.llm.anchors import CUT, NO_ID, Bucket, Repeats, contents_of, found_rows, joined, removed, repeated
 from waymark.llm.common import U64, gram_hash, mix, read_table
 from waymark.llm.features import BYTE_VALUES
 
@@ -98,7 +98,7 @@ class ByteRepeats(Repeats):
 
     def settle(self, table: pa.Table, parts: int) -> list[tuple]:
         counts = joined(table, "counts", np.uint8).astype(np.int64)
-        raw = joined(table, "payload", np.uint8)
+        raw = contents_of(table, np.uint8)
         if not len(counts) or not len(raw):
             return []
         docs, starts, anchors = joined(table, "docs", np.int64), joined(table, "starts", np.uint32).astype(np.int64), joined(table, "anchors", np.uint32)
