@@ -328,6 +328,17 @@ def test_bpe_equals_the_library(docs, empty):
     assert bpe.encode_documents(empty, path).count() == 0
 
 
+def test_bpe_encodes_every_word_of_a_very_long_text_once():
+    from tokenizers import Tokenizer
+
+    path = bpe.default_tokenizer()
+    library = Tokenizer.from_file(path)
+    for n in (bpe.BLOCK_WORDS, bpe.BLOCK_WORDS + 1, 65_000):
+        text = " ".join(f"w{i % 7919}" if i % 3 else "the" for i in range(n // 2)) + " x" * (n - n // 2)
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert bpe.codec(path).encode_text(text) == (" ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False)), n
+
+
 def test_bpe_cuts_are_certain():
     codec = bpe.codec(bpe.default_tokenizer())
     for token in list(codec.vocab)[::97]:

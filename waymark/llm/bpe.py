@@ -23,6 +23,8 @@ from waymark.llm.common import arrow_map, read_table, small_batches
 
 #: Words of a generation that a worker remembers; bounds its memory to about 100 MB.
 MEMO_ENTRIES = 120_000
+#: Words of a text that are looked up at once, between which a worker's memory may start anew.
+BLOCK_WORDS = 20_000
 
 
 def default_tokenizer() -> str:
@@ -195,8 +197,8 @@ class WordBpe:
                 said.append(part)
                 continue
             words = self.words(self.normalise(part))
-            for at in range(0, len(words), 20_000):  # so that a worker's memory starts anew between blocks
-                some = words[at : at + 50_000]
+            for at in range(0, len(words), BLOCK_WORDS):
+                some = words[at : at + BLOCK_WORDS]
                 memo.make_room(len(some))
                 ids += map(memo.__getitem__, some)
                 said += map(memo.decoded.__getitem__, some)
