@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import cases
 from tests.llm.cases import WORD
-from waymark.llm import bpe, decontaminate, extract, graph, langid, lm, quality, shards, simhash, suffixes
+from waymark.llm import bpe, decontaminate, extract, graph, langid, lm, minhash, quality, shards, simhash, suffixes
 from waymark.llm.page_labels import labelled_pages
 
 ASCII_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -136,6 +136,32 @@ def test_simhash_links_over_two_bits_and_chains(spark):
     assert {n for n, _ in found} == {0, 3, low, 5} and {r for _, r in found} == {low}
 
 
+@pytest.mark.parametrize("small", [32, 2])
+def test_near_duplicate_stage_reaches_similarity(spark, docs, empty, small, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL", small)
+    base = [f"w{i}" for i in range(200)]
+    near = [" ".join([*base[:k], "changed", *base[k + 1 :]]) for k in (50, 90, 130)]  # 191 of 201 shingles
+    edge = " ".join([f"v{i}" if i in (20, 60, 100, 140) else w for i, w in enumerate(base)])  # 0.81 of base
+    far = " ".join([f"u{i}" if i % 25 == 0 else w for i, w in enumerate(base)])  # under 0.8 of all
+    rows = [" ".join(base), *near, edge, far, "", None, "a b c", "A  b\nC", "a b d"]
+    frame = cases.documents(spark, extra=False, some=rows)
+
+    def brute(text):
+        w = WORD.findall((text or "").translate(ASCII_LOWER))
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [brute(t) for t in rows]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for a, b in itertools.combinations(range(len(rows)), 2):
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root[a] = root[b] = min(root[a], root[b])
+    assert root[:6] == [0, 0, 0, 0, 0, 5]
+    kept = {r["doc_id"] // 3 for r in simhash.stage(spark, frame, "").collect()}
+    assert kept == {i for i, r in enumerate(root) if i == r}
+    assert simhash.stage(spark, empty, "").count() == 0
+
+
 # 4: shards
 
 
