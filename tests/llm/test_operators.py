@@ -50,6 +50,50 @@ def test_extract_keeps_articles_and_drops_the_rest(spark):
     assert extract.extract_pages(pages.limit(0)).count() == 0
 
 
+READER = {
+    '<article title="the hidden valley"><p>One two three four.</p></article>': "One two three four.",
+    '<article data-hidden="false" aria-hidden=false><p>One two three four.</p></article>': "One two three four.",
+    "<article><p hidden>Not this one here.</p><p style='color:red; DISPLAY : none'>Nor this one.</p><p>One two three four.</p></article>": "One two three four.",
+    "<html><head><title>no</title><article><p>One two three four.</p></article>": "One two three four.",
+    "<article><p>One<!--> two<!---> three<!-- x --!> four.<!-- y --></p></article>": "One two three four.",
+    "<article><script src=/a.js/>var a = 1;</script><p>One two three four.</p></article>": "One two three four.",
+    "<article><script data-x='a>b'>var a = 1;</script><p>One two three four.</p></article>": "One two three four.",
+    "<article><p title=it's class='a>b' data-y=\"x>\">One two three four.</p><p>Don't stop.</p></article>": "One two three four.\n\nDon't stop.",
+    "<article><p>One <svg width=1/><svg><text>no</text></svg>two <math><mi>x</mi><mo>=</mo><mn>3</mn></math> four.</p></article>": "One two x=3 four.",
+    "<article><p>One two three four.</p><div class='x": "One two three four.",
+}
+
+
+@pytest.mark.parametrize("source", list(READER))
+def test_extract_reads_awkward_markup(source):
+    assert extract.main_text(source, extract.model()) == READER[source]
+
+
+def other_pages(count, seed):
+    """Pages of a second maker: names that the training pages never have, other nesting; (source, text expected)."""
+    import random
+
+    r = random.Random(seed)
+    say = lambda a, z: " ".join("".join(r.choices("aeioulnrstdkmpv", k=r.randint(2, 9))) for _ in range(r.randint(a, z))).capitalize() + "."
+    link = lambda: f'<a href="/x{r.randint(1, 99)}">{say(1, 3)[:-1]}</a>'
+    for _ in range(count):
+        menu = f"<{(k := r.choice(('nav', 'header')))} class='k-{r.randint(1, 9)} zz'><ul>" + "".join(f"<li>{link()}</li>" for _ in range(r.randint(3, 8))) + f"</ul></{k}>"
+        title, paragraphs = say(3, 8)[:-1], [say(15, 90) for _ in range(r.randint(3, 9))]
+        body = "".join(f"<p class=q{r.randint(1, 5)}>{x}</p>" if r.random() < 0.9 else f"<blockquote><p>{x}</p></blockquote>" for x in paragraphs)
+        box = r.choice(("article", "main", "article", "section"))
+        aside = f"<aside id=w{r.randint(1, 9)}><h4>{say(1, 3)[:-1]}</h4><ul>" + "".join(f"<li>{link()}</li>" for _ in range(r.randint(2, 5))) + "</ul></aside>"
+        form = f"<form action=/s><label>{say(1, 2)}</label><input name=q><button>Go</button></form>"
+        foot = f"<footer class=zb><p>{say(3, 9)}</p>{link()} | {link()}</footer>"
+        parts = [menu, f"<{box} class='m{r.randint(1, 9)}-zone'><h1>{title}</h1>{body}</{box}>", *r.sample([aside, form], r.randint(0, 2)), foot]
+        yield f"<!doctype html><html><head><title>t</title></head><body><div class=ww>{''.join(parts)}</div></body></html>", "\n\n".join([title, *paragraphs])
+
+
+def test_extract_pages_of_another_maker():
+    tree, pages = extract.model(), list(other_pages(200, 6))
+    right = sum(extract.main_text(source, tree) == text for source, text in pages)
+    assert right >= 0.95 * len(pages), right
+
+
 def test_extract_held_out_pages():
     tree, wrong, n = extract.model(), 0, 0
     for page, labels in labelled_pages(150, 321):

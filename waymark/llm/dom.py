@@ -6,17 +6,23 @@ import html as entities
 import re
 
 #: Elements whose content is never text of the page (raw text in HTML, or not shown).
-RAW = "script|style|textarea|title|noscript|iframe|noembed|noframes|xmp|template|svg|math|object|canvas"
+RAW = "script|style|textarea|title|noscript|iframe|noembed|noframes|template|object|canvas"
+#: Attributes of a tag, names apart from values: a quote matters only where a value begins.
+ATTRIBUTES = r"(?:[\s/]*+[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+))?+)*+[\s/]*+"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*+(?<!/)>.*?(?:</\1(?=[\s/>])[^>]*+>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|<[!?/][^>]*+>",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"  # an empty comment ends at once
+    rf"|<({RAW})(?=[\s/>]){ATTRIBUTES}>.*?(?:</\1(?=[\s/>])[^>]*+>|\Z)"  # "/>" closes none of these
+    rf"|<svg(?=[\s/>]){ATTRIBUTES}(?:(?<=/)>|>.*?(?:</svg(?=[\s/>])[^>]*+>|\Z))"
+    rf"|<(/?)([a-zA-Z][^\s/>]*+)({ATTRIBUTES})>|<[!?/][^>]*+>|</?[a-zA-Z][^<>]*+\Z",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)))?+""")
+NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b")
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img picture source input button select option optgroup output meter progress br".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img picture source input button select option optgroup output meter progress br "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover semantics".split()
 )
-#: Inline elements whose own words are controls, not prose.
+#: Inline elements whose own words are controls of a form, not prose.
 CONTROLS = frozenset(("button", "select", "option", "optgroup", "output", "meter", "progress"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Start tags that end an open paragraph, and what ends an open element of the same kind.
@@ -36,14 +42,13 @@ class Page:
         self.blocks: list[tuple[int, str, int]] = []
         self.hidden = {0: False}
         self._stack, self._text, self._linked, self._inside = [0], [], 0, [0, 0]
-        self._head = 0
         if source:
             self._read(source.replace("\0", ""))
 
     def _flush(self) -> None:
         if self._text:
             text = SPACE.sub(" ", entities.unescape("".join(self._text))).strip()
-            if text and not self._head and not self.hidden[self._stack[-1]]:
+            if text and not self.hidden[self._stack[-1]]:
                 self.blocks.append((self._stack[-1], text, self._linked))
             self._text.clear()
         self._linked = 0
@@ -63,10 +68,10 @@ class Page:
         words, hidden = (), self.hidden[stack[-1]]
         if attributes:
             for m in ATTRIBUTE.finditer(attributes):
-                value = (m[2] or m[3] or m[4] or "").lower()
-                if m[1].lower() == "hidden" and "aria-hidden" not in attributes or m[1].lower() == "style" and "display:none" in value.replace(" ", ""):
+                name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+                if name == "hidden" or name == "style" and NOT_SHOWN.search(value):
                     hidden = True
-                elif m[1].lower() in ("class", "id", "role"):
+                elif name in ("class", "id", "role"):
                     words += tuple(re.findall("[a-z]+", value))
         tags.append(tag)
         self.parents.append(stack[-1])
@@ -104,8 +109,7 @@ class Page:
                 continue
             self._flush()
             inside[0] = inside[1] = 0
-            if tag in ("html", "body", "head"):
-                self._head = tag == "head" and not m[2]
+            if tag in ("html", "body", "head"):  # what a head shows nothing of is raw; the first text ends it
                 if tag == "body" and not m[2] and len(self._stack) > 1:
                     self._stack[1:] = []
                 continue

@@ -7,7 +7,9 @@ estimated, with smoothing, from labelled pages. Blocks of elements that are more
 
 Defined results: null, empty and text-free pages give an empty text; unclosed and stray tags, cut pages and character
 references without an end are read as browsers do, in simplified form; bare text counts as one block of the document;
-very long pages are read whole. Further columns are ignored.
+very long pages are read whole; every row gives one row, so null and repeated ids and repeated rows do, each from its own
+html; an element as likely main text as not is left out; an empty table gives none. Words of buttons and other form
+controls, and what ``svg``, ``object`` and ``canvas`` hold, are no text. Further columns are ignored.
 """
 
 from __future__ import annotations
