@@ -315,53 +315,102 @@ def test_suffix_tree_scores_by_longest_state():
 # 7 and 9: repeats
 
 
-def brute_repeats(rows: dict, tokens, width: int, same_document: bool):
+def brute_repeats(docs, tokens, width: int, same_document: bool):
+    """For each document (id, mark) its tokens and which of them are removed; rows of one id are told apart by their texts."""
+    rows = {(r["doc_id"], r["mark"]): r["text"] for r in docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").collect()}
+    ordered = sorted(rows, key=lambda k: (k[0] is not None, k[0] or 0, k[1]))
     first: dict = {}
-    ordered = sorted(rows, key=lambda i: (i is not None, i or 0))
-    units = {i: tokens(rows[i]) for i in ordered}
-    for i in ordered:
-        for p in range(len(units[i]) - width + 1):
-            first.setdefault(tuple(units[i][p : p + width]), (i, p))
+    units = {k: tokens(rows[k]) for k in ordered}
+    for k in ordered:
+        for p in range(len(units[k]) - width + 1):
+            first.setdefault(tuple(units[k][p : p + width]), (k, p))
     out = {}
-    for i in ordered:
-        gone = [False] * len(units[i])
-        for p in range(len(units[i]) - width + 1):
-            at = first[tuple(units[i][p : p + width])]
-            if at != (i, p) and (same_document or at[0] != i):
+    for k in ordered:
+        gone = [False] * len(units[k])
+        for p in range(len(units[k]) - width + 1):
+            at = first[tuple(units[k][p : p + width])]
+            if at != (k, p) and (same_document or at[0][0] != k[0]):
                 gone[p : p + width] = [True] * width
-        out[i] = gone
+        out[k] = gone
     return units, out
 
 
+def shared_line(spark, n=300, seed=5):
+    """Every row has one line in surroundings of its own; a third are copies; ids are missing and repeated, with other texts."""
+    import random
+
+    r = random.Random(seed)
+    say = lambda k: " ".join("".join(r.choices("abcdefgh", k=r.randint(2, 6))) for _ in range(k))
+    line, copy = say(45), say(80)
+    rows = [(None if i % 25 == 3 else i // 2 if i % 10 == 7 else i, copy if i % 3 == 0 else f"{say(r.randint(5, 40))} {line} {say(r.randint(5, 40))}") for i in range(n)]
+    rows += [(11, say(40) + " " + line[40:]), (11, copy + " x " + say(30)), (None, None), (4, ""), (None, copy)] + rows[5:9]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+
+def check_words(docs):
+    units, gone = brute_repeats(docs, lambda t: WORD.findall(t or ""), 20, True)
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in graph.repeated_spans(docs, digest=True).collect())
+    keys = [(r["doc_id"], r["mark"]) for r in docs.select("doc_id", F.xxhash64("text").alias("mark")).collect()]
+    assert got == sorted((str(k[0]), len(units[k]), sum(gone[k]), sha(" ".join(w for w, g in zip(units[k], gone[k]) if not g).encode())) for k in keys)
+    return gone
+
+
 def test_word_repeats_equal_brute_force(spark, docs, empty):
-    rows = cases.distinct_rows(docs)
-    units, gone = brute_repeats(rows, lambda t: WORD.findall(t or ""), 20, True)
-    got = graph.repeated_spans(docs, digest=True).collect()
-    assert len(got) == docs.count()
-    for r in got:
-        i = r["doc_id"]
-        kept = [w for w, g in zip(units[i], gone[i]) if not g]
-        assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == (len(units[i]), sum(gone[i]), sha(" ".join(kept).encode())), i
+    gone, texts = check_words(docs), cases.distinct_rows(docs)
     for r in graph.repeated_spans(docs).collect():
-        i = r["doc_id"]
-        assert WORD.findall(r["kept"] or "") == [w for w, g in zip(units[i], gone[i]) if not g]
+        words = WORD.findall(texts[r["doc_id"]] or "")
+        own = next(g for k, g in gone.items() if k[0] == r["doc_id"])
+        assert WORD.findall(r["kept"] or "") == [w for w, g in zip(words, own) if not g]
         for s in r["spans"]:
-            source = None if s["source"] == -(1 << 63) else s["source"]
-            assert units[i][s["start"] : s["start"] + s["words"]] == units[source][s["source_start"] : s["source_start"] + s["words"]]
+            assert words[s["start"] : s["start"] + s["words"]] == WORD.findall(texts[s["source"]])[s["source_start"] : s["source_start"] + s["words"]]
     assert graph.repeated_spans(empty, digest=True).count() == 0
     staged = graph.stage(spark, docs, "")
     assert staged.columns == docs.columns and staged.count() <= docs.count()
 
 
-def test_byte_repeats_equal_brute_force(docs, empty):
-    rows = cases.distinct_rows(docs)
-    units, gone = brute_repeats(rows, lambda t: (t or "").encode(), 50, False)
-    got = suffixes.repeated_bytes(docs, digest=True).collect()
-    assert len(got) == docs.count()
+def test_repeats_with_missing_and_repeated_ids_and_a_line_of_all_rows(spark):
+    docs = shared_line(spark).cache()
+    check_words(docs)
+    check_bytes(docs)
+
+
+def test_a_common_line_does_not_fill_one_bucket(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from waymark.llm import anchors
+
+    docs = shared_line(spark, 2000)
+    dealt = graph.WordRepeats().deal(anchors.keyed(docs, "doc_id", "text"), 3, 8, 2009).where(F.col("kind") == anchors.SEGMENT).toArrow()
+    found = Counter()
+    for k, row in enumerate(dealt.to_pylist()):
+        found.update((row["place"], a) for a in np.frombuffer(row["a"], np.uint32).tolist())
+    assert max(found.values()) <= 4 * anchors.RECURS and isinstance(dealt, pa.Table)
+
+
+def test_paths_compact_between_branching_nodes(spark):
+    from waymark.llm.common import Shared
+
+    # one path of nodes 1 to 9 in three pieces, from which 20 branches off at 5; a ring of 30, 31 and 32
+    rows = [(1, 0, 0, 2, [1, 2, 3]), (1, 0, 2, 4, [3, 4, 5, 6, 7]), (2, 0, 9, 2, [7, 8, 9]), (3, 0, 0, 1, [5, 20]), (4, 0, 0, 2, [30, 31, 32]), (4, 0, 5, 1, [32, 30])]
+    pieces = spark.createDataFrame(rows, "gid long, gmark long, gstart long, n long, nodes array<long>")
+    got = [(r["gid"], r["gstart"], r["io"], r["n"], r["path"], r["at"]) for r in graph.compacted(pieces, Shared(spark)).collect()]
+    by = {}
     for r in got:
-        i = r["doc_id"]
-        spans = sum(g and (k == 0 or not gone[i][k - 1]) for k, g in enumerate(gone[i]))
-        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(units[i]), sum(gone[i]), spans, sha(bytes(b for b, g in zip(units[i], gone[i]) if not g))), i
+        by.setdefault(r[4], []).append((r[5], *r[:4]))
+    assert sorted(sorted(x) for x in by.values()) == [[(0, 1, 0, 0, 2), (2, 1, 2, 0, 2)], [(0, 1, 2, 2, 2), (2, 2, 9, 0, 2)], [(0, 3, 0, 0, 1)], [(0, 4, 0, 0, 2)], [(0, 4, 5, 0, 1)]]
+
+
+def check_bytes(docs):
+    units, gone = brute_repeats(docs, lambda t: (t or "").encode(), 50, False)
+    runs = lambda k: sum(g and (i == 0 or not gone[k][i - 1]) for i, g in enumerate(gone[k]))
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.repeated_bytes(docs, digest=True).collect())
+    keys = [(r["doc_id"], r["mark"]) for r in docs.select("doc_id", F.xxhash64("text").alias("mark")).collect()]
+    assert got == sorted((str(k[0]), len(units[k]), sum(gone[k]), runs(k), sha(bytes(b for b, g in zip(units[k], gone[k]) if not g))) for k in keys)
+
+
+def test_byte_repeats_equal_brute_force(docs, empty):
+    check_bytes(docs)
     assert suffixes.repeated_bytes(empty, digest=True).count() == 0
 
 

@@ -1,14 +1,16 @@
 """Substring dedup on bytes with an enhanced suffix array and its interval tree.
 
-Segments of equal content are one leaf: every occurrence outside their first document is a repeat. What is left, segments
-that share an anchor but not all of their content, is indexed bucket by bucket: suffixes of at least ``WIDTH`` bytes are
+Texts are dealt as segments, by their anchors. Equal segments are one leaf of the tree, told by hashes of content and
+anchor (48 bits, and 32 besides those of the bucket): a leaf's occurrences after its first document are repeats. Segments
+that share an anchor but not all of their content are indexed bucket by bucket: suffixes of at least ``WIDTH`` bytes are
 sorted, common prefixes of neighbours measured, and one scan with a stack visits the intervals of the common-prefix tree.
 An interval whose occurrences are preceded by different bytes cannot be extended to the left: it is a maximal repeat, and
 all its occurrences form its group. Occurrences in later documents than the group's first are removed.
 
 Defined results: null counts as empty; texts shorter than ``WIDTH`` bytes keep all; occurrences within one document alone
-are no repeat; equal rows of one id are one document; a null id sorts before all others; very long texts are read whole.
-Cuts may split a character: what is left is handled as bytes. The id is an integer. Further columns are ignored.
+are no repeat, nor are those in rows of one id, whatever their texts; each row gets its own result; a null id sorts before
+all others; very long texts are read whole; an empty table gives none. Cuts may split a character: what is left is handled
+as bytes. The id is an integer. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,9 +20,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from waymark.llm.anchors import CUT, NO_ID, Bucket, Repeats, contents_of, found_rows, joined, removed, repeated
-from waymark.llm.common import U64, gram_hash, mix, read_table
+from waymark.llm.anchors import CUT, PACK, Bucket, Docs, Repeats, by_part, contents_of, joined, keyed, owners, removed, repeated, table_of, texts_by_part
+from waymark.llm.common import U64, Shared, gram_hash, mix, read_table, trim
 from waymark.llm.features import BYTE_VALUES
 
 WIDTH, GRAM = 50, 16
@@ -81,27 +84,27 @@ def maximal_repeats(common: np.ndarray, before: np.ndarray, least: int) -> list[
 
 
 class ByteRepeats(Repeats):
-    width, gram = WIDTH, GRAM
+    width, gram, sources = WIDTH, GRAM, False
 
     def tokens(self, text: str | None) -> np.ndarray:
         return BYTE_VALUES[np.frombuffer(as_bytes(text), np.uint8)]
 
-    def same(self, b: Bucket) -> np.ndarray:
-        return b.docs != b.docs[b.first]
+    def same(self, docs: Docs, number: np.ndarray, starts: np.ndarray, first: np.ndarray, first_starts: np.ndarray) -> np.ndarray:
+        return docs.ids[number] != docs.ids[first]
 
     def asks(self, b: Bucket) -> np.ndarray:
-        return b.mixed & ~self.same(b)
+        return b.mixed
 
     def payload(self, text: str | None, starts: np.ndarray, counts: np.ndarray) -> list[bytes]:
         raw = as_bytes(text)
         return [raw[a : a + n + WIDTH - 1] for a, n in zip(starts.tolist(), counts.tolist())]
 
-    def settle(self, table: pa.Table, parts: int) -> list[tuple]:
+    def settle(self, table: pa.Table, parts: int) -> pa.Table:
         counts = joined(table, "counts", np.uint8).astype(np.int64)
         raw = contents_of(table, np.uint8)
         if not len(counts) or not len(raw):
-            return []
-        docs, starts, anchors = joined(table, "docs", np.int64), joined(table, "starts", np.uint32).astype(np.int64), joined(table, "anchors", np.uint32)
+            return table_of([])
+        docs, starts, anchors = Docs(*owners(table)), joined(table, "starts", np.uint32).astype(np.int64), joined(table, "a", np.uint32)
         begins = np.cumsum(counts + WIDTH - 1) - (counts + WIDTH - 1)
         order = np.argsort(anchors, kind="stable")  # anchors one after another, a block of them at a time
         edge = np.append(np.flatnonzero(np.diff(anchors[order])) + 1, len(order))
@@ -109,11 +112,11 @@ class ByteRepeats(Repeats):
         while done < len(order):
             reach = np.searchsorted(total, (total[done - 1] if done else 0) + BLOCK)
             until = int(edge[min(np.searchsorted(edge, max(reach, done + 1)), len(edge) - 1)])
-            rows += self.anchors_of(raw, docs, starts, anchors, begins, counts, order[done:until], parts)
+            rows += self.anchors_of(docs, raw, starts, anchors, begins, counts, order[done:until], parts)
             done = until
-        return rows
+        return table_of(rows)
 
-    def anchors_of(self, raw: np.ndarray, docs: np.ndarray, starts: np.ndarray, anchors: np.ndarray, begins: np.ndarray, counts: np.ndarray, some: np.ndarray, parts: int) -> list[tuple]:
+    def anchors_of(self, docs: Docs, raw: np.ndarray, starts: np.ndarray, anchors: np.ndarray, begins: np.ndarray, counts: np.ndarray, some: np.ndarray, parts: int) -> list[tuple]:
         """The removals among the segments of a block of anchors."""
         n = counts[some]
         piece = np.repeat(some, n)
@@ -127,50 +130,50 @@ class ByteRepeats(Repeats):
         edges = gram_hash(BYTE_VALUES[joint], WIDTH, EDGE_BASE)[first]
         live = repeated(mix(edges ^ (anchors[piece].astype(U64) * EDGE_BASE)))
         at, piece, place = at[live], piece[live], place[live]
-        return self.block(raw, docs, starts, anchors, begins + counts + WIDTH - 1, at, piece, place, parts) if len(at) else []
-
-    def block(self, raw: np.ndarray, docs: np.ndarray, starts: np.ndarray, anchors: np.ndarray, ends: np.ndarray, at: np.ndarray, piece: np.ndarray, place: np.ndarray, parts: int) -> list[tuple]:
-        """The removals among the suffixes of a block of anchors."""
-        array = SuffixArray(raw, at, ends[piece], anchors[piece])
+        if not len(at):
+            return []
+        array = SuffixArray(raw, at, (begins + counts + WIDTH - 1)[piece], anchors[piece])
         at, piece, place = at[array.order], piece[array.order], place[array.order]
         before = np.where(place > 0, raw[np.maximum(at - 1, 0)].astype(np.int64), -1 - np.arange(len(at)))
         groups = maximal_repeats(array.common, before, WIDTH)
         if not groups:
             return []
         first, last, length = (np.array(x) for x in zip(*groups))
-        return self.cuts(docs[piece], starts[piece] + place, first, last, length, parts)
+        return self.cuts(docs, docs.number[piece], starts[piece] + place, first, last, length, parts)
 
-    def cuts(self, docs: np.ndarray, starts: np.ndarray, first: np.ndarray, last: np.ndarray, length: np.ndarray, parts: int) -> list[tuple]:
-        """Every occurrence of a group in a later document than the group's first."""
+    def cuts(self, docs: Docs, number: np.ndarray, starts: np.ndarray, first: np.ndarray, last: np.ndarray, length: np.ndarray, parts: int) -> list[tuple]:
+        """Every occurrence of a group in a document of a larger id than the group's first."""
         span = last - first + 1
-        rows = []
+        rows, ids = [], docs.ids[number]
         block = max(1, 4_000_000 // max(1, int(span.max())))
         for x in range(0, len(span), block):
             s, f = span[x : x + block], first[x : x + block]
             inside = np.repeat(f, s) + np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s)
-            owner = docs[inside]
-            least = np.repeat(np.minimum.reduceat(owner, np.cumsum(s) - s), s)
-            gone = owner > least
-            rows += found_rows(parts, CUT, owner[gone], starts[inside][gone], (np.repeat(length[x : x + block], s) - WIDTH + 1)[gone], np.zeros(0, np.int64), np.zeros(0, np.uint32))
+            least = np.repeat(np.minimum.reduceat(ids[inside], np.cumsum(s) - s), s)
+            gone = ids[inside] > least
+            rows += by_part(docs, parts, CUT, number[inside][gone], starts[inside][gone], (np.repeat(length[x : x + block], s) - WIDTH + 1)[gone].astype(np.uint32))
         return rows
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """Per row: the id, n_bytes, n_removed, n_spans, kept (binary) and spans, an array of (start, bytes); with
     ``digest``, kept_sha256 stands for the last two."""
-    plan = ByteRepeats()
+    shared = Shared(docs.sparkSession)
+    texts = keyed(docs, id_col, text_col)
+    found, more, parts = ByteRepeats().passes(texts, shared, PACK)
 
     def finish(texts: pa.Table, cuts: pa.Table) -> pa.Table:
-        owner, starts, counts = joined(cuts, "docs", np.int64), joined(cuts, "starts", np.uint32), joined(cuts, "counts", np.uint32)
-        order = np.argsort(owner, kind="stable")
-        owner, starts, counts = owner[order], starts[order], counts[order]
-        ids = texts.column("id").to_pylist()
+        owner = Docs(*owners(cuts))
+        starts, counts = joined(cuts, "starts", np.uint32), joined(cuts, "counts", np.uint32)
+        order = np.argsort(owner.number, kind="stable")
+        number, starts, counts = owner.number[order], starts[order], counts[order]
+        numbers = dict(zip(zip(owner.ids.tolist(), owner.marks.tolist()), range(len(owner.ids))))
         n_bytes, n_removed, n_spans, kept, spans = [], [], [], [], []
-        for doc, text in zip(ids, texts.column("text")):
-            doc, raw = NO_ID if doc is None else doc, as_bytes(text.as_py())
-            x, y = np.searchsorted(owner, doc), np.searchsorted(owner, doc, "right")
+        for key, mark, text in zip(texts.column("key").to_pylist(), texts.column("mark").to_pylist(), texts.column("text")):
+            raw, doc = as_bytes(text.as_py()), numbers.get((key, mark), -1)
+            x, y = np.searchsorted(number, [doc, doc + 1])
             runs: list[tuple[int, int]] = []
-            if x < y:
+            if doc >= 0:
                 gone = removed(len(raw), WIDTH, starts[x:y], counts[x:y])
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8))).tolist()
                 runs = list(zip(edge[::2], edge[1::2]))
@@ -182,13 +185,15 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             n_spans.append(len(runs))
             kept.append(hashlib.sha256(rest).hexdigest() if digest else rest)
             spans.append([{"start": a, "bytes": z - a} for a, z in runs])
-        columns = {id_col: pa.array(ids, pa.int64()), "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64())}
+        trim()
+        columns = {id_col: texts.column("id"), "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64())}
         if digest:
             return pa.table(columns | {"kept_sha256": pa.array(kept, pa.string())})
         return pa.table(columns | {"kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("bytes", pa.int64())])))})
 
     schema = f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else "kept binary, spans array<struct<start:long,bytes:long>>")
-    return plan.find(docs, id_col, text_col, finish, schema)
+    cuts = found.where(F.col("kind") == CUT).unionByName(more)
+    return texts_by_part(texts, parts).cogroup(cuts.groupBy("place")).applyInArrow(finish, schema)
 
 
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
