@@ -284,32 +284,75 @@ def test_suffix_tree_base_and_normalisation(docs, empty):
     assert lm.score_documents(empty, training).count() == 0
 
 
-def test_suffix_tree_scores_by_longest_state():
-    import numpy as np
+def brute_tree(texts, training, depth):
+    """log10 probability of each text by the definition: dictionaries of contexts, leave-one-out test, Witten-Bell."""
+    words = [[*WORD.findall((t or "").translate(ASCII_LOWER)), None] for t in texts]
+    count = Counter(w for ws, good in zip(words, training) if good for w in ws)
+    total, kinds = sum(count.values()), len(count)
+    base = lambda w: (count[w] + 0.5) / (total + 0.5 * (kinds + 1))
+    contexts = lambda ws, i, d: ("^", *ws[: i])[-d:] if i + 1 >= d else None
+    states: dict = {}
+
+    def probability(context, w):
+        for d in range(len(context), 0, -1):
+            seen = states.get(context[-d:])
+            if seen is not None:
+                n, k = sum(seen.values()), len(seen)
+                return (seen[w] + k * probability(context[-d:][1:], w)) / (n + k)
+        return base(w)
+
+    for d in range(1, depth + 1):
+        found: dict = {}
+        for ws, good in zip(words, training):
+            for i, w in enumerate(ws):
+                if good and contexts(ws, i, d):
+                    found.setdefault(contexts(ws, i, d), Counter())[w] += 1
+        new = {}
+        for c, seen in found.items():
+            n, k = sum(seen.values()), len(seen)
+            gain = sum(m * (math.log((m - 1) / (n - 1 + k)) - math.log(probability(c[1:], w))) for w, m in seen.items() if m > 1)
+            gain += sum(math.log(k / (n - 1 + k)) for m in seen.values() if m == 1) if n > 1 else 0
+            if n > 1 and gain > 1e-3:
+                new[c] = seen
+        states |= new
+    return [sum(math.log10(probability(("^", *ws[:i])[-depth:], w)) for i, w in enumerate(ws)) for ws in words], len(states)
+
+
+@pytest.mark.parametrize("most_hot", [4096, 8])
+def test_suffix_tree_equals_brute_force(spark, monkeypatch, most_hot):
+    import random
 
-    texts = [b"abracadabra " * 30, b"banana bandana " * 30, b"xyz"]
-    codes, counts = lm.summed(np.concatenate([lm.gram_codes(s) for s, _ in lm.streams(iter(texts))]), None)
-    by = {}
-    for d in range(1, lm.DEPTH + 1):
-        own, n = lm.summed(codes & np.uint64((1 << (8 * (d + 1))) - 1), counts)
-        by[d] = (own, n)
-    tree = lm.SuffixTree(by)
-    p = 10.0 ** tree.logp[1:]
-    spare = 256 - (tree.logp.shape[1] - 1)
-    assert np.allclose(p[:, :-1].sum(1) + spare * p[:, -1], 1, atol=2e-3)  # distributions over all bytes
-    text = b"abra ban"
-    stream = np.frombuffer(bytes([lm.START]) * lm.DEPTH + text + bytes([lm.END]), np.uint8)
-    total = 0.0
-    for at in range(lm.DEPTH, len(stream)):
-        state = walk = 1
-        for d in range(1, lm.DEPTH + 1):
-            walk = tree.next[walk, tree.column[stream[at - d]]]
-            if not walk:
-                break
-            state = walk
-        total += tree.logp[state, tree.column[stream[at]]]
-    assert tree.scores(stream, 1)[0] == pytest.approx(total, rel=1e-6)
-    assert len(tree.logp) > 10 and len(lm.SuffixTree(by, 5).logp) < len(tree.logp)
+    monkeypatch.setattr(lm, "MOST_HOT", most_hot)
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    chain = {w: r.sample(words, 3) for w in words}
+    texts = []
+    for _ in range(120):
+        ws = [r.choice(words)]
+        for _ in range(r.randint(0, 40)):
+            ws.append(r.choice(chain[ws[-1]]) if r.random() < 0.7 else r.choice(words))
+        texts.append(" ".join(ws))
+    texts += [texts[3], texts[3], texts[7].upper(), None, "", "new words only"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x["score"] for x in lm.score_documents(frame, F.col("doc_id") % 5 != 1).collect()}
+    expect, states = brute_tree(texts, [i % 5 != 1 for i in range(len(texts))], lm.DEPTH)
+    assert states > 60
+    assert [got[i] for i in range(len(texts))] == pytest.approx(expect, rel=2e-3)
+
+
+def test_suffix_tree_learns_the_corpus(spark):
+    """On rows that it has not seen the tree is no worse than its root; texts that occur twice stand out."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    got = lm.score_documents(docs, ~held_out).join(docs.select("doc_id", F.md5("text").alias("t")), "doc_id")
+    got = got.join(got.where("training").groupBy("t").count(), "t", "left").toPandas()
+    held = got[~got["training"]]
+    assert held["score"].sum() > held["base_score"].sum()
+    gain = (got["score"] - got["base_score"]) / got["n_tokens"]
+    many = got["n_tokens"] > 30
+    once, twice = gain[many & (got["count"] == 1)], gain[many & (got["count"] > 1)]
+    assert len(twice) > 20 and (twice > once.median() + 1).mean() > 0.95
 
 
 # 7 and 9: repeats

@@ -1,22 +1,28 @@
-"""Language-model scoring with a probabilistic suffix tree over the bytes of lower-cased texts.
-
-Training texts are counted as grams of ``DEPTH`` bytes of context and the byte (or end) that follows. A context is a
-state of the tree if it is frequent enough (``LEAST_SHARE`` of all positions, so at most ``1 / LEAST_SHARE`` a depth) and
-the divergence of its next-symbol distribution from its parent's, the context one byte shorter, outweighs the cost of
-its parameters. Distributions are smoothed with the parent's. Each symbol of a text is scored in the longest suffix of
-what precedes it that is a state, found by walking the tree of reversed contexts from the text's start mark on.
-
-A unigram base over words stands beside it: words are counted over all training texts, by hash, in buckets; every part
-of the documents asks for the counts of its own distinct words and gets them back in the same order.
+"""Language-model scoring with a probabilistic suffix tree over words.
+
+Symbols are the words of the lower-cased texts and one end a text. A context is what stands before a symbol, up to
+``DEPTH`` words, the start of the text among them. The root's distribution is the unigram base; a context of one word more is
+a state of the tree if its training occurrences say so: leaving out one occurrence at a time, its own counts must predict
+its symbols better than the distribution of its parent, the context without the farthest word. Distributions are
+smoothed with the parent's (Witten and Bell). A symbol is scored in the longest suffix of what precedes it that is a state.
+Nothing bounds the number of states: they lie in buckets, by the hash of the context, and every part of the documents
+asks for the symbols and contexts it has and gets its probabilities back in the same order.
+
+The tree is grown depth by depth. Only contexts that occur twice in training can be states, and how often a context
+occurs is known from the depth before, so few are asked for. A context that a large share of all symbols follow (at most
+``MOST_HOT`` a depth can) is spread over many buckets by its symbols; its sums are made in a second step and sent to all.
+Words and contexts are told apart by hashes of 64 bits, in a bucket by 40 bits of the context and 32 of the symbol;
+probabilities of parents are rounded to 1/1024 of a binary order when they are asked with.
 
 Defined results: null counts as empty, and an empty text has one token, its end; a corpus without training rows leaves
-uniform symbols and no known word; very long texts are read whole; repeated rows are scored each. Further columns are
-ignored.
+the base alone, without any known word; very long texts are read whole; null and repeated ids and repeated rows are scored
+row by row; an empty table gives none. Further columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,277 +30,321 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.anchors import PART_BYTES, joined
-from waymark.llm.common import U64, Shared, pieces, read_table
+from waymark.llm.common import U64, Shared, mix, pieces, read_table, trim
 from waymark.llm.features import word_bounds, word_hashes
 
-DEPTH = 5
-LEAST_SHARE = 4e-6
-#: The most states that a tree keeps, those of most gain (with their suffixes): the bound of what is broadcast.
-MOST_STATES = 60_000
-START, END = 0xFE, 0xFF  # bytes that UTF-8 never holds
-END_TOKEN = U64(0x5851F42D4C957F2D)
-#: Bytes of text whose grams are counted or scored at once, and grams that a task holds before it writes them out.
-BLOCK, HELD = 4 << 20, 6_000_000
-#: Bytes of text that a bucket of word counts stands for.
-BUCKET_BYTES = 32 << 20
-GRAMS = "bucket int, codes binary, counts binary"
+#: The most words of a context.
+DEPTH = 3
+#: A context is hot if this share of all training symbols follow it; over how many buckets its symbols are spread.
+MOST_HOT, SPREAD = 4096, 64
+END_TOKEN, START_TOKEN = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
+STEP, PAIR = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
+#: Bytes of text that a part of the documents and a bucket of counts stand for.
+PART_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+#: What parts ask: symbols in contexts, by bucket. What they are told: values in the order of asking. Part -1 holds sums.
+ASKED = "bucket int, part int, contexts binary, symbols binary, counts binary, parents binary, hot binary"
+TOLD = "level int, part int, bucket int, numbers binary"
 
 
 def lowered(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower() if text else b""
 
 
-def streams(texts: Iterator[bytes]) -> Iterator[tuple[np.ndarray, int]]:
-    """Texts end to end, each after ``DEPTH`` start marks and before an end mark, in arrays of about ``BLOCK`` bytes;
-    with the number of texts in each. A long text makes a long array."""
-    held, size, n = [], 0, 0
-    for raw in texts:
-        held += [bytes([START]) * DEPTH, raw, bytes([END])]
-        size, n = size + len(raw) + DEPTH + 1, n + 1
-        if size >= BLOCK:
-            yield np.frombuffer(b"".join(held), np.uint8), n
-            held, size, n = [], 0, 0
-    if n:
-        yield np.frombuffer(b"".join(held), np.uint8), n
-
-
-def gram_codes(stream: np.ndarray) -> np.ndarray:
-    """Codes of ``DEPTH`` bytes of context, nearest byte lowest but for the byte that follows, over all symbols."""
-    at = np.flatnonzero(stream[DEPTH:] != START) + DEPTH
-    codes = np.zeros(len(at), U64)
-    for d in range(DEPTH, -1, -1):
-        codes = (codes << U64(8)) | stream[at - d].astype(U64)
-    return codes
-
-
-def summed(codes: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes, sorted, and their counts in sum."""
-    if counts is None:
-        codes = np.sort(codes)
-        at = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else np.zeros(0, np.int64)
-        return codes[at], np.diff(np.append(at, len(codes)))
-    order = np.argsort(codes, kind="stable")
-    codes, counts = codes[order], counts[order]
-    at = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else np.zeros(0, np.int64)
-    return codes[at], np.add.reduceat(counts, at) if len(at) else counts
-
-
 def packed(values: np.ndarray) -> bytes:
-    """Small integers, compressed byte plane by byte plane."""
-    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view(U64).ravel()
-
-
-def gram_counts(texts: DataFrame, bits: int) -> DataFrame:
-    """Packed gram counts of the texts, by bucket of the two nearest context bytes."""
-
-    def out(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        codes, counts = summed(np.concatenate([c for c, _ in held]), np.concatenate([n for _, n in held]))
-        near = (codes >> U64(8)) & U64(0xFFFF)
-        where = ((near * U64(0x9E3779B97F4A7C15)) >> U64(64 - bits)).astype(np.int32)
-        order = np.argsort(where, kind="stable")
-        cuts = np.append(np.flatnonzero(np.diff(where[order], prepend=-1)), len(order))
-        rows = [(int(where[order[a]]), packed(np.diff(codes[order[a:z]], prepend=U64(0))), packed(counts[order[a:z]].astype(U64))) for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "codes", "counts"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for stream, _ in streams(lowered(t.as_py()) for batch in batches for t in batch.column(0)):
-            held.append(summed(gram_codes(stream), None))
-            size += len(held[-1][0])
-            if size >= HELD:
-                codes, counts = summed(np.concatenate([c for c, _ in held]), np.concatenate([n for _, n in held]))
-                held, size = [(codes, counts)], len(codes)
-                if size >= HELD // 2:
-                    yield out(held)
-                    held, size = [], 0
-        if held:
-            yield out(held)
-
-    return texts.mapInArrow(run, GRAMS)
-
-
-def frequent(table: pa.Table, least: float) -> pa.Table:
-    """Next-symbol counts of the frequent contexts of depth 2 to DEPTH in a bucket, and of all of depth 1."""
-    codes = np.concatenate([np.cumsum(unpacked(x.as_py()), dtype=U64) for x in table.column("codes")])
-    codes, counts = summed(codes, np.concatenate([unpacked(x.as_py()) for x in table.column("counts")]).astype(np.int64))
-    out = []
-    for d in range(1, DEPTH + 1):
-        own, n = summed(codes & U64((1 << (8 * (d + 1))) - 1), counts)
-        context = own >> U64(8)
-        if d > 1 and len(own):
-            at = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-            good = np.repeat(np.add.reduceat(n, at) >= least, np.diff(np.append(at, len(own))))
-            own, n = own[good], n[good]
-        out.append((np.full(len(own), d, np.int32), own.view(np.int64), n))
-    return pa.table({k: np.concatenate([o[i] for o in out]) for i, k in enumerate(("depth", "code", "n"))})
-
-
-class SuffixTree:
-    """States as rows: next state by the byte further back, and log10 probability of the next symbol. Row 0 is none,
-    row 1 the empty context. Bytes that training texts lack share the last column."""
-
-    def __init__(self, counts: dict[int, tuple[np.ndarray, np.ndarray]], most: int = MOST_STATES) -> None:
-        """counts: for each depth sorted codes (context and next symbol) and their counts."""
-        codes, n = counts.get(1, (np.zeros(0, U64), np.zeros(0, np.int64)))
-        root = np.bincount((codes & U64(255)).astype(np.int64), n, 256)
-        used = np.flatnonzero((root > 0) | (np.arange(256) == START))
-        self.column = np.full(256, len(used), np.uint8)
-        self.column[used] = np.arange(len(used))
-        width = len(used) + 1
-        root = np.append(root[used], 0) + 0.5
-        root[self.column[START]] = 1e-9
-        levels = [(np.zeros(1, np.int64), (root / (root.sum() + 0.5 * (256 - width)))[None].astype(np.float32), np.full(1, np.inf))]
-        for d in range(1, DEPTH + 1):
-            codes, n = counts.get(d, (codes[:0], n[:0]))
-            context, symbol = (codes >> U64(8)).astype(np.int64), self.column[(codes & U64(255)).astype(np.int64)]
-            up, dist, _ = levels[-1]
-            at = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(context) else np.zeros(0, np.int64)
-            k = np.diff(np.append(at, len(context)))
-            parent = np.searchsorted(up, context[at] & ((1 << (8 * (d - 1))) - 1))  # a frequent context's suffix is frequent
-            row = np.repeat(np.arange(len(at)), k)
-            total = np.bincount(row, n, len(at))
-            p = dist[parent] * k[:, None].astype(np.float32)
-            before = dist[parent[row], symbol]
-            p[row, symbol] += n
-            p /= (total + k)[:, None].astype(np.float32)  # Witten and Bell: the parent weighs as many rows as symbols were seen
-            gain = np.bincount(row, n * np.log(n / total[row] / before), len(at)) - 0.5 * k * np.log(np.maximum(total, 2))
-            levels.append((context[at], p.astype(np.float32), gain))
-        gains = np.sort(np.concatenate([g[g > 0] for _, _, g in levels[1:]]))
-        least = gains[-most] if len(gains) > most else 0.0
-        kept = [g > least if least == 0 else g >= least for _, _, g in levels]
-        for d in range(DEPTH, 1, -1):  # a state's suffixes are states
-            kept[d - 1][np.searchsorted(levels[d - 1][0], levels[d][0][kept[d]] & ((1 << (8 * (d - 1))) - 1))] = True
-        first = np.cumsum([1, *(k.sum() for k in kept)])
-        self.next = np.zeros((int(first[-1]), width), np.int32)
-        self.logp = np.zeros((int(first[-1]), width), np.float32)
-        above = np.zeros(1, np.int64)
-        for d, ((context, p, _), good) in enumerate(zip(levels, kept)):
-            own = context[good]
-            rows = first[d] + np.arange(len(own))
-            self.logp[rows] = np.log10(p[good])
-            if d:
-                up = first[d - 1] + np.searchsorted(above, own & ((1 << (8 * (d - 1))) - 1))
-                self.next[up, self.column[own >> (8 * (d - 1))]] = rows
-            above = own
-        self.next[:, -1] = 0
-
-    def scores(self, stream: np.ndarray, n: int) -> np.ndarray:
-        """log10 probability of each of the n texts of a stream."""
-        out = np.zeros(n)
-        ends = np.flatnonzero(stream == END)
-        flat, logp, width = self.next.ravel(), self.logp.ravel(), self.next.shape[1]
-        columns = self.column[stream]
-        for x in range(0, len(stream), 1 << 20):  # so that a long text takes no more memory
-            at = np.arange(x, min(x + (1 << 20), len(stream)))
-            at = at[stream[at] != START]
-            if not len(at):
-                continue
-            state, walk = np.ones(len(at), np.int64), np.ones(len(at), np.int64)
-            for d in range(1, DEPTH + 1):
-                walk = flat[walk * width + columns[at - d]].astype(np.int64)
-                np.copyto(state, walk, where=walk > 0)
-            p = logp[state * width + columns[at]].astype(np.float64)
-            of = np.searchsorted(ends, at)
-            out += np.bincount(of, p, n)
-        return out
-
-
-def train_tree(texts: DataFrame, text_col: str, size: int, n_symbols: int) -> SuffixTree:
-    bits = pieces(size, 64 << 20).bit_length() - 1
-    least = max(2.0, LEAST_SHARE * n_symbols)
-    # DEPTH / LEAST_SHARE contexts at most, of at most 256 symbols each, and 65,536 rows of depth 1
-    rows = gram_counts(texts.select(text_col), bits).groupBy("bucket").applyInArrow(lambda t: frequent(t, least), "depth int, code long, n long")
-    got = rows.groupBy("depth", "code").agg(F.sum("n").alias("n")).toArrow().to_pandas()
-    counts = {}
-    for d, rows in got.groupby("depth"):
-        codes, n = rows["code"].to_numpy().view(U64), rows["n"].to_numpy()
-        order = np.argsort(codes)
-        counts[int(d)] = (codes[order], n[order])
-    return SuffixTree(counts)
-
-
-def part_words(texts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all tokens of a part, ends included; the row each belongs to; whether the row is for training."""
-    found, sizes = [], []
-    for text in texts.column("text"):
-        raw = np.frombuffer(lowered(text.as_py()), np.uint8)
-        h = word_hashes(raw, *word_bounds(raw))
-        found += [h, np.array([END_TOKEN])]
-        sizes.append(len(h) + 1)
-    return np.concatenate(found) if found else np.zeros(0, U64), np.repeat(np.arange(len(sizes)), sizes), texts.column("training").to_numpy().astype(bool)
-
-
-def ask(texts: pa.Table, bits: int) -> pa.Table:
+    """Numbers, compressed byte plane by byte plane."""
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes(), 1)
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def column(table: pa.Table, name: str, kind: type) -> list[np.ndarray]:
+    return [unpacked(x.as_py(), kind) for x in table.column(name)]
+
+
+def table_of(rows: list[tuple], ddl: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "binary": pa.binary()}
+    fields = [(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))]
+    return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(fields)})
+
+
+class Level(NamedTuple):
+    """What is known of a depth before its symbols are asked for: sums are n, k and whether it is a state, once it was."""
+
+    hot: np.ndarray  # sorted codes of hot contexts: words at depth 1, pairs of the depth before below
+    sums: np.ndarray | None = None
+
+
+class Sums(NamedTuple):
+    total: int  # training tokens
+    kinds: int  # distinct ones
+
+    def base(self, counts: np.ndarray) -> np.ndarray:
+        return (counts + 0.5) / (self.total + 0.5 * (self.kinds + 1))
+
+
+class Walk:
+    """The symbols of a part's texts, and their probabilities as far as the part has been told."""
+
+    def __init__(self, texts: pa.Table) -> None:
+        found, sizes = [], []
+        for text in texts.column("text"):
+            raw = np.frombuffer(lowered(text.as_py()), np.uint8)
+            h = word_hashes(raw, *word_bounds(raw))
+            found += [h, np.array([END_TOKEN])]
+            sizes.append(len(h) + 1)
+        self.tokens = np.concatenate(found) if found else np.zeros(0, U64)
+        self.of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.training = texts.column("training").to_numpy(zero_copy_only=False).astype(bool)[self.of]
+        self.distinct, self.inverse = np.unique(self.tokens, return_inverse=True)
+        first = np.ones(len(self.tokens), bool)
+        first[1:] = self.of[1:] != self.of[:-1]
+        self.first = first
+        self.before = np.empty_like(self.tokens)
+        self.before[1:], self.before[first] = self.tokens[:-1], START_TOKEN
+
+    def word_counts(self, told: dict[int, dict[int, np.ndarray]]) -> np.ndarray:
+        by_bucket = told.get(0, {})
+        return np.concatenate([by_bucket[b] for b in sorted(by_bucket)])[self.inverse] if len(self.tokens) else np.zeros(0, np.int64)
+
+    def follow(self, told: dict[int, dict[int, np.ndarray]], sums: Sums, levels: list[Level], bits: int) -> tuple["Asked", np.ndarray, np.ndarray]:
+        """Walks down the depths that were told; returns what to ask at the next one, the probabilities and word counts."""
+        counts = self.word_counts(told)
+        p, n = sums.base(counts), len(self.tokens)
+        seen = np.zeros(n, np.int64)
+        seen[1:] = counts[:-1]
+        open_ = (seen > 1) | self.first  # its context of the next depth occurs twice
+        context, asked = np.zeros(n, U64), None
+        code = self.before
+        for level, known in enumerate(levels, 1):
+            shifted = np.zeros(n, U64)
+            shifted[1:] = context[:-1]
+            context = mix(shifted * STEP + self.before) if level > 1 else mix(self.before * STEP)
+            at = np.flatnonzero(open_)
+            asked = Asked(context[at], self.tokens[at], code[at] if level == 1 else code[at - 1], known.hot, bits)
+            if level not in told:
+                if known.sums is not None:  # this part had nothing to ask
+                    break
+                return asked.counted(self.training[at], p[at]), p, counts
+            values = np.concatenate([told[level][b] for b in sorted(told[level])]) if told[level] else np.zeros(0, np.float32)
+            own = values[asked.place][asked.inverse].astype(np.float64)
+            again = np.signbit(own)
+            own = np.abs(own)
+            if len(known.hot):
+                k_n, k_k, state = known.sums[np.maximum(asked.hot, 1) - 1].T
+                own = np.where(asked.hot > 0, np.where(state > 0, (own + k_k * p[at]) / np.maximum(k_n + k_k, 1), 0), own)
+            p[at] = np.where(own > 0, own, p[at])
+            open_ = np.zeros(n + 1, bool)
+            open_[at[again] + 1] = True
+            open_ = open_[:-1] & ~self.first
+            code = np.zeros(n, U64)
+            code[at] = asked.codes()[asked.inverse]
+        return Asked(context[:0], self.tokens[:0], context[:0], np.zeros(0, U64), bits).counted(self.training[:0], p[:0]), p, counts
+
+
+class Asked:
+    """Distinct symbols in contexts, in the order of their buckets."""
+
+    def __init__(self, contexts: np.ndarray, symbols: np.ndarray, codes: np.ndarray, hot: np.ndarray, bits: int) -> None:
+        whole = mix(contexts * PAIR + symbols)
+        distinct, self.first, self.inverse = np.unique(whole, return_index=True, return_inverse=True)
+        self.hot = np.zeros(len(contexts), np.uint16)
+        if len(hot) and len(contexts):
+            k = np.minimum(np.searchsorted(hot, codes), len(hot) - 1)
+            self.hot[hot[k] == codes] = (k[hot[k] == codes] + 1).astype(np.uint16)
+        key = contexts[self.first]
+        spread = self.hot[self.first] > 0
+        key[spread] = mix(key[spread] + (distinct[spread] & U64(SPREAD - 1)) * STEP)
+        order = np.argsort(key, kind="stable")
+        self.place = np.empty(len(order), np.int64)  # of each distinct one in the order of asking
+        self.place[order] = np.arange(len(order))
+        self.bits, self.order = bits, order
+        self.buckets = (key[order] >> U64(64 - bits)).astype(np.int32) if bits else np.zeros(len(order), np.int32)
+        self.keys, self.symbols = (key[order] << U64(bits)) >> U64(24), distinct[order].astype(np.uint32)
+
+    def codes(self) -> np.ndarray:
+        """Of each distinct one, as pair_codes."""
+        return pair_codes(self.buckets, self.keys, self.symbols)[self.place]
+
+    def counted(self, training: np.ndarray, parents: np.ndarray) -> "Asked":
+        self.counts = np.bincount(self.inverse, training, len(self.order)).astype(np.uint32)[self.order] if len(self.order) else np.zeros(0, np.uint32)
+        self.parents = np.clip(-1024 * np.log2(parents[self.first]), 0, 65535).astype(np.uint16)[self.order]
+        self.hot_of = self.hot[self.first][self.order]
+        return self
+
+    def rows(self, part: int) -> list[tuple]:
+        cuts = np.append(np.flatnonzero(np.diff(self.buckets, prepend=-1)), len(self.buckets)).tolist()
+        return [
+            (int(self.buckets[a]), part, packed(np.diff(self.keys[a:z], prepend=U64(0))), packed(self.symbols[a:z]), packed(self.counts[a:z]), packed(self.parents[a:z]), packed(self.hot_of[a:z]))
+            for a, z in zip(cuts, cuts[1:])
+        ]
+
+
+def pair_codes(buckets: np.ndarray | int, keys: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """What a symbol in a context is known by, to the bucket and to those who ask."""
+    return mix(keys * STEP + symbols.astype(U64) + mix(np.atleast_1d(buckets).astype(U64) * PAIR))
+
+
+def answer(asked: pa.Table, level: int, least_hot: float) -> pa.Table:
+    """Per symbol in a context the probability if the context is a state, else 0, in a hot context the count; negative if it
+    occurs twice or more. Part -1 gets the sums of hot contexts and the codes of pairs that are hot contexts below."""
+    bucket = asked.column("bucket")[0].as_py()
+    keys = [np.cumsum(x, dtype=U64) for x in column(asked, "contexts", U64)]
+    sizes = [len(k) for k in keys]
+    keys, symbols, counts = np.concatenate(keys), np.concatenate(column(asked, "symbols", np.uint32)), np.concatenate(column(asked, "counts", np.uint32))
+    parents, hot = np.exp2(np.concatenate(column(asked, "parents", np.uint16)) / -1024.0), np.concatenate(column(asked, "hot", np.uint16))
+    order = np.lexsort((symbols, keys))
+    new_key = np.ones(len(order), bool)
+    new_key[1:] = keys[order][1:] != keys[order][:-1]
+    new = new_key.copy()
+    new[1:] |= symbols[order][1:] != symbols[order][:-1]
+    pair = np.cumsum(new) - 1
+    at = np.flatnonzero(new)
+    c = np.bincount(pair, counts[order], len(at))
+    p, hot = parents[order][at], hot[order][at]
+    group = (np.cumsum(new_key) - 1)[at]
+    per = lambda x: np.bincount(group, x, int(group[-1]) + 1)
+    n, k, ones = per(c), per(c > 0), per(c == 1)
+    own = np.where(c > 1, c * (np.log(np.maximum(c - 1, 1)) - np.log(p)), 0)
+    state = is_state(n, k, ones, per(own))
+    value = np.where(state[group], (c + k[group] * p) / np.maximum(n + k, 1)[group], 0)
+    value = np.where(hot > 0, c, value)
+    value = np.where(c > 1, -value, value).astype(np.float32)
+    told = np.empty(len(order), np.float32)
+    told[order] = value[pair]
+    rows, end = [], 0
+    for part, size in zip(asked.column("part").to_pylist(), sizes):
+        rows.append((level, part, bucket, packed(told[end : end + size])))
+        end += size
+    h = np.flatnonzero(hot)
+    if len(h):
+        index, back = np.unique(hot[h], return_inverse=True)
+        made = [np.bincount(back, x[h], len(index)) for x in (c, c > 0, c == 1, own)]
+        rows.append((level, -1, bucket, np.array([index.astype(float), *made]).tobytes()))
+    often = np.flatnonzero(c >= least_hot)
+    if len(often):
+        rows.append((level, -2, bucket, pair_codes(bucket, keys[order][at][often], symbols[order][at][often]).tobytes()))
+    return table_of(rows, TOLD)
+
+
+def is_state(n: np.ndarray, k: np.ndarray, ones: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Whether a context with n occurrences of k symbols, of which ``ones`` occur once, predicts them better than its
+    parent when each occurrence is left out in turn: symbols that occur c > 1 times get (c - 1) / (n - 1 + k) each time,
+    others the parent's probability times k / (n - 1 + k). own: the sum of c * log((c - 1) / the parent's) over c > 1."""
+    return own - n * np.log(np.maximum(n - 1 + k, 1)) + ones * np.log(np.maximum(k, 1)) > 0
+
+
+def ask_words(texts: pa.Table, bits: int) -> pa.Table:
     """A part's distinct tokens with their training counts, by bucket of the hash."""
-    tokens, of, training = part_words(texts)
-    distinct, inverse = np.unique(tokens, return_inverse=True)
-    counts = np.bincount(inverse, training[of], len(distinct)).astype(np.uint32)
-    buckets = (distinct >> U64(64 - bits)).astype(np.int32)
+    walk = Walk(texts)
+    counts = np.bincount(walk.inverse, walk.training, len(walk.distinct)).astype(np.uint32)
+    buckets = (walk.distinct >> U64(64 - bits)).astype(np.int32)
     cuts = np.append(np.flatnonzero(np.diff(buckets, prepend=-1)), len(buckets)).tolist()
-    part = texts.column("part")[0].as_py()
-    return pa.table({
-        "bucket": pa.array([int(buckets[a]) for a in cuts[:-1]], pa.int32()), "part": pa.array([part] * (len(cuts) - 1), pa.int32()),
-        "tokens": pa.array([distinct[a:z].tobytes() for a, z in zip(cuts, cuts[1:])], pa.binary()), "counts": pa.array([counts[a:z].tobytes() for a, z in zip(cuts, cuts[1:])], pa.binary()),
-    })
+    part, none = texts.column("part")[0].as_py(), packed(np.zeros(0, np.uint16))
+    return table_of([(int(buckets[a]), part, packed(walk.distinct[a:z]), none, packed(counts[a:z]), none, none) for a, z in zip(cuts, cuts[1:])], ASKED)
 
 
-def answer(asked: pa.Table) -> pa.Table:
-    """Counts over all parts, back to each part in the order it asked; part -1 gets the bucket's total and kinds."""
-    tokens, counts = joined(asked, "tokens", U64), joined(asked, "counts", np.uint32)
+def answer_words(asked: pa.Table, share: int) -> pa.Table:
+    """Counts over all parts, back to each in the order it asked; part -1 gets total and kinds, -2 the words that a share
+    of the bucket's own total exceed, with their counts."""
+    found, bucket = column(asked, "contexts", U64), asked.column("bucket")[0].as_py()
+    tokens, counts = np.concatenate(found), np.concatenate(column(asked, "counts", np.uint32))
     distinct, inverse = np.unique(tokens, return_inverse=True)
     total = np.bincount(inverse, counts, len(distinct)).astype(np.int64)
-    sizes = [len(x.as_py()) // 8 for x in asked.column("tokens")]
-    ends = np.cumsum(sizes)
-    told = total[inverse]
-    return pa.table({
-        "part": pa.array([*asked.column("part").to_pylist(), -1], pa.int32()), "bucket": pa.array([*asked.column("bucket").to_pylist(), asked.column("bucket")[0].as_py()], pa.int32()),
-        "counts": pa.array([*(told[e - n : e].astype(np.uint32 if total.max() < 1 << 32 else np.int64).tobytes() for e, n in zip(ends, sizes)), b""], pa.binary()),
-        "wide": pa.array([bool(total.max() >= 1 << 32)] * (len(sizes) + 1), pa.bool_()),
-        "total": pa.array([0] * len(sizes) + [int(total.sum())], pa.int64()), "kinds": pa.array([0] * len(sizes) + [int((total > 0).sum())], pa.int64()),
-    })
-
-
-def score_documents(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    ends, told = np.cumsum([len(x) for x in found]).tolist(), total[inverse]
+    rows = [(0, part, bucket, packed(told[e - len(x) : e])) for part, x, e in zip(asked.column("part").to_pylist(), found, ends)]
+    rows.append((0, -1, bucket, np.array([total.sum(), (total > 0).sum()]).tobytes()))
+    often = np.flatnonzero((total > 0) & (total * share >= total.sum()))  # at most ``share``; of the whole corpus's there are no others
+    return table_of([*rows, (0, -2, bucket, np.concatenate([distinct[often], total[often].view(U64)]).tobytes())], TOLD)
+
+
+def told_of(told: pa.Table) -> dict[int, dict[int, np.ndarray]]:
+    out: dict[int, dict[int, np.ndarray]] = {}
+    for level, bucket, data in zip(told.column("level").to_pylist(), told.column("bucket").to_pylist(), told.column("numbers")):
+        out.setdefault(level, {})[bucket] = unpacked(data.as_py(), np.float32 if level else np.int64)
+    return out
+
+
+def hot_words(told: DataFrame, sums: Sums) -> np.ndarray:
+    """The words, and the start, that are hot contexts: at most MOST_HOT and one, read bucket by bucket."""
+    hot = [START_TOKEN]
+    for row in told.where("part = -2").select("numbers").toLocalIterator():
+        both = np.frombuffer(row["numbers"], U64)
+        words, counts = both[: len(both) // 2], both[len(both) // 2 :]
+        hot += words[counts * U64(MOST_HOT) >= U64(max(sums.total, 1))].tolist()
+    return np.unique(np.array(hot, U64))
+
+
+def hot_sums(told: DataFrame, size: int) -> np.ndarray:
+    """n, k and state of the hot contexts of a depth, from their buckets' sums."""
+    out = np.zeros((4, size))
+    for row in told.where("part = -1").select("numbers").toLocalIterator():
+        part = np.frombuffer(row["numbers"]).reshape(5, -1)
+        np.add.at(out, (slice(None), part[0].astype(np.int64) - 1), part[1:])
+    n, k, ones, own = out
+    return np.array([n, k, is_state(n, k, ones, own)], float).T
+
+
+def score_documents(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """Per row: the id, training, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities)."""
-    spark, shared = docs.sparkSession, Shared(docs.sparkSession)
+    shared = Shared(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(is_training, F.lit(False)).alias("training"))
-    length = F.coalesce(F.octet_length("text"), F.lit(0)) + 1
-    size = rows.agg(F.coalesce(F.sum(length), F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(F.col("training"), length)), F.lit(0)).alias("train")).first()
-    tree = spark.sparkContext.broadcast(train_tree(rows.where("training"), "text", size["all"], size["train"]))
-    parts, bits = pieces(size["all"], PART_BYTES), pieces(size["all"], BUCKET_BYTES).bit_length() - 1
-    by_part = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).groupBy("part")
-    asked = by_part.applyInArrow(lambda texts: ask(texts, bits), "bucket int, part int, tokens binary, counts binary")
-    told, _ = shared.put(asked.groupBy("bucket").applyInArrow(answer, "part int, bucket int, counts binary, wide boolean, total long, kinds long"))
-    del asked
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
+    parts, bits = pieces(size, PART_BYTES), pieces(size, BUCKET_BYTES).bit_length() - 1
+    by_part = lambda: rows.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int")).groupBy("part")
+
+    asked = by_part().applyInArrow(lambda texts: ask_words(texts, bits), ASKED)
+    told, _ = shared.put(asked.groupBy("bucket").applyInArrow(lambda t: answer_words(t, MOST_HOT), TOLD))
+    every = told.where("part = -1").select("numbers").toLocalIterator()
+    sums = Sums(*(int(x) for x in sum((np.frombuffer(r["numbers"], np.int64) for r in every), np.zeros(2, np.int64))))
+    levels = [Level(hot_words(told, sums))]
+    least_hot = max(2.0, sums.total / MOST_HOT)
+
+    def asker(known: list[Level]):
+        def ask(texts: pa.Table, told: pa.Table) -> pa.Table:
+            if not texts.num_rows:
+                return table_of([], ASKED)
+            out = Walk(texts).follow(told_of(told), sums, known, bits)[0].rows(texts.column("part")[0].as_py())
+            trim()
+            return table_of(out, ASKED)
+
+        return ask
+
+    def teller(level: int):
+        def tell(asked: pa.Table) -> pa.Table:
+            out = answer(asked, level, least_hot)
+            trim()
+            return out
+
+        return tell
+
+    for level in range(1, depth + 1):
+        shared.forget()
+        asked = by_part().cogroup(told.where("part >= 0").groupBy("part")).applyInArrow(asker(list(levels)), ASKED)
+        more, _ = shared.put(asked.groupBy("bucket").applyInArrow(teller(level), TOLD))
+        del asked
+        levels[-1] = Level(levels[-1].hot, hot_sums(more, len(levels[-1].hot)))
+        hot = [np.frombuffer(r["numbers"], U64) for r in more.where("part = -2").select("numbers").toLocalIterator()]  # MOST_HOT codes at most
+        levels.append(Level(np.unique(np.concatenate(hot)) if hot else np.zeros(0, U64)))
+        told = told.unionByName(more)
     shared.forget()
-    sums = told.where("part = -1").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("v")).first()
+    done = levels[:-1]
 
     def finish(texts: pa.Table, told: pa.Table) -> pa.Table:
-        tokens, of, _ = part_words(texts)
-        n = texts.num_rows
-        distinct, inverse = np.unique(tokens, return_inverse=True)
-        order = np.argsort(told.column("bucket").to_numpy())
-        found = [np.frombuffer(told.column("counts")[int(i)].as_py(), np.int64 if told.column("wide")[int(i)].as_py() else np.uint32).astype(np.int64) for i in order]
-        counts = np.concatenate(found) if found else np.zeros(len(distinct), np.int64)
-        per = counts[inverse]
-        scores = []
-        for stream, k in streams(lowered(t.as_py()) for t in texts.column("text")):
-            scores.append(tree.value.scores(stream, k))
-        return pa.table({
-            id_col: texts.column("id"), "training": texts.column("training"), "n_tokens": pa.array(np.bincount(of, minlength=n)), "n_known": pa.array(np.bincount(of, per > 0, n).astype(np.int64)),
-            "part_score": pa.array(np.bincount(of, np.log10(per + 0.5), n)), "score": pa.array(np.concatenate(scores) if scores else np.zeros(0)),
-        })
-
-    scored = by_part.cogroup(told.where("part >= 0").groupBy("part")).applyInArrow(finish, f"`{id_col}` {kind}, training boolean, n_tokens long, n_known long, part_score double, score double")
-    floor = F.log10(F.lit(sums["n"] + 0.5 * (sums["v"] + 1)))
-    return scored.select(id_col, "training", "n_tokens", "n_known", F.lit(sums["n"]).cast("long").alias("train_tokens"), (F.col("part_score") - F.col("n_tokens") * floor).alias("base_score"), "score")
+        walk, n = Walk(texts), texts.num_rows
+        _, p, counts = walk.follow(told_of(told), sums, done, bits)
+        out = {
+            id_col: texts.column("id"), "training": texts.column("training"), "n_tokens": pa.array(np.bincount(walk.of, minlength=n)), "n_known": pa.array(np.bincount(walk.of, counts > 0, n).astype(np.int64)),
+            "base_score": pa.array(np.bincount(walk.of, np.log10(sums.base(counts)), n)), "score": pa.array(np.bincount(walk.of, np.log10(p), n)),
+        }
+        trim()
+        return pa.table(out)
+
+    scored = by_part().cogroup(told.where("part >= 0").groupBy("part")).applyInArrow(finish, f"`{id_col}` {kind}, training boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select(id_col, "training", "n_tokens", "n_known", F.lit(sums.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
