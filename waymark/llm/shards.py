@@ -1,16 +1,21 @@
-"""Balanced label propagation: equal texts are linked, and linked documents move together under capacity quotas.
+"""Balanced label propagation: equal texts are linked, and linked documents move towards their neighbours' shards.
 
-Every document starts with a label, its shard, drawn from a hash of its id. In each round the members of a group vote
-with their labels: the group's target is the shard most of them carry among those with room for the whole group, or
-else a shard with room drawn by hash. Targets accept groups, larger ones first, while a running sum stays within their
-quota; the members of accepted groups take the label, and the others try again. Groups larger than a shard are split
-into blocks of one shard's size first. What has no links, or found no room, fills the shards up to their quotas.
+Every document starts with a label, its shard, drawn from a hash of its id. In each round the links vote: a document's
+neighbours are the others of its text, and it asks for the label that most of them carry now, if more carry it than its own
+(ties are decided by a hash of text and shard), among the shards that have room or hold documents of fewer votes. A shard
+takes those of most votes, whoever stays before whoever comes, while a running sum is within its quota; others that asked
+remain where they are, and residents that it has no place for have no label until they ask again. Then votes are counted
+anew from the labels as they are; it ends when nobody moves. Documents of one text and label are alike, so a group is kept
+as its counts per label; a text that a third of all rows share is one row of that table. Last, each group's rows take its
+labels by their numbers in the group, and what has no links, or no label, fills the shards up to their quotas.
 
 Law ``rows``: a shard's quota is N / shards, rounded down or up, so counts are at most one apart. DataFrame operations
-only; running sums and numbers are built in two levels (per bucket, then within it), so that no task sees a shard whole.
+only. Running sums and numbers are built in two levels (per bucket, then within it), and rows of large groups are spread
+over buckets by id, so that no task sees a shard or a large group whole.
 
-Defined results: null texts have size 8, no crc and no links; empty texts are equal texts; repeated rows each get a
-slot of their own; an empty table gives an empty result. Further columns are ignored.
+Defined results: null texts have size 8, no crc and no links; empty texts are equal texts; null and repeated ids and
+repeated rows each get a slot of their own; very long texts are read whole; an empty table gives none. Further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +26,12 @@ from pyspark.sql import functions as F
 from waymark.llm.common import Shared, read_table
 
 SHARDS = 24
-#: Rows that a bucket of the two-level sums is meant to have, and the most buckets there are.
-BUCKET_ROWS, MAX_BUCKETS = 20_000, 4096
-#: Rounds of propagation: the least size of the groups that take part, as a divisor of a shard's rows.
-ROUNDS = (2, 2, 2, 8, 8, 8, 0, 0, 0, 0)
+#: Rows that a bucket of the two-level sums is meant to have.
+BUCKET_ROWS = 20_000
+#: A group is large if it has this share of all rows; so at most as many are.
+MOST_LARGE = 4096
+#: The most rounds of propagation.
+ROUNDS = 24
 
 
 def bucket(n: int, *by: Column | str) -> Column:
@@ -42,28 +49,62 @@ def running(df: DataFrame, part: list[str], within: list[str], order: list[Colum
     return df.join(sums, [*part, *within]).withColumn(name, F.col("_p") + F.sum("_w").over(own)).drop("_w", "_p")
 
 
-def picked(values: list[int], at: Column) -> Column:
-    """The element of a short list of the driver's, by a zero-based index; null if the list is empty."""
-    return F.try_element_at(F.array(*map(F.lit, values)) if values else F.array().cast("array<int>"), (at + 1).cast("int"))
-
-
-def settle(units: DataFrame, votes: DataFrame, free: list[int], least: int, round_no: int, n_buckets: int) -> DataFrame:
-    """One round: adds to the open units of at least ``least`` rows a target that takes them, where there is one.
-
-    units: unit, n, target. votes: unit, shard, c. free: rows that each shard still takes.
-    """
-    room = F.array(*map(F.lit, free))
-    open_ = units.where(F.col("target").isNull() & (F.col("n") >= least) & (F.col("n") <= max(free)))
-    liked = (
-        open_.join(votes, "unit").where(F.element_at(room, F.col("shard") + 1) >= F.col("n"))
-        .groupBy("unit").agg(F.max_by("shard", F.struct("c", (-F.col("shard")).alias("s"))).alias("liked"))
-    )
-    by_room = F.array_sort(F.filter(F.transform(F.sequence(F.lit(0), F.lit(len(free) - 1)), lambda s: F.struct((-F.element_at(room, s + 1)).alias("f"), s.alias("s"))), lambda x: -x["f"] >= F.col("n")))
-    drawn = F.try_element_at(by_room, (bucket(1 << 20, "unit", F.lit(round_no)) % F.greatest(F.size(by_room), F.lit(1)) + 1).cast("int"))["s"]
-    tried = open_.drop("target").join(liked, "unit", "left").withColumn("target", F.coalesce("liked", drawn) if round_no % 2 == 0 else F.coalesce(drawn, "liked")).where("target IS NOT NULL")
-    tried = tried.withColumn("rank", (-F.floor(F.log2("n"))).cast("int")).withColumn("b", bucket(n_buckets, "unit"))
-    taken = running(tried, ["target"], ["rank", "b"], [F.col("n").desc(), F.col("unit")], F.col("n"), "sum").where(F.col("sum") <= F.element_at(room, F.col("target") + 1))
-    return units.join(taken.select("unit", F.col("target").alias("new")), "unit", "left").select("unit", "n", F.coalesce("target", "new").alias("target"))
+def numbers(values: list[int]) -> Column:
+    return F.array(*[F.lit(v).cast("long") for v in values])
+
+
+def total_of(counts: Column | str) -> Column:
+    return F.aggregate(counts, F.lit(0).cast("long"), lambda x, y: x + y)
+
+
+def moved(groups: DataFrame, quota: list[int], held: list[int], bars: list[int], n_buckets: int) -> DataFrame:
+    """One round: the groups (link, n, counts) with their new counts, and whether they changed. bars: the fewest votes of
+    a shard's residents."""
+    n = len(quota)
+    shards = F.sequence(F.lit(0), F.lit(n - 1))
+    votes = F.transform(shards, lambda s: F.struct(F.element_at("counts", s + 1).alias("c"), F.xxhash64(F.col("link"), s).alias("h"), s.alias("s")))
+    room = numbers([q - h for q, h in zip(quota, held)])
+    voted = groups.select("link", "n", "counts", votes.alias("votes"), (F.col("n") - total_of("counts")).alias("home"))
+    best = F.array_max(F.filter("votes", lambda v: (F.element_at(room, v["s"] + 1) > 0) | (v["c"] > F.element_at(numbers(bars), v["s"] + 1))))
+    voted = voted.withColumn("best", best)
+    lesser = F.transform("votes", lambda v: F.when(v < F.col("best"), v["c"]).otherwise(F.lit(0).cast("long")))
+    voted = voted.withColumn("go", lesser)
+    asks = voted.select("link", F.col("best.s").alias("to"), F.col("best.c").alias("votes"), (F.col("home") + total_of("go")).alias("c"), F.lit(1).alias("comes")).where("to IS NOT NULL AND c > 0")
+    stay = voted.select("link", F.posexplode("counts").alias("to", "c")).where("c > 0").select("link", "to", F.col("c").alias("votes"), "c", F.lit(0).alias("comes"))
+    both = stay.unionByName(asks).withColumn("rank", (-F.floor(F.log2(F.col("votes") + 1))).cast("int")).withColumn("b", bucket(n_buckets, "link"))
+    summed = running(both, ["to"], ["rank", "b"], [F.col("votes").desc(), F.col("link"), F.col("comes")], F.col("c"), "sum")
+    got = F.greatest(F.least(F.col("c"), F.element_at(numbers(quota), F.col("to") + 1) - (F.col("sum") - F.col("c"))), F.lit(0).cast("long"))
+    stays = F.col("comes") == 0
+    per = summed.withColumn("got", got).groupBy("link").agg(
+        F.max(F.when(~stays, F.col("to"))).alias("to"), F.coalesce(F.sum(F.when(~stays, F.col("got"))), F.lit(0)).alias("g"), F.map_from_entries(F.collect_list(F.when(stays, F.struct("to", "got")))).alias("kept")
+    )
+    out = voted.join(per, "link", "left").withColumn("g", F.coalesce("g", F.lit(0)))
+    rest = F.greatest(F.col("g") - F.col("home"), F.lit(0).cast("long"))  # those without a label go first
+
+    def after(s: Column) -> Column:
+        go = F.element_at("go", s + 1)
+        gone = F.least(go, F.greatest(rest - total_of(F.slice("go", F.lit(1), s)), F.lit(0).cast("long")))
+        here = F.least(F.coalesce(F.element_at("kept", s), F.lit(0).cast("long")), F.element_at("counts", s + 1) - gone)
+        return here + F.when(s == F.col("to"), F.col("g")).otherwise(F.lit(0).cast("long"))
+
+    new = F.transform(shards, after)
+    return out.select("link", "n", new.alias("new"), "counts").select("link", "n", F.col("new").alias("counts"), (F.col("new") != F.col("counts")).alias("changed"))
+
+
+def propagate(groups: DataFrame, quota: list[int], n_buckets: int, shared: Shared) -> DataFrame:
+    """groups: link, n, counts (documents per label). Returns them when nobody moves any more, no label over its quota."""
+    path, n = None, len(quota)
+    for _ in range(ROUNDS):
+        row = groups.agg(*[F.sum(F.element_at("counts", s + 1)).alias(f"h{s}") for s in range(n)], *[F.min(F.nullif(F.element_at("counts", s + 1), F.lit(0))).alias(f"b{s}") for s in range(n)]).first()
+        held, bars = [int(row[f"h{s}"] or 0) for s in range(n)], [int(row[f"b{s}"] or 0) for s in range(n)]
+        after, at = shared.put(moved(groups, quota, held, bars, n_buckets))
+        over = after.where("changed").isEmpty()
+        if path:
+            shared.drop(path)
+        groups, path = after.drop("changed"), at
+        if over:
+            break
+    return groups
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,46 +113,45 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
     base, _ = shared.put(
         docs.select(
             F.col(id_col).alias("id"), (F.coalesce(F.octet_length(text_col), F.lit(0)) + 8).cast("long").alias("size"),
-            F.crc32(text_col).alias("crc"), F.sha2(text_col, 256).alias("link"),
+            F.crc32(text_col).alias("crc"), F.unhex(F.sha2(text_col, 256)).alias("link"),
         )
     )
     total = base.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
-    block, n_buckets = max(1, total // shards), max(1, min(MAX_BUCKETS, total // BUCKET_ROWS))
-    groups, _ = shared.put(base.where("link IS NOT NULL").groupBy("link").agg(F.count("*").alias("n")).where("n > 1"))
-    linked = base.join(groups, "link").withColumn("label", F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(shards)).cast("int"))
-    large = linked.where(F.col("n") > block).withColumn("b", bucket(256, "id"))  # fewer than 2 * shards groups
-    large = running(large, ["link"], ["b"], [F.col("id")], F.lit(1).cast("long"), "rank").withColumn("unit", F.concat_ws(":", "link", F.floor((F.col("rank") - 1) / block)))
-    member = linked.where(F.col("n") <= block).withColumn("unit", F.col("link"))
-    member, _ = shared.put(member.select("id", "size", "crc", "link", "unit", "label").unionByName(large.select("id", "size", "crc", "link", "unit", "label")))
-    votes, _ = shared.put(member.groupBy("unit", F.col("label").alias("shard")).agg(F.count("*").alias("c")))
-    units, at = shared.put(votes.groupBy("unit").agg(F.sum("c").alias("n")).withColumn("target", F.lit(None).cast("int")))
-    for k, part in enumerate(ROUNDS):
-        held = {r["target"]: r["s"] for r in units.where("target IS NOT NULL").groupBy("target").agg(F.sum("n").alias("s")).collect()}  # a row a shard
-        free = [q - held.get(s, 0) for s, q in enumerate(quota)]
-        least = block // part + 1 if part else 1
-        if units.where(F.col("target").isNull() & (F.col("n") >= least)).isEmpty():
-            continue
-        after, to = shared.put(settle(units, votes, free, least, k, n_buckets))
-        shared.drop(at)
-        units, at = after, to
-    moved = member.join(units, "unit").select("id", "size", "crc", "link", F.col("target").alias("shard"))
-    alone = base.join(groups.select("link"), "link", "left_anti").select("id", "size", "crc", "link", F.lit(None).cast("int").alias("shard"))
-    both, _ = shared.put(moved.unionByName(alone))
+    n_buckets, large = 1 + total // BUCKET_ROWS, max(1000, total // MOST_LARGE)
+    label = F.pmod(F.xxhash64(F.col("id").cast("string"), "link"), F.lit(shards)).cast("int")
+    counts = F.array(*[F.count_if(label == s) for s in range(shards)])
+    groups, _ = shared.put(base.where("link IS NOT NULL").groupBy("link").agg(F.count("*").alias("n"), counts.alias("counts")).where("n > 1"))
+    groups = propagate(groups, quota, n_buckets, shared)
+    groups = groups.select("link", "n", running_ends("counts", shards).alias("ends"))
+    row = ["id", "size", "crc", "link"]
+    linked = base.where("link IS NOT NULL")
+    marked = linked.join(F.broadcast(groups.where(F.col("n") > large)), "link", "left")  # at most MOST_LARGE groups
+    spread = running(marked.where("ends IS NOT NULL").withColumn("b", bucket(n_buckets, "id")), ["link"], ["b"], [F.col("id")], F.lit(1).cast("long"), "r")
+    small = marked.where("ends IS NULL").select(*row).join(groups.where(F.col("n") <= large).select("link", "ends"), "link", "left")
+    small = small.withColumn("r", F.row_number().over(Window.partitionBy("link").orderBy("id")).cast("long"))
+    at = F.size(F.filter("ends", lambda e: e < F.col("r")))
+    named = F.when(at < shards, at).alias("shard")  # null where the group's labels had no room for the row, or there is no group
+    alone = base.where("link IS NULL").select(*row, F.lit(None).cast("int").alias("shard"))
+    both, _ = shared.put(small.select(*row, named).unionByName(spread.select(*row, named)).unionByName(alone))
     held = {r["shard"]: r["c"] for r in both.where("shard IS NOT NULL").groupBy("shard").agg(F.count("*").alias("c")).collect()}  # a row a shard
     ends, end = [], 0
     for s, q in enumerate(quota):
         end += q - held.get(s, 0)
         ends.append(end)
-    rest = both.where("shard IS NULL").drop("shard").withColumn("b", bucket(n_buckets, F.coalesce("link", F.col("id").cast("string"))))
+    rest = both.where("shard IS NULL").drop("shard").withColumn("b", bucket(n_buckets, "id", "link"))
     rest = running(rest, [], ["b"], [F.col("link"), F.col("id"), F.col("size")], F.lit(1).cast("long"), "p")
     shard = sum(((F.col("p") > e).cast("int") for e in ends[:-1]), F.lit(0))
-    placed = both.where("shard IS NOT NULL").unionByName(rest.select("id", "size", "crc", "link", shard.alias("shard")))
-    placed, _ = shared.put(placed)
+    placed, _ = shared.put(both.where("shard IS NOT NULL").unionByName(rest.select(*row, shard.alias("shard"))))
     slots = running(placed.withColumn("b", bucket(n_buckets, "id", "crc")), ["shard"], ["b"], [F.col("id"), F.col("crc")], F.lit(1).cast("long"), "slot")
     return slots.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "link", "shard", (F.col("slot") - 1).alias("slot"))
 
 
+def running_ends(counts: str, shards: int) -> Column:
+    """Cumulative sums of a short array."""
+    return F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda k: F.aggregate(F.slice(counts, F.lit(1), k), F.lit(0).cast("long"), lambda x, y: x + y))
+
+
 def cut_links(assigned: DataFrame) -> DataFrame:
     """Groups of equal texts, and how many of them lie in more than one shard."""
     groups = assigned.where("link IS NOT NULL").groupBy("link").agg(F.count("*").alias("n"), F.min("shard").alias("a"), F.max("shard").alias("z")).where("n > 1")
