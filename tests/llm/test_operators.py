@@ -147,6 +147,15 @@ def test_temperature_calibrates():
     assert langid.temperature(z * 4, y) == pytest.approx(4 * langid.temperature(z, y), rel=0.05)
 
 
+def test_langid_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    got = langid.op2_langid(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL AND lang_pred <> 'und'").toPandas()
+    assert len(got) > 150 and (got["lang"] == got["lang_pred"]).mean() > 0.97
+    none = spark.createDataFrame([(None, "some words here", "en"), (None, "más palabras aquí", None), (1, "words", "en"), (1, "words", "en")], "doc_id long, text string, lang string")
+    model = langid.train(none, langid.fold("doc_id", 4) != 2, "doc_id", "text", "lang")
+    assert langid.identify(none, model).count() == 4
+
+
 # 3: near-duplicates
 
 
@@ -206,6 +215,15 @@ def test_near_duplicate_stage_reaches_similarity(spark, docs, empty, small, monk
     assert simhash.stage(spark, empty, "").count() == 0
 
 
+def test_near_duplicate_stage_keeps_one_row_of_each_group(spark):
+    base = [f"w{i}" for i in range(100)]
+    near = " ".join([*base[:50], "changed", *base[51:]])
+    rows = [(None, " ".join(base)), (None, near), (None, "only words without an id"), (None, "only words without an id"), (7, near), (7, "another text of seven"), (7, "another text of seven"), (3, "three"), (3, "three and more"), (9, None), (8, "")]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, node string, stays string")
+    got = sorted(((r["doc_id"], r["text"]) for r in simhash.stage(spark, docs, "").collect()), key=str)
+    assert got == sorted([(7, near), (None, "only words without an id"), (7, "another text of seven"), (3, "three"), (3, "three and more"), (8, "")], key=str)
+
+
 # 4: shards
 
 
@@ -260,6 +278,20 @@ def test_decontamination_equals_brute_force(spark, docs, empty, block, monkeypat
     assert decontaminate.find_contamination(docs, frame.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_without_ids_and_as_a_stage(spark, docs, empty, tmp_path):
+    passage = "one two three four five six seven eight nine ten eleven"
+    rows = [(None, f"x {passage} y"), (None, "clean"), (5, passage), (5, "clean too"), (6, None), (7, "")]
+    table = spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, items string")
+    items = spark.createDataFrame([(None, passage), (None, passage + " twelve"), ("b", passage)], "item_id string, text string")
+    assert {r["n_hit"] for r in decontaminate.find_contamination(table, items).collect()} == {0, 11}
+    hit = decontaminate.find_contamination(table, items).where("n_hit > 0").collect()
+    assert len(hit) == 2 and all(r["items"] == ["b", None] for r in hit)
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = sorted(((r["doc_id"], r["text"]) for r in decontaminate.stage(spark, table, str(tmp_path)).collect()), key=str)
+    assert left == sorted([(None, "clean"), (5, "clean too"), (6, None), (7, "")], key=str)
+    assert decontaminate.stage(spark, docs, str(tmp_path)).count() == docs.count() and decontaminate.stage(spark, empty, str(tmp_path)).count() == 0
+
+
 def test_decontamination_spans_point_at_the_original(spark):
     docs = spark.createDataFrame([(1, "Oh! The QUICK, brown fox; él said no")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "quick brown fox él")], "item_id long, text string")
@@ -509,6 +541,12 @@ def test_bpe_cuts_are_certain():
     assert codec.merge_long(list(long)) == codec.merge(list(long))
 
 
+def test_bpe_stage_reads_awkward_rows(spark, docs, empty):
+    got = bpe.stage(spark, docs, "")
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and got.count() == docs.count()
+    assert bpe.stage(spark, empty, "").count() == 0
+
+
 # 10: quality
 
 
@@ -540,3 +578,11 @@ def test_quality_counts_and_verdicts(spark, docs, empty):
     got = {x["doc_id"]: x["kept"] for x in quality.judge(table, quality.train(table, labels)).collect()}
     assert got == {i: bool(i % 2) for i in range(60)}
     assert quality.train(empty, labels) is None and quality.judge(empty, None).count() == 0
+
+
+def test_quality_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4 == 1
+    got = quality.judge(docs, quality.train(docs, labels.where(~fold))).join(labels.where(fold), "doc_id").where("NOT base_failed AND quality IS NOT NULL").toPandas()
+    assert len(got) > 50 and (got["kept"] == (got["quality"] > 0)).mean() > 0.9

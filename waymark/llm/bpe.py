@@ -5,7 +5,7 @@ word may be cut between them for certain. Each fragment is encoded on its own, o
 text are the concatenation of its fragments' ids.
 
 Defined results: null counts as the empty text, which has no ids; very long texts are encoded whole; equal texts
-get equal ids; the two special tokens are recognised in a text as the tokenizers library does. Columns other than
+get equal ids; null and repeated ids and repeated rows are encoded row by row; an empty table gives none; the two special tokens are recognised in a text as the tokenizers library does. Columns other than
 the id and the text are ignored.
 """
 

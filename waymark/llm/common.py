@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 U64 = np.uint64
 GOLDEN = U64(0x9E3779B97F4A7C15)
@@ -57,9 +58,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (tests), a temporary folder of this process."""
+    """spark.checkpoint.dir of the session; where it is unset and driver and executors are one process (tests), a temporary
+    folder of this process. On a cluster it must be set: executors do not see each other's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = os.path.join(tempfile.gettempdir(), f"waymark-{os.getpid()}")
         os.makedirs(found, exist_ok=True)
     return found
@@ -68,12 +72,21 @@ def shared_folder(spark: SparkSession) -> str:
 class Shared:
     """Tables written to the shared folder, so that lineage ends there and a lost executor costs nothing.
 
-    ``put`` writes a frame and reads it back; ``drop`` removes one that nothing reads any more.
+    ``put`` writes a frame and reads it back; ``drop`` removes one that nothing reads any more. What is left goes when the
+    driver's file systems close.
     """
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.root = spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}"
         self.count = 0
+        target = self._path(self.root)
+        self._system(target).deleteOnExit(target)
+
+    def _path(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _system(self, path):
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def put(self, df: DataFrame) -> tuple[DataFrame, str]:
         self.count += 1
@@ -89,9 +102,8 @@ class Shared:
             time.sleep(0.3)
 
     def drop(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        target = self._path(path)
+        self._system(target).delete(target, True)
 
 
 def total_bytes(df: DataFrame, column: str) -> int:
@@ -107,7 +119,7 @@ def pieces(n_bytes: int, each: int, least: int = 8) -> int:
     return n
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
     """Applies a function of one record batch to every batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

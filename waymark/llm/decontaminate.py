@@ -6,15 +6,16 @@ between single spaces; each document is normalised and scanned once, and the mat
 offsets of the original text.
 
 Defined results: null or wordless texts have no words and no hits; null or wordless items have no window; equal items
-each count; repeated document rows each get a row; only the named columns are read, so further columns may have any
-name. The items are read in blocks of at most ``BLOCK_BYTES`` of text, so an automaton and what is broadcast for it
+each count; items without an id mark words as hit and count as one item, which no list of ids names; null and repeated
+ids and repeated document rows each get a row of their own; very long texts are read whole; empty documents give an empty
+table, an empty benchmark hits nothing; only the named columns are read, so further columns may have any name. The items are read in blocks of at most ``BLOCK_BYTES`` of text, so an automaton and what is broadcast for it
 have a fixed bound however large the benchmark is; a document is scanned once a block.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -100,7 +101,7 @@ def scanner(block, width: int) -> Scanner:
 def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, str]]]:
     """The items in blocks of bounded size, one at a time."""
     block, held = [], 0
-    rows = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
+    rows = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL")
     for row in rows.toLocalIterator():
         if block and held + len(row["t"]) > BLOCK_BYTES:
             yield block
@@ -139,7 +140,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, id
             n_words.append(n)
             runs = merged(np.array(runs).reshape(-1, 2)) if runs else []
             n_hit.append(sum(b - a for a, b in runs))
-            names.append(sorted(set(items)))
+            names.append(sorted(set(items), key=lambda i: (i is None, i)))
             at = [m.span() for m in ORIGINAL_WORD.finditer(text)] if runs else []
             spans.append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in runs])
         return pa.RecordBatch.from_arrays(
@@ -154,7 +155,7 @@ class _Block:
     """A broadcast block with an id that workers can tell it by."""
 
     def __init__(self, shared) -> None:
-        self.shared, self.id = shared, hashlib.sha256(repr(shared.value).encode()).hexdigest()
+        self.shared, self.id = shared, uuid.uuid4().hex
 
     @property
     def value(self):
@@ -170,10 +171,17 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents with a passage of the benchmark go, all others stay as they are."""
+    """Pipeline stage: rows with a passage of the benchmark go, all others stay as they are, each judged by its own text."""
     small_batches(spark)
-    hit = find_contamination(docs, read_table(spark, sf_dir, "benchmark")).where("n_hit > 0").select("doc_id")
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    at, out = docs.columns.index("text"), docs
+    for items in item_blocks(read_table(spark, sf_dir, "benchmark"), "item_id", "text"):
+
+        def clean(batch: pa.RecordBatch, block=_Block(spark.sparkContext.broadcast(items))) -> pa.RecordBatch:
+            found = scanner(block, WIDTH)
+            return batch.filter(pa.array([not found.scan(t.as_py())[1] for t in batch.column(at)], pa.bool_()))
+
+        out = arrow_map(out, clean, docs.schema)
+    return out
 
 
 WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -7,7 +7,9 @@ fifth of those rows is set aside to fit the temperature that calibrates the prob
 
 Defined results: null texts and texts without a letter get ``und`` and score 0; so does every text if no row is
 labelled; with one label only, that label gets score 1. Very long texts are read whole. Labels are read from training
-rows alone and are never inputs of a prediction.
+rows alone and are never inputs of a prediction. Null and repeated ids and repeated rows are predicted row by row; a null
+id is in no fold. Labels of equal probability are decided by their order. An empty table gives none. Further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -120,12 +122,13 @@ class Model:
 
 def train(docs: DataFrame, is_training: Column, id_col: str, text_col: str, lang_col: str, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fits the model on the rows for which ``is_training`` holds and the language is not null."""
-    rows = docs.where(is_training).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = docs.where(F.coalesce(is_training, F.lit(True))).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     df = document_frequencies(rows.select(F.col(text_col).alias("t")))
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     order = F.xxhash64(F.lit(20240229), F.col(id_col).cast("string"))
-    picked = rows.select(F.col(id_col).alias("i"), order.alias("o")).distinct().orderBy("o", "i").limit(sample_rows)
-    sample = rows.join(F.broadcast(picked), rows[id_col] == F.col("i"), "left_semi").select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"), order.alias("o"))
+    rows = rows.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"), order.alias("o"), F.xxhash64(lang_col, text_col).alias("h"))
+    picked = rows.select("o", "h").distinct().orderBy("o", "h").limit(sample_rows)
+    sample = rows.join(F.broadcast(picked), ["o", "h"]).dropDuplicates(["o", "h"]).select("l", "t", "o")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,7 +180,7 @@ def fold(id_col: str, folds: int) -> Column:
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = train(docs, fold("doc_id", 4) != 2, "doc_id", "text", "lang")
-    return identify(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return identify(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score").withColumn("held_out", F.coalesce("held_out", F.lit(False)))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@ words, word pairs and character n-grams, fitted on labelled rows and calibrated
 good quality below ``KEEP_AT`` is a rejection.
 
 Defined results: null and wordless texts have zero counts and fail; very long texts are read whole; repeated document
-rows each get a row; with no labelled row, or one label only, only the rules decide. Further columns are ignored.
+rows each get a row, as do null and repeated ids; documents without an id have no label; a probability of ``KEEP_AT`` is
+kept; with no labelled row, or one label only, only the rules decide; empty documents give none. Further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -134,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     order = F.xxhash64(F.lit(20240229), F.col(id_col).cast("string"))
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), (F.col(label_col) > 0).cast("int").alias("y"), order.alias("o"))
     picked = known.distinct().orderBy("o", "i", "y").limit(sample_rows)
-    sample = docs.join(F.broadcast(picked), docs[id_col] == F.col("i")).select("o", "y", F.col(text_col).alias("t"))
+    sample = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h")).join(F.broadcast(picked), "i").dropDuplicates(["i", "y", "h"]).orderBy("o", "h", "y").limit(sample_rows).select("o", "y", "t")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

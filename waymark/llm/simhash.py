@@ -7,8 +7,9 @@ whatever the data, so a chain through each such set, verified bit by bit, carrie
 these links are the groups.
 
 Defined results: null, empty and wordless texts have fingerprint zero and are linked like any other; texts shorter
-than a shingle are hashed whole; equal texts have equal fingerprints and are one node, however many they are; rows
-that repeat an id belong to one document. Further columns are ignored.
+than a shingle are hashed whole; a bit set in just half the hashes is not set; equal texts have equal fingerprints and are
+one node, however many they are; very long texts are read whole; every row gives one row, null and repeated ids too; a
+group in which no row has an id has none; an empty table gives none. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm.common import Shared, arrow_map, read_table, small_batches
 from waymark.llm.components import connected
-from waymark.llm.minhash import near_copies
+from waymark.llm.minhash import NODE, near_copies, with_nodes
 
 WORDS, SEED = 3, 42
 #: Most bits by which linked fingerprints differ: twice the half radius that variants are made within.
@@ -84,10 +85,15 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of texts at shingle similarity 0.8 the document with the least id stays, as it is.
+    """Pipeline stage: of each group of texts at shingle similarity 0.8 one row stays, as it is: of the least id, or of no
+    id where no row has one, and of those with that id the one of the least hash.
 
     Such texts differ in about 10 of 64 bits, which no ball around a fingerprint reaches; bands of MinHash do.
     """
     small_batches(spark)
-    gone = near_copies(docs).where(F.col("doc_id") != F.col("component")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    columns = [F.col(c) for c in docs.columns]
+    found = near_copies(docs).groupBy("doc_id", "node").agg(F.first("stays").alias("__stays"), F.count("*").alias("n"))
+    other = found.where("NOT __stays OR n > 1").select(F.col("doc_id").alias("__id"), F.col("node").alias("__other"), "__stays")
+    left = with_nodes(docs).join(other, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__other") == F.col(NODE)), "left").where("__stays IS NULL OR __stays")
+    # rows that repeat an id and its text: one of them
+    return left.where("__stays IS NULL").select(*columns).unionByName(left.where("__stays").dropDuplicates(["doc_id", NODE]).select(*columns))
