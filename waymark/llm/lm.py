@@ -12,7 +12,7 @@ The tree is grown depth by depth. Only contexts that occur twice in training can
 occurs is known from the depth before, so few are asked for. A context that a large share of all symbols follow (at most
 ``MOST_HOT`` a depth can) is spread over many buckets by its symbols; its sums are made in a second step and sent to all.
 Words and contexts are told apart by hashes of 64 bits, in a bucket by 40 bits of the context and 32 of the symbol;
-probabilities of parents are rounded to 1/1024 of a binary order when they are asked with.
+probabilities of parents are rounded to 1/1024 of a binary order when they are asked with, answers to 1/512.
 
 Defined results: null counts as empty, and an empty text has one token, its end; a corpus without training rows leaves
 the base alone, without any known word; very long texts are read whole; null and repeated ids and repeated rows are scored
@@ -39,6 +39,8 @@ DEPTH = 3
 MOST_HOT, SPREAD = 4096, 64
 END_TOKEN, START_TOKEN = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 STEP, PAIR = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
+#: Marks an answer on a symbol that occurs twice or more in its context.
+AGAIN = 1 << 15
 #: Bytes of text that a part of the documents and a bucket of counts stand for.
 PART_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 #: What parts ask: symbols in contexts, by bucket. What they are told: values in the order of asking. Part -1 holds sums.
@@ -128,10 +130,9 @@ class Walk:
                 if known.sums is not None:  # this part had nothing to ask
                     break
                 return asked.counted(self.training[at], p[at]), p, counts
-            values = np.concatenate([told[level][b] for b in sorted(told[level])]) if told[level] else np.zeros(0, np.float32)
-            own = values[asked.place][asked.inverse].astype(np.float64)
-            again = np.signbit(own)
-            own = np.abs(own)
+            values = np.concatenate([told[level][b] for b in sorted(told[level])])[asked.place][asked.inverse]
+            again, values = values >= AGAIN, (values & (AGAIN - 1)).astype(np.float64)
+            own = np.where(values > 0, np.exp2(np.where(asked.hot > 0, 1, -1) * (values - 1) / 512), 0)
             if len(known.hot):
                 k_n, k_k, state = known.sums[np.maximum(asked.hot, 1) - 1].T
                 own = np.where(asked.hot > 0, np.where(state > 0, (own + k_k * p[at]) / np.maximum(k_n + k_k, 1), 0), own)
@@ -149,7 +150,9 @@ class Asked:
 
     def __init__(self, contexts: np.ndarray, symbols: np.ndarray, codes: np.ndarray, hot: np.ndarray, bits: int) -> None:
         whole = mix(contexts * PAIR + symbols)
-        distinct, self.first, self.inverse = np.unique(whole, return_index=True, return_inverse=True)
+        distinct, self.inverse = np.unique(whole, return_inverse=True)
+        self.first = np.empty(len(distinct), np.int64)  # a place of each
+        self.first[self.inverse] = np.arange(len(whole))
         self.hot = np.zeros(len(contexts), np.uint16)
         if len(hot) and len(contexts):
             k = np.minimum(np.searchsorted(hot, codes), len(hot) - 1)
@@ -188,18 +191,22 @@ def pair_codes(buckets: np.ndarray | int, keys: np.ndarray, symbols: np.ndarray)
 
 
 def answer(asked: pa.Table, level: int, least_hot: float) -> pa.Table:
-    """Per symbol in a context the probability if the context is a state, else 0, in a hot context the count; negative if it
-    occurs twice or more. Part -1 gets the sums of hot contexts and the codes of pairs that are hot contexts below."""
+    """Per symbol in a context how improbable it is if the context is a state, else 0, in a hot context its count, both as
+    1 + 512 * log2; marked if it occurs twice or more. Part -1 gets the sums of hot contexts and the codes of pairs that are hot contexts below."""
     bucket = asked.column("bucket")[0].as_py()
     keys = [np.cumsum(x, dtype=U64) for x in column(asked, "contexts", U64)]
     sizes = [len(k) for k in keys]
     keys, symbols, counts = np.concatenate(keys), np.concatenate(column(asked, "symbols", np.uint32)), np.concatenate(column(asked, "counts", np.uint32))
     parents, hot = np.exp2(np.concatenate(column(asked, "parents", np.uint16)) / -1024.0), np.concatenate(column(asked, "hot", np.uint16))
-    order = np.lexsort((symbols, keys))
+    _, contexts = np.unique(keys, return_inverse=True)
+    both = (contexts.astype(U64) << U64(32)) | symbols
+    order = np.argsort(both)
+    both = both[order]
+    new = np.ones(len(order), bool)
+    new[1:] = both[1:] != both[:-1]
+    both >>= U64(32)
     new_key = np.ones(len(order), bool)
-    new_key[1:] = keys[order][1:] != keys[order][:-1]
-    new = new_key.copy()
-    new[1:] |= symbols[order][1:] != symbols[order][:-1]
+    new_key[1:] = both[1:] != both[:-1]
     pair = np.cumsum(new) - 1
     at = np.flatnonzero(new)
     c = np.bincount(pair, counts[order], len(at))
@@ -210,9 +217,9 @@ def answer(asked: pa.Table, level: int, least_hot: float) -> pa.Table:
     own = np.where(c > 1, c * (np.log(np.maximum(c - 1, 1)) - np.log(p)), 0)
     state = is_state(n, k, ones, per(own))
     value = np.where(state[group], (c + k[group] * p) / np.maximum(n + k, 1)[group], 0)
-    value = np.where(hot > 0, c, value)
-    value = np.where(c > 1, -value, value).astype(np.float32)
-    told = np.empty(len(order), np.float32)
+    value = np.where(hot > 0, c, 1 / np.maximum(value, 1e-300) * (value > 0))
+    value = np.where(value > 0, 1 + np.rint(512 * np.log2(np.maximum(value, 1))), 0).astype(np.uint16) | np.where(c > 1, AGAIN, 0).astype(np.uint16)
+    told = np.empty(len(order), np.uint16)
     told[order] = value[pair]
     rows, end = [], 0
     for part, size in zip(asked.column("part").to_pylist(), sizes):
@@ -263,7 +270,7 @@ def answer_words(asked: pa.Table, share: int) -> pa.Table:
 def told_of(told: pa.Table) -> dict[int, dict[int, np.ndarray]]:
     out: dict[int, dict[int, np.ndarray]] = {}
     for level, bucket, data in zip(told.column("level").to_pylist(), told.column("bucket").to_pylist(), told.column("numbers")):
-        out.setdefault(level, {})[bucket] = unpacked(data.as_py(), np.float32 if level else np.int64)
+        out.setdefault(level, {})[bucket] = unpacked(data.as_py(), np.uint16 if level else np.int64)
     return out
 
 
