@@ -93,7 +93,7 @@ def moved(groups: DataFrame, quota: list[int], held: list[int], bars: list[int],
 
 def propagate(groups: DataFrame, quota: list[int], n_buckets: int, shared: Shared) -> DataFrame:
     """groups: link, n, counts (documents per label). Returns them when nobody moves any more, no label over its quota."""
-    path, n = None, len(quota)
+    path, n, n_buckets = None, len(quota), 64 + n_buckets
     for _ in range(ROUNDS):
         row = groups.agg(*[F.sum(F.element_at("counts", s + 1)).alias(f"h{s}") for s in range(n)], *[F.min(F.nullif(F.element_at("counts", s + 1), F.lit(0))).alias(f"b{s}") for s in range(n)]).first()
         held, bars = [int(row[f"h{s}"] or 0) for s in range(n)], [int(row[f"b{s}"] or 0) for s in range(n)]
