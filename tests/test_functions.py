@@ -71,3 +71,27 @@ def test_street_types_from_file(tmp_path):
 def test_untyped_names(spark):
     ref = spark.createDataFrame([("THE POINT CIRCUIT", None), ("ESPLANADE", None), ("MAIN", "ROAD"), ("THE AVENUE", None)], "street_name string, street_type string")
     assert [tuple(r) for r in split_untyped(ref).collect()] == [("THE POINT CIRCUIT", "THE POINT", "CIRCUIT")]
+
+
+def test_units_by_letter_and_lettered_ranges(spark):
+    from waymark.functions.parser import parse_addresses
+
+    lines = ["D2 41 WATTLE TERRACE, HILLTOP QLD 4017", "U 6019A-6B Wattle Bvd Hilltop QLD 4001", "Unit 3A-9 Wattle Road, Hilltop QLD 4001", "7&#0032;Wattle&#x00A0;Road, Hilltop QLD 4001"]
+    rows = parse_addresses(spark.createDataFrame(list(enumerate(lines)), "input_id int, input_raw string")).orderBy("input_id").collect()
+    assert (rows[0]["in_flat_type"], rows[0]["in_flat_number"], rows[0]["in_number_first"], rows[0]["in_street_name"]) == ("UNIT", "2", 41, "WATTLE")
+    assert (rows[1]["in_flat_number"], rows[1]["in_number_first"], rows[1]["in_number_suffix"]) == ("6019A", 6, "B")
+    assert rows[2]["in_flat_number"] == "3A-9" and rows[2]["in_number_first"] is None
+    assert (rows[3]["in_number_first"], rows[3]["in_street_name"], rows[3]["in_street_type"]) == (7, "WATTLE", "ROAD")
+
+
+def test_factors_of_pairs_equal_those_of_distinct_pairs(spark):
+    from waymark.functions.metrics import pair_similarities, with_factors
+
+    names = ["", "NORTH HILL", "SOUTH HILL", "HILL", "HILLS", "EAST WEST END", "WEST END", "ÅBO", "ABO"]
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names] * 2, "a string, b string")
+    want = {(r["a"], r["b"]): r["s"] for r in pair_similarities(pairs, "a", "b", "s").collect()}
+    got = with_factors(pairs, {"s": ("a", "b"), "t": ("b", "a")}).collect()
+    assert len(got) == 2 * len(want)
+    for r in got:
+        assert abs(r["s"] - want[r["a"], r["b"]]) < 1e-12 and abs(r["t"] - want[r["b"], r["a"]]) < 1e-12
+

@@ -118,3 +118,39 @@ def test_geography(spark):
     assert geo.point_in_polygon(points, shapes, mode="all").where("address_detail_pid = 'b'").count() == 2
     moved = spark.createDataFrame([(153.02, -27.42)], "lon double, lat double").select("lon", "lat", *[c.alias(n) for c, n in zip(geo.gda94_to_gda2020(F.col("lon"), F.col("lat")), ("x", "y"))])
     assert moved.select(geo.metres_apart(F.col("lon"), F.col("lat"), F.col("x"), F.col("y"))).first()[0] == pytest.approx(1.52, abs=0.02)
+
+
+def test_number_branches_equal_the_gate(spark):
+    import random
+
+    r = random.Random(2)
+    number = lambda: r.choice([None, r.randint(1, 30), r.randint(1, 30), 400])
+    inputs = spark.createDataFrame([(i, 1, number(), number(), r.choice(["", "7"])) for i in range(60)], "input_id int, in_postcode int, in_number_first int, in_number_last int, i_lot string")
+    ref = spark.createDataFrame([(f"r{i}", 1, number(), r.choice([None, r.randint(1, 40), 900]), r.choice(["", "7"]), r.choice([None, 5])) for i in range(60)], "address_detail_pid string, postcode int, number_first int, number_last int, c_lot string, c_token_number int")
+    key = [("in_postcode", "postcode")]
+    plain = blocking.block_pairs(inputs, ref, key, gate=False).where(blocking.number_gate()).select("input_id", "address_detail_pid")
+    got = blocking.block_pairs(inputs, ref, key).select("input_id", "address_detail_pid").collect()
+    assert len(got) == len(set(got)) and set(got) == set(plain.collect()) and len(got) > 300
+
+
+def test_pruning_early_loses_no_pair(spark):
+    rows = pair(spark).unionByName(pair(spark, street_name="MAINE", number_first=12)).unionByName(pair(spark, locality_name="BRISBAN", postcode=4009)).unionByName(pair(spark, street_name=None))
+    scored = scoring.scored(scoring.with_similarities(rows), OLD).select("total_score").collect()
+    for least in (40, 60, 80, 95):
+        kept = scoring.scored(scoring.with_similarities(rows.where(scoring.may_ever_reach(OLD, least))), OLD).where(F.col("total_score") >= least).count()
+        assert kept == sum(r["total_score"] >= least for r in scored)
+
+
+def test_index_hits_carry_the_weights_that_were_asked_for(spark, ref):
+    weights = {"postcode": 20, "suburb": 15, "street_name": 40, "street_type": 10, "number": 10, "flat": 5}
+    inputs = spark.createDataFrame([(1, "10-20 Range Rd, Brisbane QLD 4000")], "input_id int, input_raw string")
+    row = match_addresses(inputs, ref, MatchOptions(weights=weights)).first()
+    assert row["address_detail_pid"] == "RANGE" and [row[f"score_{c}"] for c in scoring.COMPONENTS] == list(weights.values()) and row["total_score"] == 100
+
+
+def test_index_shortens_whole_street_names_only(spark):
+    rows = [("h", "PRIMROSE ROAD HALL, 1 ROSE ROAD, X QLD 4000", "ROSE", "ROAD", "X", "QLD", 4000)]
+    table = spark.createDataFrame(rows, "address_detail_pid string, address_label string, street_name string, street_type string, locality_name string, state string, postcode int")
+    keys = {r["lookup_key"] for r in indexes.index_keys(table).collect()}
+    assert "PRIMROSE ROAD HALL 1 ROSE RD X QLD 4000" in keys and not any("PRIMROSE RD" in k for k in keys)
+

@@ -200,3 +200,42 @@ def test_stream_equals_batch(spark, ref, tmp_path):
     assert {r["input_id"]: r["address_detail_pid"] for r in out.collect()} == {1: "RANGE", 2: None}
     timed = out.withColumn("ts", F.lit("2024-01-01 00:01:00").cast("timestamp"))
     assert outcome_counts(timed).count() == timed.select("match_status").distinct().count()
+
+
+def test_manifests_are_never_overwritten(spark, store, ref):
+    from waymark.sources.store import ConflictError, Store
+
+    store.put("addresses", ref)
+    other = Store(spark, store.root)
+    with pytest.raises(ConflictError):
+        with store.change():
+            store._staged["meta"]["x"] = 1
+            other.note("y", 2)  # the other writer is first
+    assert store.meta("x") is None and store.meta("y") == 2 and store.table("addresses").count() == ref.count()
+    assert store._versions() == list(range(len(store._versions())))
+    reader = Store(spark, store.root, read_only=True)
+    assert reader.meta("y") == 2
+    other.close()
+    with pytest.raises(Exception):
+        other.put("addresses", ref)
+
+
+def test_custom_pids_stay_short_over_many_loads(spark, store, ref):
+    store.put("addresses", ref)
+    for k in range(3):
+        rows = spark.createDataFrame([(k + 1, "MAIN", "X", "QLD", 4000)], "number_first int, street_name string, locality_name string, state string, postcode int")
+        store.add_custom(rows)
+        store.add_custom(rows)
+    pids = [r[0] for r in store.table("custom").select("address_detail_pid").collect()]
+    assert len(pids) == 3 and all(p.startswith("CUSTOM_") and len(p) <= 27 for p in pids)
+
+
+def test_csv_and_statistics(spark, store, ref, tmp_path):
+    store.put("addresses", ref)
+    got = {r["column_name"]: r for r in store.statistics("addresses").collect()}
+    assert got["address_detail_pid"]["filled"] == ref.count() and got["lot_number"]["filled"] == ref.where("lot_number IS NOT NULL").count()
+    out = ref.select("address_detail_pid", "address_label", "lot_number").withColumn("tags", F.array(F.lit("a")))
+    store.export_csv(out, str(tmp_path / "csv"), one_file=True)
+    back = spark.read.option("header", True).csv(str(tmp_path / "csv"))
+    assert sorted(map(str, back.collect())) == sorted(map(str, out.withColumn("tags", F.to_json("tags")).collect()))
+

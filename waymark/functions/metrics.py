@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,6 +99,50 @@ def similarity_factor(a: Column, b: Column, jw: Column, dl: Column) -> Column:
     return F.when((a == "") | (b == ""), F.lit(0.0)).when(a == b, F.lit(1.0)).otherwise(mixed)
 
 
+#: Pairs of names whose factor a worker remembers.
+REMEMBERED = 1 << 17
+_memo: dict[tuple[str, str], float] = {}
+_AXES = tuple((re.compile(f"(?:^| ){a}(?: |$)"), re.compile(f"(?:^| ){b}(?: |$)")) for a, b in (("NORTH", "SOUTH"), ("EAST", "WEST")))
+
+
+def factor(a: str, b: str) -> float:
+    """similarity_factor of two names that are filled and not equal."""
+    jw, longest = jaro_winkler(a, b), max(1, len(a.encode("utf-8", "surrogatepass")), len(b.encode("utf-8", "surrogatepass")))
+    rise = max(0.0, min(1.0, (jw - 0.6) / 0.4))
+    edit = 1.0 - damerau(a, b) / longest
+    out = max(0.05, 0.5 * (0.05 + 0.95 * (rise * rise)) + 0.5 * (edit * edit))
+    side = lambda x, axis: bool(axis[0].search(x)) - bool(axis[1].search(x))
+    return out * 0.5 if any(side(a, axis) * side(b, axis) == -1 for axis in _AXES) else out
+
+
+def remembered(a: str | None, b: str | None) -> float | None:
+    if a is None or b is None:
+        return None
+    found = _memo.get((a, b))
+    if found is None:
+        if len(_memo) >= REMEMBERED:
+            _memo.clear()
+        found = _memo[a, b] = factor(a, b)
+    return found
+
+
+def with_factors(pairs: DataFrame, names: dict[str, tuple[str, str]]) -> DataFrame:
+    """Adds for each output the factor of two name columns. Only unequal, filled names reach Python, all in one call; each
+    worker compares two names once."""
+
+    @F.pandas_udf(T.StructType([T.StructField(f"f{k}", T.DoubleType()) for k in range(len(names))]))
+    def factors(sides: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({f"f{k}": pd.Series([remembered(a, b) for a, b in zip(sides[f"a{k}"].tolist(), sides[f"b{k}"].tolist())], dtype="float64") for k in range(len(names))})
+
+    sides, out = [], {}
+    for k, (name, (a, b)) in enumerate(names.items()):
+        blank, same = (F.col(a) == "") | (F.col(b) == ""), F.col(a) == F.col(b)
+        hard = ~blank & ~same
+        sides += [F.when(hard, F.col(a)).alias(f"a{k}"), F.when(hard, F.col(b)).alias(f"b{k}")]
+        out[name] = F.when(blank, F.lit(0.0)).when(same, F.lit(1.0)).otherwise(F.col(f"_m.f{k}"))
+    return pairs.withColumn("_m", factors(F.struct(*sides))).withColumns(out).drop("_m")
+
+
 def pair_similarities(pairs: DataFrame, a: str, b: str, out: str) -> DataFrame:
     """The factor of every distinct pair of two name columns: (a, b, out). Only unequal, filled pairs reach Python."""
     distinct = pairs.select(a, b).distinct()

@@ -30,18 +30,28 @@ def exact_key(x: Column) -> Column:
 ORDINAL = r"(?:[0-9]*1[1-3]TH|[0-9]*(?:(?<!1)1ST|(?<!1)2ND|(?<!1)3RD|[04-9]TH))"
 
 
+#: The structural form as rules, in the order they apply: what a rule is for, its pattern, what it puts there. Fixed
+#: values: which entities and dashes count, and which glued numbers are ordinals.
+STRUCTURE = (
+    ("damaged characters go", "\ufffd", ""),
+    ("entities of spaces, with leading zeros or not", "&(?:NBSP|#0*(?:32|160)|#X0*(?:20|A0));", " "),
+    ("one kind of space", r"[\p{Z}\s]+", " "),
+    ("one kind of dash", "[‐-―−]", "-"),
+    ("ranges and fractions are closed up", r"(?<=[A-Z0-9])\s*([-/])\s*(?=[A-Z0-9])", "$1"),
+    ("12/A is 12A", r"(\d+)/([A-Z])(?=\s|,|$)", "$1$2"),
+    ("stops part words", r"\.", " "),
+    ("commas stand alone", r"\s*,\s*", ","),
+    ("a number glued to a word is parted from it", rf"\b(?!{ORDINAL}\b)(\d+)([A-Z]{{2,}})", "$1 $2"),
+    ("no runs of spaces", r"\s+", " "),
+)
+
+
 def structural(x: Column, keep_commas: bool = True) -> Column:
-    """The parser's input form: encoding repaired, upper case, spaces and hyphens unified, glued numbers separated."""
-    x = F.regexp_replace(F.make_valid_utf8(x), "�", "")
-    x = F.regexp_replace(F.upper(x), "&(?:NBSP|#32|#160|#X20|#XA0);", " ")
-    x = F.regexp_replace(x, r"[\p{Z}\s]+", " ")
-    x = F.regexp_replace(x, "[‐-―−]", "-")
-    x = F.regexp_replace(x, r"(?<=[A-Z0-9])\s*([-/])\s*(?=[A-Z0-9])", "$1")
-    x = F.regexp_replace(x, r"(\d+)/([A-Z])(?=\s|,|$)", "$1$2")
-    x = F.regexp_replace(x, r"\.", " ")
-    x = F.regexp_replace(x, r"\s*,\s*", "," if keep_commas else " ")
-    x = F.regexp_replace(x, rf"\b(?!{ORDINAL}\b)(\d+)([A-Z]{{2,}})", "$1 $2")
-    return F.trim(F.regexp_replace(x, r"\s+", " "))
+    """The parser's input form, in upper case, by the rules of ``STRUCTURE``; commas become spaces if they are not kept."""
+    x = F.upper(F.make_valid_utf8(x))
+    for _, pattern, new in STRUCTURE:
+        x = F.regexp_replace(x, pattern, " " if new == "," and not keep_commas else new)
+    return F.trim(x)
 
 
 ABBREVIATIONS = ((r"\b(?:MNT|MT)\b", "MOUNT"), (r"\bNTH\b", "NORTH"), (r"\bSTH\b", "SOUTH"), ("^N ", "NORTH "), ("^S ", "SOUTH "), ("^E ", "EAST "), ("^W ", "WEST "), (r"\bCK\b", "CREEK"), (r"\s*&\s*", " AND "))

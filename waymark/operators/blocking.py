@@ -29,6 +29,11 @@ def number_gate(col=F.col) -> Column:
     return F.coalesce(F.when(a.isNotNull(), numbered).when(col("i_lot") != "", col("i_lot") == col("c_lot")).otherwise(F.lit(True)), F.lit(False))
 
 
+#: House number ranges of at most this many numbers are spelt out for an equi-join; wider ones, which are rare, are
+#: compared within their block.
+SPELT = 256
+
+
 def block_pairs(inputs: DataFrame, ref: DataFrame, keys: list[tuple[str, str]], gate: bool = True) -> DataFrame:
     """Pairs of prepared inputs and candidates with equal keys (input column, candidate column) that pass the gate.
 
@@ -50,11 +55,17 @@ def block_pairs(inputs: DataFrame, ref: DataFrame, keys: list[tuple[str, str]],
     c, d = col("number_first"), col("number_last")
     numbered = inputs.where(col("in_number_first").isNotNull())
     bare = inputs.where(col("in_number_first").isNull())
-    overlap = (c <= b) & (d >= a) & (c != a)
+    ranged, wide = ref.where(d > c), d - c > SPELT
+    spread, broad = numbered.where(col("in_number_last") > a), col("in_number_last") - a > SPELT
+    reached = F.coalesce(d, c) >= a
     branches = [
         join(numbered, ref, [c == a]),
-        join(numbered, ref.where(col("number_last").isNotNull()), [], overlap),
-        join(numbered.where(col("in_number_last").isNotNull()), ref.where(col("number_last").isNull()), [], (c > a) & (c <= b)),
+        # the input's number lies behind the first of the candidate's range
+        join(numbered, ranged.where(~wide).withColumn("_n", F.explode(F.sequence(c + 1, d))), [col("_n") == a], c <= b).drop("_n"),
+        join(numbered, ranged.where(wide), [], (c < a) & (d >= a) & (c <= b)),
+        # the candidate's number lies behind the first of the input's range
+        join(spread.where(~broad).withColumn("_n", F.explode(F.sequence(a + 1, col("in_number_last")))), ref, [col("_n") == c], reached).drop("_n"),
+        join(spread.where(broad), ref, [], (c > a) & (c <= b) & reached),
         join(numbered, ref.where(col("number_first").isNull() & col("c_token_number").isNotNull()), [col("c_token_number") == a]),
         join(bare.where("i_lot <> ''"), ref.where("c_lot <> ''"), [col("i_lot") == col("c_lot")]),
         join(bare.where("i_lot = ''"), ref, []),

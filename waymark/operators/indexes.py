@@ -42,8 +42,11 @@ def index_keys(ref: DataFrame, types: StreetTypes | None = None, variants: bool
     flat = F.create_map(*[F.lit(x) for p in sorted(INDEX_FLAT_SHORT.items()) for x in p])
 
     def swapped(k, old, new):
-        at = F.instr(k, old)
-        return F.when((at > 0) & new.isNotNull(), F.concat(F.substring(k, F.lit(1), at - 1), new, F.substring(k, at + F.length(old), F.length(k))))
+        # as whole words only: spaces at both ends of the key stand for its bounds
+        padded, whole = F.concat(F.lit(" "), k, F.lit(" ")), F.concat(F.lit(" "), old, F.lit(" "))
+        at = F.instr(padded, whole)
+        put = F.concat(F.substring(padded, F.lit(1), at), new, F.substring(padded, at + 1 + F.length(old), F.length(padded)))
+        return F.when((at > 0) & new.isNotNull(), F.trim(put))
 
     short_type = F.try_element_at(street, F.upper("street_type"))
     short_street = swapped(F.col("key"), F.col("street"), F.concat(F.substring("street", F.lit(1), F.length("street") - F.length("street_type")), short_type))

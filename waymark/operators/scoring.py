@@ -14,9 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions import textnorm
-from waymark.functions.metrics import pair_similarities
+from waymark.functions.metrics import with_factors
 from waymark.functions.vocab import DIRECTIONS, LEVEL_TYPES, StreetTypes, inverted, mapped, score_flat_types
-from waymark.plans.lineage import cut
 
 COMPONENTS = ("postcode", "suburb", "street_name", "street_type", "number", "flat")
 DEFAULT_WEIGHTS = dict(zip(COMPONENTS, (12, 12, 16, 10, 30, 20)))
@@ -51,7 +50,7 @@ def checked_weights(weights: Mapping[str, float] | None) -> dict[str, float]:
 
 
 def half_even(x: Column) -> Column:
-    return F.bround(x.cast("double"), 0).cast("int")
+    return F.rint(x.cast("double")).cast("int")
 
 
 def label_token(label: Column, street: Column) -> Column:
@@ -107,13 +106,9 @@ PAIR_COLUMNS = (
 
 
 def with_similarities(pairs: DataFrame) -> DataFrame:
-    """Adds suburb_similarity, street_similarity and the street gate. Names are compared once per distinct pair.
-
-    The pairs are written once, narrow, as both comparisons and the scores read them.
-    """
-    pairs = cut(pairs.select(*[c for c in PAIR_COLUMNS if c in pairs.columns]))
-    for a, b, out in (("i_locality", "c_locality", "suburb_similarity"), ("i_name", "c_name", "street_similarity")):
-        pairs = pairs.join(pair_similarities(pairs, a, b, out), [a, b])
+    """Adds suburb_similarity, street_similarity and the street gate, where the pairs are made: nothing is shuffled."""
+    pairs = pairs.select(*[c for c in PAIR_COLUMNS if c in pairs.columns])
+    pairs = with_factors(pairs, {"suburb_similarity": ("i_locality", "c_locality"), "street_similarity": ("i_name", "c_name")})
     return pairs.withColumn("street_gate", F.when(F.col("street_similarity") == 0, 1.0).otherwise(F.col("street_similarity")))
 
 
@@ -179,6 +174,20 @@ def scored(pairs: DataFrame, weights: Mapping[str, float] | None = None, gate: b
     return pairs.withColumns(scores).withColumn("total_score", sum((F.col(c) for c in scores), F.lit(0)).cast("int"))
 
 
+def may_ever_reach(weights: Mapping[str, float], least: int) -> Column:
+    """As may_reach, before names are compared: equal names count in full, blank ones nothing, others a point less."""
+    w = checked_weights(weights)
+
+    def at_most(weight: float, a: str, b: str) -> Column:
+        full = int(round_even(weight))
+        return F.when((F.col(a) == "") | (F.col(b) == ""), 0).when(F.col(a) == F.col(b), full).otherwise(max(0, full - 1))
+
+    bound = postcode_score(w["postcode"], F.col("in_postcode"), F.col("postcode")) + at_most(w["suburb"], "i_locality", "c_locality") + at_most(w["street_name"], "i_name", "c_name")
+    for weight, credit in (("street_type", type_credit()), ("number", number_credit()), ("flat", flat_credit())):
+        bound += F.ceil(F.lit(float(w[weight])) * credit)
+    return bound >= least
+
+
 def may_reach(weights: Mapping[str, float], least: int) -> Column:
     """Whether a pair's upper bound reaches a total: a cheap filter before the full scores."""
     w = checked_weights(weights)

@@ -3,19 +3,28 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a table in spark.checkpoint.dir (a temporary folder where that is unset, as in tests)."""
+def cut(df: DataFrame, spread: bool = False) -> DataFrame:
+    """The same rows from a table in spark.checkpoint.dir, which goes when the driver's file systems close.
+
+    ``spread`` deals the rows evenly to twice as many files as there are cores: for rows that each lead to much work,
+    whose bytes say little about it. Where the setting is unset and driver and executors are one process (tests), a temporary folder; on a cluster it must be set.
+    """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = os.path.join(tempfile.gettempdir(), f"waymark-cut-{os.getpid()}")
         os.makedirs(root, exist_ok=True)
     path = f"{root}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    (df.repartition(2 * spark.sparkContext.defaultParallelism) if spread else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,13 +11,12 @@ from waymark.functions import textnorm
 from waymark.functions.parser import parse_addresses, split_untyped
 from waymark.functions.vocab import StreetTypes
 from waymark.operators import indexes, localities, scoring
-from waymark.operators.scoring import ADDRESS_COLUMNS, DEFAULT_WEIGHTS, PARSED_COLUMNS
+from waymark.operators.scoring import ADDRESS_COLUMNS, PARSED_COLUMNS
 from waymark.plans.lineage import cut
 from waymark.plans.matcher import SCORES, MatchOptions, match_parsed
 from waymark.sources import cache as match_cache
 from waymark.sources.store import Store
 
-PERFECT = {f"score_{c}": int(round(w)) for c, w in DEFAULT_WEIGHTS.items()}
 KEPT = ["match_rank", "match_basis", "total_score", *SCORES, "number_distance", *ADDRESS_COLUMNS]
 
 
@@ -35,9 +36,10 @@ def recovered(parsed: DataFrame, index: DataFrame) -> DataFrame:
     }).drop("locality", "street_left")
 
 
-def perfect(hits: DataFrame, ref: DataFrame) -> DataFrame:
-    """Index hits as full matches."""
-    values = {**{k: F.lit(v) for k, v in PERFECT.items()}, "total_score": F.lit(100), "match_rank": F.lit(1), "match_basis": F.lit("exact_components"), "number_distance": F.lit(0)}
+def perfect(hits: DataFrame, ref: DataFrame, weights: Mapping[str, float]) -> DataFrame:
+    """Index hits as full matches: every component counts in full."""
+    full = {f"score_{c}": int(round(w)) for c, w in scoring.checked_weights(weights).items()}
+    values = {**{k: F.lit(v) for k, v in full.items()}, "total_score": F.lit(sum(full.values())), "match_rank": F.lit(1), "match_basis": F.lit("exact_components"), "number_distance": F.lit(0)}
     return hits.join(ref, "address_detail_pid").withColumns(values).select("input_id", *KEPT)
 
 
@@ -58,7 +60,7 @@ def match_addresses(inputs: DataFrame, ref: DataFrame, options: MatchOptions | N
     rest = parsed
     done = None
     if hits is not None:
-        done = perfect(hits.select("input_id", "address_detail_pid"), ref)
+        done = perfect(hits.select("input_id", "address_detail_pid"), ref, options.weights)
         rest = rest.join(hits.select("input_id"), "input_id", "left_anti")
     if cached is not None and options == MatchOptions(min_score=options.min_score):
         known = match_cache.lookup(rest.select("input_id", "input_standardised"), cached)
@@ -88,6 +90,6 @@ def match_store(store: Store, inputs: DataFrame, options: MatchOptions | None =
     cached = store.table("match_cache") if use_cache and options == MatchOptions() else None
     result = match_addresses(inputs, store.reference(options.include_custom), options, store.exact_index(), cached, store.types, untyped=store.table("street_split"))
     if cached is not None:
-        result = result.persist()
+        result = cut(result)
         match_cache.remember(store, result)
     return store.join_geographies(result, geographies) if geographies else result

@@ -52,7 +52,8 @@ def order() -> list:
 
 
 def ranked(pairs: DataFrame, max_results: int | None) -> DataFrame:
-    """One row per (input, address), and the best few of each input with their match_rank."""
+    """One row per (input, address), and the best few of each input with their match_rank: one shuffle, by the input."""
+    pairs = pairs.repartition("input_id")
     once = Window.partitionBy("input_id", "address_detail_pid").orderBy(*order(), F.when(F.col("source") == "custom", 1).otherwise(0))
     out = pairs.withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n")
     out = out.withColumn("match_rank", F.row_number().over(Window.partitionBy("input_id").orderBy(*order())))
@@ -61,6 +62,8 @@ def ranked(pairs: DataFrame, max_results: int | None) -> DataFrame:
 
 def score_path(pairs: DataFrame, options: MatchOptions, prune: bool = True) -> DataFrame:
     """Pairs with scores of at least min_score, their basis and number distance."""
+    if prune:
+        pairs = pairs.where(scoring.may_ever_reach(options.weights, int(options.min_score)))
     pairs = scoring.with_similarities(pairs)
     if prune:
         pairs = pairs.where(scoring.may_reach(options.weights, int(options.min_score)))
@@ -108,9 +111,9 @@ def cascade(inputs: DataFrame, ref: DataFrame, index: DataFrame, options: MatchO
         reached = best_scores(by_postcode).where((F.col("best") > options.fallback_threshold) | (F.col("best_suburb") >= weak)).select("input_id")
         by_state_only = inputs.where("in_postcode IS NULL AND in_state IS NOT NULL").select("input_id")
         left = inputs.join(reached, "input_id", "left_anti").join(by_state_only, "input_id", "left_anti").where("in_locality IS NOT NULL OR in_postcode IS NOT NULL")
-        left = cut(left)
+        left = cut(left, spread=True)
         alt = cut(localities.alternative_postcodes(left, index))
-        pairs = blocking.block_pairs(left.join(alt, "input_id"), some, [("alt_postcode", "postcode")]).drop("alt_postcode")
+        pairs = blocking.block_pairs(cut(left.join(alt, "input_id"), spread=True), some, [("alt_postcode", "postcode")]).drop("alt_postcode")
         by_locality = cut(score_path(pairs, options))
         found = found.unionByName(by_locality)
     else:
@@ -120,7 +123,7 @@ def cascade(inputs: DataFrame, ref: DataFrame, index: DataFrame, options: MatchO
         if by_locality is not None:
             so_far = so_far.unionByName(by_locality)
         good = best_scores(so_far).where(F.col("best") > options.fallback_threshold).select("input_id")
-        left = inputs.join(good, "input_id", "left_anti").where("i_name <> ''")
+        left = cut(inputs.join(good, "input_id", "left_anti").where("i_name <> ''"), spread=True)
         p = blocking.block_pairs(left.where("in_postcode IS NOT NULL"), some, [("in_postcode", "postcode"), ("i_name", "c_name")], gate=False)
         s = blocking.block_pairs(left.where("in_postcode IS NULL AND in_state IS NOT NULL"), some, [("in_state", "state"), ("i_name", "c_name")], gate=False)
         found = found.unionByName(cut(score_path(p.unionByName(s), options)))
@@ -158,7 +161,7 @@ def match_parsed(inputs: DataFrame, ref: DataFrame, options: MatchOptions | None
     keyed = inputs.withColumn("_k", F.concat_ws("-", signature, F.sha2(F.to_json(F.struct(*PARSED_COLUMNS)), 256)))
     fan = keyed.select(F.col("input_id").alias("_own"), F.col("_k").alias("_key"))
     distinct = keyed.groupBy("_k").agg(*[F.first(c).alias(c) for c in PARSED_COLUMNS]).withColumnRenamed("_k", "input_id")
-    ready = cut(scoring.prepared_inputs(distinct, types))
+    ready = cut(scoring.prepared_inputs(distinct, types), spread=True)
     table = cut(scoring.prepared(ref, types, untyped))
     places = cut(localities.locality_index(ref) if index is None else index)
     best, seen = cascade(ready, table, places, options)

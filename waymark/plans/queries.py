@@ -11,6 +11,7 @@ from waymark.functions import textnorm
 from waymark.operators import blocking, diagnostics, geo, indexes, localities, scoring
 from waymark.plans import matcher, oracles
 from waymark.plans.fixture import PREFIX, Tables
+from waymark.plans.lineage import cut
 from waymark.plans.oracles import DEFAULTS, RANK, TOTAL, matched, norm, pairs, scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,7 +32,12 @@ def query(name: str, oracle: str | None = None):
 
 def gated(t: Tables) -> DataFrame:
     """Prepared pairs of the postcode block that pass the number gate."""
-    return blocking.block_pairs(scoring.prepared_inputs(t["addr_in"]), scoring.prepared(t["addr_ref"]), [("in_postcode", "postcode")])
+    return blocking.block_pairs(*sides(t), [("in_postcode", "postcode")])
+
+
+def sides(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Inputs and candidates with their normal forms, made once for all branches of a block."""
+    return cut(scoring.prepared_inputs(t["addr_in"]), spread=True), cut(scoring.prepared(t["addr_ref"]))
 
 
 ON_POSTCODE = f"i.in_postcode = r.postcode AND {oracles.GATE}"
@@ -161,8 +167,8 @@ query("q_match_pruned", ORACLES["q_match_unpruned"])(lambda t: path(t, gated(t),
 
 @query("q_match_state", f"{matched(ON_STATE)} {BEST_SQL} WHERE match_rank <= 3")
 def match_state(t):
-    i, r = scoring.prepared_inputs(t["addr_in"]).where("in_postcode IS NULL"), scoring.prepared(t["addr_ref"])
-    return path(t, blocking.block_pairs(i, r, [("in_state", "state")]), 3)
+    i, r = sides(t)
+    return path(t, blocking.block_pairs(i.where("in_postcode IS NULL"), r, [("in_state", "state")]), 3)
 
 
 EXACT_ALT = "SELECT DISTINCT input_id, l.postcode AS alt_postcode FROM addr_in JOIN (SELECT DISTINCT locality_name, postcode, state FROM addr_ref) l ON in_locality = locality_name AND (in_state IS NULL OR in_state = l.state)"
@@ -186,9 +192,9 @@ scored AS (SELECT *, {scores()}, abs(number_first - in_number_first) AS number_d
 total AS (SELECT *, {TOTAL} AS total_score FROM scored), ranked AS (SELECT *, {RANK} AS match_rank FROM total WHERE total_score >= 60) {BEST_SQL} WHERE match_rank <= 1""",
 )
 def match_locality_fallback(t):
-    i, r = scoring.prepared_inputs(t["addr_in"]), scoring.prepared(t["addr_ref"])
-    alt = localities.alternative_postcodes(t["addr_in"], localities.locality_index(t["addr_ref"]))
-    return path(t, blocking.block_pairs(i.join(alt, "input_id"), r, [("alt_postcode", "postcode")]).drop("alt_postcode"), 1)
+    i, r = sides(t)
+    alt = localities.alternative_postcodes(i, localities.locality_index(r))
+    return path(t, blocking.block_pairs(cut(i.join(alt, "input_id"), spread=True), r, [("alt_postcode", "postcode")]).drop("alt_postcode"), 1)
 
 
 @query("q_match_number_relaxed", f"{matched('i.in_postcode = r.postcode AND i.in_street_name = r.street_name', 40)} {BEST_SQL} WHERE match_rank <= 3")
@@ -225,8 +231,8 @@ n AS (SELECT input_id, count(DISTINCT k) AS kinds FROM same GROUP BY input_id)
 SELECT input_id, address_detail_pid, CASE WHEN in_postcode = postcode THEN 'exact_components' WHEN kinds = 1 THEN 'postcode_only' ELSE 'weighted' END AS match_basis FROM same JOIN n USING (input_id)""",
 )
 def postcode_only_unique(t):
-    i, r = scoring.prepared_inputs(t["addr_in"]), scoring.prepared(t["addr_ref"])
-    found = matcher.postcode_identities(i, r, localities.locality_index(t["addr_ref"]), matcher.MatchOptions(min_score=0))
+    i, r = sides(t)
+    found = matcher.postcode_identities(i, r, localities.locality_index(r), matcher.MatchOptions(min_score=0))
     return found.select("input_id", "address_detail_pid", "match_basis")
 
 

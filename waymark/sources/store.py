@@ -1,7 +1,8 @@
-"""A versioned store of Parquet tables: every change stages whole new versions and then swaps one manifest.
+"""A versioned store of Parquet tables: every change stages whole new versions and then writes one more manifest.
 
-Readers see the tables of one manifest; a failed change leaves the manifest as it was. Paths may lie in any file system
-that Spark reaches.
+Manifests are numbered and never overwritten or deleted: readers take the highest that is whole, so a failed change, or a
+crash at any point, leaves the store as it was. Two writers that start from the same manifest cannot both write the next
+one: the later fails. Paths may lie in any file system that Spark reaches.
 """
 
 from __future__ import annotations
@@ -45,12 +46,19 @@ class ReadOnlyError(RuntimeError):
     pass
 
 
+class ConflictError(RuntimeError):
+    pass
+
+
+EMPTY = {"version": 0, "tables": {}, "meta": {}}
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str, read_only: bool = False, types: StreetTypes | None = None) -> None:
         self.spark, self.root, self.read_only, self.types = spark, root.rstrip("/"), read_only, types or StreetTypes.common()
         self.jvm, self._staged = spark.sparkContext._jvm, None
-        if not read_only and self._read("manifest.json") is None:
-            self._write("manifest.json", json.dumps({"version": 0, "tables": {}, "meta": {}}))
+        if not read_only and not self._versions():
+            self._write(0, json.dumps(EMPTY))
 
     # files
 
@@ -68,19 +76,30 @@ class Store:
         finally:
             stream.close()
 
-    def _write(self, name: str, text: str) -> None:
-        fs, path = self._fs(name)
-        spare = self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/.{uuid.uuid4().hex}")
+    def _write(self, version: int, text: str) -> None:
+        """Writes the manifest of a version beside its place and renames it there; fails if the version is there already."""
+        fs, path = self._fs(f"manifests/{version:012d}.json")
+        spare = self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifests/.{uuid.uuid4().hex}")
         stream = fs.create(spare, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if fs.exists(path):
-            fs.delete(path, False)
-        fs.rename(spare, path)
+        if fs.exists(path) or not fs.rename(spare, path):
+            fs.delete(spare, False)
+            raise ConflictError(f"version {version} of {self.root} was written by someone else")
+
+    def _versions(self) -> list[int]:
+        fs, path = self._fs("manifests")
+        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
     @property
     def manifest(self) -> dict:
-        return json.loads(self._read("manifest.json") or '{"version": 0, "tables": {}, "meta": {}}')
+        versions = self._versions()
+        return json.loads(self._read(f"manifests/{versions[-1]:012d}.json")) if versions else json.loads(json.dumps(EMPTY))
+
+    def close(self) -> None:
+        """Ends the use of this store; further calls fail. What was written stays."""
+        self.root, self.read_only = None, True
 
     # tables
 
@@ -121,7 +140,7 @@ class Store:
             yield self
             staged = self._staged
             staged["version"] += 1
-            self._write("manifest.json", json.dumps(staged))
+            self._write(staged["version"], json.dumps(staged))
         finally:
             self._staged = None
 
@@ -178,6 +197,18 @@ class Store:
         """n random rows of every table."""
         return {name: self.table(name).orderBy(F.rand(seed)).limit(n) for name in self.manifest["tables"]}
 
+    def statistics(self, name: str) -> DataFrame:
+        """Per column of a table: rows, filled values and distinct values (approximate), in one pass."""
+        df = self.table(name)
+        sums = df.agg(F.count("*").alias("n"), *[F.count(c).alias(f"f_{c}") for c in df.columns], *[F.approx_count_distinct(c).alias(f"d_{c}") for c in df.columns])
+        each = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col("n"), F.col(f"f_{c}").alias("filled"), F.col(f"d_{c}").alias("kinds")) for c in df.columns])
+        return sums.select(F.explode(each).alias("x")).select("x.*")
+
+    def export_csv(self, df: DataFrame, path: str, one_file: bool = False) -> None:
+        """Writes rows as CSV with a header, nulls as empty fields: a folder of files, or of one file."""
+        flat = df.select(*[F.to_json(c).alias(c) if kind.startswith(("array", "struct", "map")) else F.col(c) for c, kind in df.dtypes])
+        (flat.coalesce(1) if one_file else flat).write.mode("overwrite").option("header", True).option("emptyValue", '""').csv(path)
+
     # custom rows
 
     def add_custom(self, rows: DataFrame, upsert: bool = True) -> None:
@@ -194,11 +225,10 @@ class Store:
         label = F.concat_ws(", ", F.trim(F.regexp_replace(line, " +", " ")), F.nullif(F.concat_ws(" ", "locality_name", "state", F.col("postcode").cast("string")), F.lit("")))
         rows = rows.withColumns({"address_label": F.coalesce("address_label", label), "source": F.lit("custom"), "street_type": mapped(F.col("street_type"), self.types.canonical)})
         old = self.table("custom").select(*ADDRESS_COLUMNS)
-        last = old.select(F.max(F.regexp_extract("address_detail_pid", "^CUSTOM_([0-9]+)$", 1).try_cast("long")).alias("m")).first()["m"] or 0
         named = rows.where("address_detail_pid IS NOT NULL")
         unnamed = rows.where("address_detail_pid IS NULL").drop("address_detail_pid").distinct()
-        digest = F.conv(F.substring(F.md5(F.to_json(F.struct(*unnamed.columns))), 1, 15), 16, 10).cast("long")
-        named = named.unionByName(unnamed.withColumn("address_detail_pid", F.concat(F.lit("CUSTOM_"), (F.lit(last) + digest).cast("string"))).select(*ADDRESS_COLUMNS))
+        digest = F.conv(F.substring(F.md5(F.to_json(F.struct(*unnamed.columns))), 1, 15), 16, 10)  # equal rows, equal pids
+        named = named.unionByName(unnamed.withColumn("address_detail_pid", F.concat(F.lit("CUSTOM_"), digest)).select(*ADDRESS_COLUMNS))
         with self.change():
             self.put("custom", (upserted if upsert else added)(old, named, ["address_detail_pid"]))
             self.refresh()
