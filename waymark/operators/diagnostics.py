@@ -125,3 +125,11 @@ def difference_page(rows: DataFrame, a: str, b: str, path: str, title: str = "Di
 def reliability(results: DataFrame, p: str, y: str) -> DataFrame:
     """Ten bins of predicted probability: n, mean prediction and mean outcome."""
     return results.groupBy(F.least(F.floor(F.col(p) * 10), F.lit(9)).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(F.col(y).cast("double")).alias("mean_y"))
+
+
+def median_metres(pairs: DataFrame, here: tuple[str, str], there: tuple[str, str], *by: str) -> DataFrame:
+    """Per group the median distance of two points (longitude, latitude) and how many pairs have both."""
+    from waymark.operators.geo import metres_apart
+
+    apart = metres_apart(*[F.col(c) for c in (*here, *there)])
+    return pairs.groupBy(*by).agg(F.median(apart).alias("median_metres"), F.count(apart).alias("n"))

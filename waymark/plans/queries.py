@@ -542,3 +542,75 @@ def match_text(t):
 
     texts = t["addr_ref"].select(F.col("address_detail_pid").alias("input_id"), F.col("address_label").alias("input_raw"))
     return match_addresses(texts, t["addr_ref"]).select("input_id", "input_standardised", "match_status", "match_basis", "total_score", "address_detail_pid")
+
+
+# the whole of a match, and what is left
+
+
+@query(
+    "q_match_blocks",
+    f"""{matched(f'(({ON_POSTCODE}) OR ({ON_STATE}))')} SELECT a.input_id, r.address_detail_pid IS NOT NULL AS matched, r.match_basis, r.total_score, r.address_detail_pid
+FROM addr_in a LEFT JOIN (SELECT * FROM ranked WHERE match_rank = 1) r ON r.input_id = a.input_id""",
+)
+def match_blocks(t):
+    found = matcher.match_parsed(t["addr_in"], t["addr_ref"], matcher.MatchOptions(locality_fallback=False, street_fallback=False))
+    return found.select("input_id", "matched", "match_basis", "total_score", "address_detail_pid")
+
+
+@query("q_best_so_far", f"{matched(ON_POSTCODE)} SELECT input_id, max(total_score) AS best FROM ranked GROUP BY input_id")
+def best_so_far(t):
+    return matcher.best_scores(matcher.score_path(gated(t), matcher.MatchOptions())).select("input_id", "best")
+
+
+@query("q_insert_or_ignore", f"{PREFIX} SELECT address_detail_pid, CASE WHEN postcode % 2 = 0 THEN street_name ELSE 'NEW ' || street_name END AS street_name FROM addr_ref")
+def insert_or_ignore(t):
+    from waymark.sources.store import added
+
+    rows = t["addr_ref"].select("address_detail_pid", "street_name", "postcode")
+    return added(rows.where("postcode % 2 = 0"), rows.withColumn("street_name", F.concat(F.lit("NEW "), "street_name")), ["address_detail_pid"]).select("address_detail_pid", "street_name")
+
+
+@query("q_exact_lookup_plain", f"{INDEX_SQL}, raw AS (SELECT input_id, {KEY.format(x=RAW)} AS lookup_key FROM addr_in) SELECT input_id, address_detail_pid, CAST(kind AS SMALLINT) AS kind FROM raw JOIN idx USING (lookup_key) WHERE kind = 0")
+def exact_lookup_plain(t):
+    return indexes.exact_lookup(t["addr_in"].selectExpr("input_id", f"{RAW} AS input_raw"), indexes.exact_index(t["addr_ref"]), normalize=False)
+
+
+ONE_SPACE = "nullif(trim(regexp_replace({x}, ' +', ' ', 'g')), '')"
+STREET_LINE = "concat_ws(' ', concat_ws(' ', in_flat_type, in_flat_number), CAST(in_number_first AS VARCHAR) || coalesce('-' || CAST(in_number_last AS VARCHAR), ''), in_street_name, in_street_type)"
+PLACE_LINE = "concat_ws(' ', in_locality, in_state, lpad(CAST(in_postcode AS VARCHAR), 4, '0'))"
+
+
+@query("q_standardised", f"{PREFIX} SELECT input_id, concat_ws(', ', {ONE_SPACE.format(x=STREET_LINE)}, {ONE_SPACE.format(x=PLACE_LINE)}) AS line FROM addr_in")
+def standardised(t):
+    return scoring.with_columns(t["addr_in"], scoring.PARSED_SCHEMA).select("input_id", textnorm.standardised(F.col).alias("line"))
+
+
+@query(
+    "q_normal_forms",
+    f"""SELECT p_partkey, upper(trim(x)) AS value, {norm('x')} AS name, regexp_replace(upper(trim(k)), '^0+([0-9]+[A-Z]?)$', '\\1') AS identifier, {KEY.format(x='x')} AS lookup
+FROM (SELECT p_partkey, '  ' || p_name || ' - 1,  ' || p_brand AS x, lpad(CAST(p_partkey % 70 AS VARCHAR), 4, '0') || CASE WHEN p_partkey % 3 = 0 THEN 'b' ELSE '' END AS k FROM part) q""",
+)
+def normal_forms(t):
+    x, k = F.concat(F.lit("  "), "p_name", F.lit(" - 1,  "), "p_brand"), F.concat(F.lpad((F.col("p_partkey") % 70).cast("string"), 4, "0"), F.when(F.col("p_partkey") % 3 == 0, "b").otherwise(""))
+    return t["part"].select("p_partkey", textnorm.value(x).alias("value"), textnorm.name(x).alias("name"), textnorm.identifier(k).alias("identifier"), textnorm.exact_key(x).alias("lookup"))
+
+
+@query(
+    "q_median_metres",
+    f"""{PREFIX} SELECT a.state, round(median(sqrt(pow((p.longitude - a.longitude) * 111320.0 * cos(radians(a.latitude)), 2) + pow((p.latitude - a.latitude) * 110574.0, 2))), 4) AS median_metres, count(p.longitude) AS n
+FROM addr_ref a JOIN addr_ref p ON a.principal_pid = p.address_detail_pid GROUP BY a.state""",
+)
+def median_metres(t):
+    there = t["addr_ref"].select(F.col("address_detail_pid").alias("principal_pid"), F.col("longitude").alias("x"), F.col("latitude").alias("y"))
+    found = diagnostics.median_metres(t["addr_ref"].join(there, "principal_pid"), ("longitude", "latitude"), ("x", "y"), "state")
+    return found.select("state", F.round("median_metres", 4).alias("median_metres"), "n")
+
+
+COUNTED = ("address_detail_pid", "street_type", "flat_number", "alias_type", "postcode")
+
+
+@query("q_column_statistics", f"{PREFIX} " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n, count({c}) AS filled, count(DISTINCT {c}) AS kinds FROM addr_ref" for c in COUNTED))
+def column_statistics(t):
+    from waymark.sources.store import column_statistics
+
+    return column_statistics(t["addr_ref"].select(*COUNTED), exact=True)

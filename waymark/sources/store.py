@@ -53,6 +53,14 @@ class ConflictError(RuntimeError):
 EMPTY = {"version": 0, "tables": {}, "meta": {}}
 
 
+def column_statistics(df: DataFrame, exact: bool = False) -> DataFrame:
+    """(column_name, n, filled, kinds) of a frame: all columns in one pass; kinds are estimated unless they must be exact."""
+    kinds = F.count_distinct if exact else F.approx_count_distinct
+    sums = df.agg(F.count("*").alias("n"), *[F.count(c).alias(f"f_{c}") for c in df.columns], *[kinds(c).alias(f"d_{c}") for c in df.columns])
+    each = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col("n"), F.col(f"f_{c}").alias("filled"), F.col(f"d_{c}").alias("kinds")) for c in df.columns])
+    return sums.select(F.explode(each).alias("x")).select("x.*")
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str, read_only: bool = False, types: StreetTypes | None = None) -> None:
         self.spark, self.root, self.read_only, self.types = spark, root.rstrip("/"), read_only, types or StreetTypes.common()
@@ -199,10 +207,7 @@ class Store:
 
     def statistics(self, name: str) -> DataFrame:
         """Per column of a table: rows, filled values and distinct values (approximate), in one pass."""
-        df = self.table(name)
-        sums = df.agg(F.count("*").alias("n"), *[F.count(c).alias(f"f_{c}") for c in df.columns], *[F.approx_count_distinct(c).alias(f"d_{c}") for c in df.columns])
-        each = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col("n"), F.col(f"f_{c}").alias("filled"), F.col(f"d_{c}").alias("kinds")) for c in df.columns])
-        return sums.select(F.explode(each).alias("x")).select("x.*")
+        return column_statistics(self.table(name))
 
     def export_csv(self, df: DataFrame, path: str, one_file: bool = False) -> None:
         """Writes rows as CSV with a header, nulls as empty fields: a folder of files, or of one file."""
