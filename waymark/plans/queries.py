@@ -522,7 +522,16 @@ def fixed_format_dates(t):
     return t["orders"].select("o_orderkey", flexible_date(text).alias("date_created"))
 
 
-@query("q_parse_labels")
+#: The last word of a street without a type is read as one where it is, or is like, a type: here these.
+READ_TYPE = "CASE WHEN street_type IS NULL THEN CASE split_part(street_name, ' ', 2) WHEN 'RING' THEN 'RING' WHEN 'ROD' THEN 'ROAD' WHEN 'PLATE' THEN 'PLACE' END END"
+
+
+@query(
+    "q_parse_labels",
+    f"""{PREFIX} SELECT address_detail_pid AS input_id, address_label AS input_raw, postcode AS in_postcode, state AS in_state, locality_name AS in_locality,
+ CASE WHEN {READ_TYPE} IS NOT NULL THEN split_part(street_name, ' ', 1) ELSE street_name END AS in_street_name, coalesce(street_type, {READ_TYPE}) AS in_street_type, CAST(NULL AS VARCHAR) AS in_street_suffix, number_first AS in_number_first, number_last AS in_number_last,
+ CAST(NULL AS VARCHAR) AS in_number_suffix, flat_type AS in_flat_type, flat_number AS in_flat_number, CAST(NULL AS VARCHAR) AS in_level_type, CAST(NULL AS VARCHAR) AS in_level_number, CAST(NULL AS VARCHAR) AS in_lot_number, CAST(NULL AS VARCHAR) AS in_building_name FROM addr_ref""",
+)
 def parse_labels(t):
     from waymark.functions.parser import parse_addresses
 
