@@ -189,7 +189,7 @@ def test_simhash_links_over_two_bits_and_chains(spark):
     assert {n for n, _ in found} == {0, 3, low, 5} and {r for _, r in found} == {low}
 
 
-@pytest.mark.parametrize("small", [32, 2])
+@pytest.mark.parametrize("small", [8, 2])
 def test_near_duplicate_stage_reaches_similarity(spark, docs, empty, small, monkeypatch):
     monkeypatch.setattr(minhash, "SMALL", small)
     base = [f"w{i}" for i in range(200)]

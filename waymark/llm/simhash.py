@@ -92,7 +92,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     small_batches(spark)
     columns = [F.col(c) for c in docs.columns]
-    found = near_copies(docs).groupBy("doc_id", "node").agg(F.first("stays").alias("__stays"), F.count("*").alias("n"))
+    # by id as well as node, so that a text with many copies is not one task
+    found = near_copies(docs).repartition("doc_id", "node").groupBy("doc_id", "node").agg(F.first("stays").alias("__stays"), F.count("*").alias("n"))
     other = found.where("NOT __stays OR n > 1").select(F.col("doc_id").alias("__id"), F.col("node").alias("__other"), "__stays")
     left = with_nodes(docs).join(other, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__other") == F.col(NODE)), "left").where("__stays IS NULL OR __stays")
     # rows that repeat an id and its text: one of them
