@@ -154,3 +154,14 @@ def test_index_shortens_whole_street_names_only(spark):
     keys = {r["lookup_key"] for r in indexes.index_keys(table).collect()}
     assert "PRIMROSE ROAD HALL 1 ROSE RD X QLD 4000" in keys and not any("PRIMROSE RD" in k for k in keys)
 
+
+
+@pytest.mark.parametrize("name", ["q_identity_basis", "q_postcode_only_unique"])
+def test_identical_addresses_meet_by_number_and_unit(spark, name):
+    import re
+
+    from waymark.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    joins = re.findall(r"(?:SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin) (\[[^\]]*\])", plan)
+    assert any({"i_name", "i_locality", "in_number_first", "i_flat"} <= set(re.findall(r"\w+(?=#)", keys)) for keys in joins)

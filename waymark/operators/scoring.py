@@ -105,11 +105,17 @@ PAIR_COLUMNS = (
 )
 
 
+SIMILARITIES = ("suburb_similarity", "street_similarity")
+
+
+def with_gate(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("street_gate", F.when(F.col("street_similarity") == 0, 1.0).otherwise(F.col("street_similarity")))
+
+
 def with_similarities(pairs: DataFrame) -> DataFrame:
     """Adds suburb_similarity, street_similarity and the street gate, where the pairs are made: nothing is shuffled."""
     pairs = pairs.select(*[c for c in PAIR_COLUMNS if c in pairs.columns])
-    pairs = with_factors(pairs, {"suburb_similarity": ("i_locality", "c_locality"), "street_similarity": ("i_name", "c_name")})
-    return pairs.withColumn("street_gate", F.when(F.col("street_similarity") == 0, 1.0).otherwise(F.col("street_similarity")))
+    return with_gate(with_factors(pairs, {"suburb_similarity": ("i_locality", "c_locality"), "street_similarity": ("i_name", "c_name")}))
 
 
 def postcode_score(w: float, a: Column, b: Column) -> Column:
@@ -174,6 +180,15 @@ def scored(pairs: DataFrame, weights: Mapping[str, float] | None = None, gate: b
     return pairs.withColumns(scores).withColumn("total_score", sum((F.col(c) for c in scores), F.lit(0)).cast("int"))
 
 
+def names_may_reach(weights: Mapping[str, float], least: int) -> Column:
+    """May_reach of two pairs of names alone: all that they do not decide counts in full."""
+    w = checked_weights(weights)
+    bound = F.lit(int(round_even(w["postcode"])) + math.ceil(w["street_type"])) + name_score(w["suburb"], F.col("suburb_similarity")) + name_score(w["street_name"], F.col("street_similarity"))
+    for c in ("number", "flat"):
+        bound += F.ceil(F.lit(float(w[c])) * F.col("street_gate"))
+    return bound >= least
+
+
 def may_ever_reach(weights: Mapping[str, float], least: int) -> Column:
     """As may_reach, before names are compared: equal names count in full, blank ones nothing, others a point less."""
     w = checked_weights(weights)
@@ -215,5 +230,9 @@ def identity(col=F.col) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+#: Equalities that identity() demands, as join keys: with them only identical numbers, names and units meet.
+IDENTITY_KEYS = [("i_name", "c_name"), ("i_locality", "c_locality"), ("in_number_first", "number_first"), ("i_flat", "c_flat")]
+
+
 def number_distance(col=F.col) -> Column:
     return F.abs(col("number_first") - col("in_number_first")).cast("int")

@@ -61,12 +61,16 @@ def ranked(pairs: DataFrame, max_results: int | None) -> DataFrame:
 
 
 def score_path(pairs: DataFrame, options: MatchOptions, prune: bool = True) -> DataFrame:
-    """Pairs with scores of at least min_score, their basis and number distance."""
-    if prune:
-        pairs = pairs.where(scoring.may_ever_reach(options.weights, int(options.min_score)))
-    pairs = scoring.with_similarities(pairs)
-    if prune:
-        pairs = pairs.where(scoring.may_reach(options.weights, int(options.min_score)))
+    """Pairs with scores of at least min_score, their basis and number distance; names that have their similarities are
+    not compared again."""
+    if set(scoring.SIMILARITIES) <= set(pairs.columns):
+        pairs = scoring.with_gate(pairs.select(*[c for c in (*scoring.PAIR_COLUMNS, *scoring.SIMILARITIES) if c in pairs.columns]))
+    else:
+        if prune:
+            pairs = pairs.where(scoring.may_ever_reach(options.weights, int(options.min_score)))
+        pairs = scoring.with_similarities(pairs)
+        if prune:
+            pairs = pairs.where(scoring.may_reach(options.weights, int(options.min_score)))
     same = scoring.identity() & (F.col("in_postcode") == F.col("postcode"))
     pairs = scoring.scored(pairs, options.weights).where(F.col("total_score") >= int(options.min_score))
     basis = F.when(F.coalesce(same, F.lit(False)), "exact_components").otherwise("weighted")
@@ -76,8 +80,9 @@ def score_path(pairs: DataFrame, options: MatchOptions, prune: bool = True) -> D
 def postcode_identities(inputs: DataFrame, ref: DataFrame, index: DataFrame, options: MatchOptions) -> DataFrame:
     """Addresses that equal an input in all but the postcode; postcode_only where they are a single address."""
     alt = localities.exact_postcodes(inputs, index)
-    pairs = blocking.block_pairs(inputs.join(alt, "input_id"), ref, [("alt_postcode", "postcode"), ("i_locality", "c_locality")], gate=False)
-    pairs = pairs.where(scoring.identity()).drop("alt_postcode")
+    pairs = blocking.block_pairs(inputs.join(alt, "input_id"), ref, [("alt_postcode", "postcode"), *scoring.IDENTITY_KEYS], gate=False)
+    # identical addresses have equal, filled names: their similarities are known
+    pairs = pairs.where(scoring.identity()).drop("alt_postcode").withColumns({c: F.lit(1.0) for c in scoring.SIMILARITIES})
     pairs = score_path(pairs, MatchOptions(min_score=0, weights=options.weights), prune=False)
     key = F.coalesce(F.when(F.col("alias_type").isNotNull(), F.col("principal_pid")), F.col("address_detail_pid"))
     w = Window.partitionBy("input_id")

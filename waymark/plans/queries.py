@@ -220,7 +220,7 @@ IDENTICAL = f"i.in_locality = r.locality_name AND i.in_state = r.state AND {orac
 @query("q_identity_basis", f"{PREFIX} SELECT input_id, address_detail_pid, CASE WHEN in_postcode = postcode THEN 'exact_components' ELSE 'other' END AS basis FROM addr_in i JOIN addr_ref r ON {IDENTICAL}")
 def identity_basis(t):
     i, r = scoring.prepared_inputs(t["addr_in"]), scoring.prepared(t["addr_ref"])
-    same = blocking.block_pairs(i, r, [("i_locality", "c_locality"), ("in_state", "state")], gate=False).where(scoring.identity())
+    same = blocking.block_pairs(i, r, [("in_state", "state"), *scoring.IDENTITY_KEYS], gate=False).where(scoring.identity())
     return same.select("input_id", "address_detail_pid", F.when(F.col("in_postcode") == F.col("postcode"), "exact_components").otherwise("other").alias("basis"))
 
 
