@@ -165,3 +165,29 @@ def test_identical_addresses_meet_by_number_and_unit(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
     joins = re.findall(r"(?:SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin) (\[[^\]]*\])", plan)
     assert any({"i_name", "i_locality", "in_number_first", "i_flat"} <= set(re.findall(r"\w+(?=#)", keys)) for keys in joins)
+
+
+@pytest.mark.parametrize(("least", "gate"), [(60, True), (40, True), (85, True), (60, False)])
+def test_names_compared_by_block_lose_no_pair(spark, ref, monkeypatch, least, gate):
+    from waymark.plans import matcher
+    from waymark.plans.lineage import cut
+
+    inputs = [(i, p, "QLD", loc, name, n, last) for i, (p, loc, name, n, last) in enumerate((p, loc, name, n, last) for p in (4000, 4101, None) for loc in ("BRISBANE", "WEST ENDD", None) for name in ("RANGE", "RNAGE", "SMITH", "SMTIH", "OLD", None) for n, last in ((10, None), (12, 30), (None, None)))]
+    i = cut(scoring.prepared_inputs(spark.createDataFrame(inputs, "input_id int, in_postcode int, in_state string, in_locality string, in_street_name string, in_number_first int, in_number_last int")))
+    r, key, options = cut(scoring.prepared(ref)), [("in_postcode", "postcode")], MatchOptions(min_score=least)
+    rows = lambda df: sorted(map(tuple, df.select("input_id", "address_detail_pid", *matcher.SCORES, "total_score", "match_basis", "number_distance").collect()), key=repr)
+    want = rows(matcher.score_path(blocking.block_pairs(i, r, key, gate), options, prune=False))
+    assert matcher.names_of_blocks(i, r, key, gate, least, options.weights).columns[-4:] == ["_name", "_locality", "suburb_similarity", "street_similarity"]
+    assert rows(matcher.score_block(i, r, key, options, gate)) == want == rows(matcher.score_block(i, r, key, options, gate, prune=False)) and (want or least == 85)
+    monkeypatch.setattr(matcher, "NAMES", 0)
+    assert rows(matcher.score_block(i, r, key, options, gate)) == want
+
+
+def test_equal_inputs_are_matched_once_and_answered_all(spark):
+    from waymark.plans import matcher
+
+    rows = [(1, 4000, "A"), (2, 4000, "A"), (3, 4000, None), (4, None, "A"), (5, None, "A"), (None, 4000, "A")]
+    distinct, fan = matcher.distinct_inputs(spark.createDataFrame(rows, "input_id int, in_postcode int, in_street_name string"))
+    assert distinct.count() == 3
+    got = matcher.for_all(distinct.select("input_id", "in_postcode", "in_street_name"), fan).select("input_id", "in_postcode", "in_street_name").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(rows, key=repr)

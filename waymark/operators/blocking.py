@@ -34,11 +34,27 @@ def number_gate(col=F.col) -> Column:
 SPELT = 256
 
 
-def block_pairs(inputs: DataFrame, ref: DataFrame, keys: list[tuple[str, str]], gate: bool = True) -> DataFrame:
+def _any(df: DataFrame, kinds: dict[str, Column]) -> dict[str, bool]:
+    return df.agg(*[F.coalesce(F.max(F.coalesce(c, F.lit(False))), F.lit(False)).alias(k) for k, c in kinds.items()]).first().asDict()
+
+
+def needed(inputs: DataFrame, ref: DataFrame) -> dict[str, bool]:
+    """Which branches of the gate can have pairs at all; reads both sides, which should be written ones."""
+    col, a = F.col, F.col("in_number_first")
+    c, d, last = col("number_first"), col("number_last"), col("in_number_last")
+    i = _any(inputs, {"numbered": a.isNotNull(), "spread": (last > a) & (last - a <= SPELT), "broad": last - a > SPELT, "lot": a.isNull() & (col("i_lot") != ""), "bare": a.isNull() & (col("i_lot") == "")})
+    r = _any(ref, {"numbered": c.isNotNull(), "ranged": (d > c) & (d - c <= SPELT), "wide": (d > c) & (d - c > SPELT), "token": c.isNull() & col("c_token_number").isNotNull(), "lot": col("c_lot") != ""})
+    return {
+        "ranged": i["numbered"] and r["ranged"], "wide": i["numbered"] and r["wide"], "spread": i["spread"] and r["numbered"], "broad": i["broad"] and r["numbered"],
+        "token": i["numbered"] and r["token"], "lot": i["lot"] and r["lot"], "bare": i["bare"],
+    }
+
+
+def block_pairs(inputs: DataFrame, ref: DataFrame, keys: list[tuple[str, str]], gate: bool = True, branches: dict[str, bool] | None = None) -> DataFrame:
     """Pairs of prepared inputs and candidates with equal keys (input column, candidate column) that pass the gate.
 
     No pair comes twice. Sides are left to the planner: it broadcasts one only below its size threshold, else both are
-    shuffled by the keys and skewed partitions are split.
+    shuffled by the keys and skewed partitions are split. ``branches``, of needed(), leaves out those without pairs.
     """
 
     def join(left: DataFrame, right: DataFrame, more: list[Column], residual: Column | None = None) -> DataFrame:
@@ -58,19 +74,20 @@ def block_pairs(inputs: DataFrame, ref: DataFrame, keys: list[tuple[str, str]],
     ranged, wide = ref.where(d > c), d - c > SPELT
     spread, broad = numbered.where(col("in_number_last") > a), col("in_number_last") - a > SPELT
     reached = F.coalesce(d, c) >= a
-    branches = [
-        join(numbered, ref, [c == a]),
+    made = {
+        "first": lambda: join(numbered, ref, [c == a]),
         # the input's number lies behind the first of the candidate's range
-        join(numbered, ranged.where(~wide).withColumn("_n", F.explode(F.sequence(c + 1, d))), [col("_n") == a], c <= b).drop("_n"),
-        join(numbered, ranged.where(wide), [], (c < a) & (d >= a) & (c <= b)),
+        "ranged": lambda: join(numbered, ranged.where(~wide).withColumn("_n", F.explode(F.sequence(c + 1, d))), [col("_n") == a], c <= b).drop("_n"),
+        "wide": lambda: join(numbered, ranged.where(wide), [], (c < a) & (d >= a) & (c <= b)),
         # the candidate's number lies behind the first of the input's range
-        join(spread.where(~broad).withColumn("_n", F.explode(F.sequence(a + 1, col("in_number_last")))), ref, [col("_n") == c], reached).drop("_n"),
-        join(spread.where(broad), ref, [], (c > a) & (c <= b) & reached),
-        join(numbered, ref.where(col("number_first").isNull() & col("c_token_number").isNotNull()), [col("c_token_number") == a]),
-        join(bare.where("i_lot <> ''"), ref.where("c_lot <> ''"), [col("i_lot") == col("c_lot")]),
-        join(bare.where("i_lot = ''"), ref, []),
-    ]
-    out = branches[0]
-    for x in branches[1:]:
+        "spread": lambda: join(spread.where(~broad).withColumn("_n", F.explode(F.sequence(a + 1, col("in_number_last")))), ref, [col("_n") == c], reached).drop("_n"),
+        "broad": lambda: join(spread.where(broad), ref, [], (c > a) & (c <= b) & reached),
+        "token": lambda: join(numbered, ref.where(col("number_first").isNull() & col("c_token_number").isNotNull()), [col("c_token_number") == a]),
+        "lot": lambda: join(bare.where("i_lot <> ''"), ref.where("c_lot <> ''"), [col("i_lot") == col("c_lot")]),
+        "bare": lambda: join(bare.where("i_lot = ''"), ref, []),
+    }
+    some = [make() for k, make in made.items() if branches is None or branches.get(k, True)]
+    out = some[0]
+    for x in some[1:]:
         out = out.unionByName(x)
     return out

@@ -10,6 +10,11 @@ import uuid
 from pyspark.sql import DataFrame
 
 
+def small_methods(spark) -> None:
+    """Has the session run plans step by step whose generated methods the JVM would not compile, as scores are."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def cut(df: DataFrame, spread: bool = False) -> DataFrame:
     """The same rows from a table in spark.checkpoint.dir, which goes when the driver's file systems close.
 

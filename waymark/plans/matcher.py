@@ -17,7 +17,7 @@ from waymark.functions import textnorm
 from waymark.functions.vocab import StreetTypes
 from waymark.operators import blocking, localities, scoring
 from waymark.operators.scoring import ADDRESS_COLUMNS, COMPONENTS, PARSED_COLUMNS
-from waymark.plans.lineage import cut
+from waymark.plans.lineage import cut, small_methods
 
 SCORES = [f"score_{c}" for c in COMPONENTS]
 
@@ -77,6 +77,57 @@ def score_path(pairs: DataFrame, options: MatchOptions, prune: bool = True) -> D
     return pairs.withColumns({"match_basis": basis, "number_distance": scoring.number_distance()})
 
 
+#: Pairs of names that are always compared block by block; more of them only if they are fewer than the pairs of equal number.
+NAMES = 1 << 20
+
+
+def names_of_blocks(inputs: DataFrame, ref: DataFrame, keys: list[tuple[str, str]], gate: bool, least: int | None, weights: Mapping[str, float]) -> DataFrame | None:
+    """Per block the (street, locality) of inputs and candidates with their similarities, that can reach least at all:
+    the keys of the inputs, i_name, i_locality, _name, _locality. None where comparing pairs is less work."""
+    mine, theirs = (list(dict.fromkeys(x)) for x in zip(*keys))
+    a = cut(inputs.select(*dict.fromkeys([*mine, "i_name", "i_locality"])).distinct())
+    b = cut(ref.select(*dict.fromkeys([*theirs, "c_name", "c_locality"])).distinct())
+    on = lambda x, y: [F.col(f"{x}.{m}") == F.col(f"{y}.{t}") for m, t in keys]
+
+    def meets(left: DataFrame, right: DataFrame, more: list[tuple[str, str]]) -> int:
+        every = [*keys, *more]
+        n = left.groupBy(*dict.fromkeys(m for m, _ in every)).agg(F.count("*").alias("n")).alias("x").join(right.groupBy(*dict.fromkeys(t for _, t in every)).agg(F.count("*").alias("k")).alias("y"), [F.col(f"x.{m}") == F.col(f"y.{t}") for m, t in every])
+        return int(n.agg(F.sum(F.col("n").cast("decimal(38,0)") * F.col("k"))).first()[0] or 0)
+
+    n = meets(a, b, [])
+    if n > NAMES and n > meets(inputs, ref, [("in_number_first", "number_first")] if gate else []):
+        return None
+    both = a.alias("x").join(b.alias("y"), on("x", "y"))
+    both = scoring.with_factors(both, {"suburb_similarity": ("i_locality", "c_locality"), "street_similarity": ("i_name", "c_name")})
+    both = both.select(*dict.fromkeys([*mine, "i_name", "i_locality"]), F.col("c_name").alias("_name"), F.col("c_locality").alias("_locality"), *scoring.SIMILARITIES)
+    return cut(both if least is None else scoring.with_gate(both).where(scoring.names_may_reach(weights, least)).drop("street_gate"))
+
+
+def score_block(inputs: DataFrame, ref: DataFrame, keys: list[tuple[str, str]], options: MatchOptions, gate: bool = True, prune: bool = True) -> DataFrame:
+    """score_path of a block's pairs. Names are compared once a block, before pairs are made, and only names that can
+    reach min_score (all, without prune) are joined: the sides, which should be written ones, meet by name as well."""
+    small_methods(inputs.sparkSession)
+    branches = blocking.needed(inputs, ref) if gate else None
+    names = names_of_blocks(inputs, ref, keys, gate, int(options.min_score) if prune else None, options.weights)
+    if names is None:
+        return score_path(blocking.block_pairs(inputs, ref, keys, gate, branches), options, prune)
+    mine = list(dict.fromkeys([*(m for m, _ in keys), "i_name", "i_locality"]))
+    return score_path(blocking.block_pairs(inputs.join(names, mine), ref, [*keys, ("_name", "c_name"), ("_locality", "c_locality")], gate, branches), options, prune)
+
+
+def distinct_inputs(inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parsed inputs without repeats, by a digest of their content as input_id, and (_own, _key), the digest of every
+    input: equal inputs are matched once."""
+    inputs = scoring.with_columns(inputs, scoring.PARSED_SCHEMA).select("input_id", *PARSED_COLUMNS)
+    digest = F.unhex(F.sha2(F.to_json(F.struct(*PARSED_COLUMNS)), 256))
+    return inputs.select(*PARSED_COLUMNS).distinct().withColumn("input_id", digest), inputs.select(F.col("input_id").alias("_own"), digest.alias("_key"))
+
+
+def for_all(found: DataFrame, fan: DataFrame) -> DataFrame:
+    """What was found for distinct inputs, for all of them."""
+    return found.withColumnRenamed("input_id", "_key").join(fan, "_key").withColumnRenamed("_own", "input_id").drop("_key")
+
+
 def postcode_identities(inputs: DataFrame, ref: DataFrame, index: DataFrame, options: MatchOptions) -> DataFrame:
     """Addresses that equal an input in all but the postcode; postcode_only where they are a single address."""
     alt = localities.exact_postcodes(inputs, index)
@@ -104,8 +155,8 @@ def cascade(inputs: DataFrame, ref: DataFrame, index: DataFrame, options: MatchO
     some = ref if chosen is None else ref.where(chosen)
     if not options.include_custom:
         some = some.where("source <> 'custom' OR source IS NULL")
-    by_postcode = cut(score_path(blocking.block_pairs(inputs.where("in_postcode IS NOT NULL"), some, [("in_postcode", "postcode")]), options))
-    by_state = cut(score_path(blocking.block_pairs(inputs.where("in_postcode IS NULL AND in_state IS NOT NULL"), some, [("in_state", "state")]), options))
+    by_postcode = cut(score_block(inputs.where("in_postcode IS NOT NULL"), some, [("in_postcode", "postcode")], options))
+    by_state = cut(score_block(inputs.where("in_postcode IS NULL AND in_state IS NOT NULL"), some, [("in_state", "state")], options))
     found = by_postcode.unionByName(by_state)
     if options.locality_fallback:
         exact = found.where("match_basis = 'exact_components'").select("input_id").distinct()
@@ -118,8 +169,7 @@ def cascade(inputs: DataFrame, ref: DataFrame, index: DataFrame, options: MatchO
         left = inputs.join(reached, "input_id", "left_anti").join(by_state_only, "input_id", "left_anti").where("in_locality IS NOT NULL OR in_postcode IS NOT NULL")
         left = cut(left, spread=True)
         alt = cut(localities.alternative_postcodes(left, index))
-        pairs = blocking.block_pairs(cut(left.join(alt, "input_id"), spread=True), some, [("alt_postcode", "postcode")]).drop("alt_postcode")
-        by_locality = cut(score_path(pairs, options))
+        by_locality = cut(score_block(cut(left.join(alt, "input_id"), spread=True), some, [("alt_postcode", "postcode")], options))
         found = found.unionByName(by_locality)
     else:
         by_locality, seen = None, inputs.select("input_id").where(F.lit(False))
@@ -135,7 +185,7 @@ def cascade(inputs: DataFrame, ref: DataFrame, index: DataFrame, options: MatchO
     if options.street_only and (options.alias_types is None or "street_only" in options.alias_types):
         left = inputs.join(found.select("input_id").distinct(), "input_id", "left_anti").where("in_postcode IS NOT NULL AND i_name <> ''")
         lines = ref.where("alias_type = 'street_only' AND (source IS NULL OR source <> 'custom')")
-        found = found.unionByName(score_path(blocking.block_pairs(left, lines, [("in_postcode", "postcode")], gate=False), options))
+        found = found.unionByName(score_block(cut(left), lines, [("in_postcode", "postcode")], options, gate=False))
     return ranked(found, options.max_results), seen
 
 

@@ -40,6 +40,12 @@ def sides(t: Tables) -> tuple[DataFrame, DataFrame]:
     return cut(scoring.prepared_inputs(t["addr_in"]), spread=True), cut(scoring.prepared(t["addr_ref"]))
 
 
+def once(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As sides, with equal inputs once under a key of their own, and (_own, _key), the keys of all inputs."""
+    inputs, fan = matcher.distinct_inputs(t["addr_in"])
+    return cut(scoring.prepared_inputs(inputs), spread=True), cut(scoring.prepared(t["addr_ref"])), fan
+
+
 ON_POSTCODE = f"i.in_postcode = r.postcode AND {oracles.GATE}"
 ON_STATE = f"i.in_postcode IS NULL AND i.in_state = r.state AND {oracles.GATE}"
 BEST = ("input_id", "address_detail_pid", "match_basis", "total_score", "match_rank")
@@ -155,20 +161,25 @@ query("q_score_custom_weights", score_sql(TOTAL, UNEVEN))(lambda t: scoring.scor
 # matching
 
 
-def path(t: Tables, pairs_: DataFrame, k: int | None, least: int = 60, prune: bool = True) -> DataFrame:
-    return best(matcher.ranked(matcher.score_path(pairs_, matcher.MatchOptions(min_score=least), prune), k))
+POSTCODE = [("in_postcode", "postcode")]
+
 
+def path(i: DataFrame, r: DataFrame, fan: DataFrame, keys: list, k: int, least: int = 60, gate: bool = True, prune: bool = True, more: Callable[[DataFrame], DataFrame] = lambda found: found) -> DataFrame:
+    """The best k of every input on one path, with all that was made of the pairs; more adds to those of distinct inputs."""
+    found = matcher.ranked(matcher.score_block(i, r, keys, matcher.MatchOptions(min_score=least), gate, prune), k)
+    return matcher.ranked(matcher.for_all(more(found), fan), k)
 
-query("q_match_postcode_top1", f"{matched(ON_POSTCODE)} {BEST_SQL} WHERE match_rank <= 1")(lambda t: path(t, gated(t), 1))
-query("q_match_postcode_topk", f"{matched(ON_POSTCODE)} {BEST_SQL} WHERE match_rank <= 5")(lambda t: path(t, gated(t), 5))
-query("q_match_unpruned", f"{matched(ON_POSTCODE, 80)} {BEST_SQL} WHERE match_rank <= 5")(lambda t: path(t, gated(t), 5, 80, False))
-query("q_match_pruned", ORACLES["q_match_unpruned"])(lambda t: path(t, gated(t), 5, 80, True))
+
+query("q_match_postcode_top1", f"{matched(ON_POSTCODE)} {BEST_SQL} WHERE match_rank <= 1")(lambda t: best(path(*once(t), POSTCODE, 1)))
+query("q_match_postcode_topk", f"{matched(ON_POSTCODE)} {BEST_SQL} WHERE match_rank <= 5")(lambda t: best(path(*once(t), POSTCODE, 5)))
+query("q_match_unpruned", f"{matched(ON_POSTCODE, 80)} {BEST_SQL} WHERE match_rank <= 5")(lambda t: best(path(*once(t), POSTCODE, 5, 80, prune=False)))
+query("q_match_pruned", ORACLES["q_match_unpruned"])(lambda t: best(path(*once(t), POSTCODE, 5, 80)))
 
 
 @query("q_match_state", f"{matched(ON_STATE)} {BEST_SQL} WHERE match_rank <= 3")
 def match_state(t):
-    i, r = sides(t)
-    return path(t, blocking.block_pairs(i.where("in_postcode IS NULL"), r, [("in_state", "state")]), 3)
+    i, r, fan = once(t)
+    return best(path(i.where("in_postcode IS NULL"), r, fan, [("in_state", "state")], 3))
 
 
 EXACT_ALT = "SELECT DISTINCT input_id, l.postcode AS alt_postcode FROM addr_in JOIN (SELECT DISTINCT locality_name, postcode, state FROM addr_ref) l ON in_locality = locality_name AND (in_state IS NULL OR in_state = l.state)"
@@ -192,15 +203,14 @@ scored AS (SELECT *, {scores()}, abs(number_first - in_number_first) AS number_d
 total AS (SELECT *, {TOTAL} AS total_score FROM scored), ranked AS (SELECT *, {RANK} AS match_rank FROM total WHERE total_score >= 60) {BEST_SQL} WHERE match_rank <= 1""",
 )
 def match_locality_fallback(t):
-    i, r = sides(t)
+    i, r, fan = once(t)
     alt = localities.alternative_postcodes(i, localities.locality_index(r))
-    return path(t, blocking.block_pairs(cut(i.join(alt, "input_id"), spread=True), r, [("alt_postcode", "postcode")]).drop("alt_postcode"), 1)
+    return best(path(cut(i.join(alt, "input_id"), spread=True), r, fan, [("alt_postcode", "postcode")], 1))
 
 
 @query("q_match_number_relaxed", f"{matched('i.in_postcode = r.postcode AND i.in_street_name = r.street_name', 40)} {BEST_SQL} WHERE match_rank <= 3")
 def match_number_relaxed(t):
-    i, r = scoring.prepared_inputs(t["addr_in"]), scoring.prepared(t["addr_ref"])
-    return path(t, blocking.block_pairs(i, r, [("in_postcode", "postcode"), ("i_name", "c_name")], gate=False), 3, 40)
+    return best(path(*once(t), [("in_postcode", "postcode"), ("i_name", "c_name")], 3, 40, gate=False))
 
 
 @query(
@@ -231,9 +241,9 @@ n AS (SELECT input_id, count(DISTINCT k) AS kinds FROM same GROUP BY input_id)
 SELECT input_id, address_detail_pid, CASE WHEN in_postcode = postcode THEN 'exact_components' WHEN kinds = 1 THEN 'postcode_only' ELSE 'weighted' END AS match_basis FROM same JOIN n USING (input_id)""",
 )
 def postcode_only_unique(t):
-    i, r = sides(t)
+    i, r, fan = once(t)
     found = matcher.postcode_identities(i, r, localities.locality_index(r), matcher.MatchOptions(min_score=0))
-    return found.select("input_id", "address_detail_pid", "match_basis")
+    return matcher.for_all(found.select("input_id", "address_detail_pid", "match_basis"), fan).select("input_id", "address_detail_pid", "match_basis")
 
 
 @query("q_match_cascade")
@@ -472,8 +482,8 @@ query("q_pli_funnel", f"{PLI_STATUS} SELECT status, count(*) AS n, round(count(*
 # diagnostics
 
 
-def top(t: Tables, k: int = 1) -> DataFrame:
-    return matcher.ranked(matcher.score_path(gated(t), matcher.MatchOptions()), k)
+def top(t: Tables, k: int = 1, more: Callable[[DataFrame], DataFrame] = lambda found: found) -> DataFrame:
+    return path(*once(t), POSTCODE, k, more=more)
 
 
 GRAMS = lambda x: f"CASE WHEN length({x}) < 2 THEN [] ELSE list_distinct([substr({x}, i, 2) FOR i IN range(1, length({x}))]) END"
@@ -486,7 +496,7 @@ SELECT input_id, round(jaro_winkler_similarity(a, b) * 100, 1) AS jaro_winkler,
 )
 def text_scores(t):
     labels = t["addr_ref"].select("address_detail_pid", "address_label")
-    return diagnostics.text_scores(top(t).join(labels, "address_detail_pid"), "i_name").select("input_id", "jaro_winkler", "jaccard", "edit")
+    return top(t, more=lambda found: diagnostics.text_scores(found.join(labels, "address_detail_pid"), "i_name")).select("input_id", "jaro_winkler", "jaccard", "edit")
 
 
 @query(
@@ -568,7 +578,9 @@ def match_blocks(t):
 
 @query("q_best_so_far", f"{matched(ON_POSTCODE)} SELECT input_id, max(total_score) AS best FROM ranked GROUP BY input_id")
 def best_so_far(t):
-    return matcher.best_scores(matcher.score_path(gated(t), matcher.MatchOptions())).select("input_id", "best")
+    i, r, fan = once(t)
+    found = matcher.for_all(matcher.best_scores(matcher.score_block(i, r, POSTCODE, matcher.MatchOptions())), fan)
+    return found.groupBy("input_id").agg(F.max("best").alias("best"))
 
 
 @query("q_insert_or_ignore", f"{PREFIX} SELECT address_detail_pid, CASE WHEN postcode % 2 = 0 THEN street_name ELSE 'NEW ' || street_name END AS street_name FROM addr_ref")
