@@ -191,3 +191,29 @@ def test_equal_inputs_are_matched_once_and_answered_all(spark):
     assert distinct.count() == 3
     got = matcher.for_all(distinct.select("input_id", "in_postcode", "in_street_name"), fan).select("input_id", "in_postcode", "in_street_name").collect()
     assert sorted(map(tuple, got), key=repr) == sorted(rows, key=repr)
+
+
+def test_small_files_of_many_rows_are_not_broadcast(spark):
+    from waymark.plans import lineage
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    held = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10m")
+        many = lineage.cut(spark.range(400_000).selectExpr("id", "repeat('MAIN STREET ', 40) AS name"))
+        joined = many.join(many.select("id"), "id")._jdf.queryExecution().executedPlan().toString()
+        assert int(spark.conf.get(key)) == lineage.BROADCAST and "SortMergeJoin" in joined
+        spark.conf.set(key, "-1")
+        lineage.cut(spark.range(1))
+        assert spark.conf.get(key) == "-1"
+    finally:
+        spark.conf.set(key, held)
+
+
+def test_all_pairs_are_made_in_tasks_of_few_inputs(spark, monkeypatch):
+    from waymark.plans import queries
+
+    monkeypatch.setattr(queries, "TASK_INPUTS", 100)
+    found = queries.gated(queries.Tables(spark, "/root/testdata/sf0.001"))
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == found.select("input_id", "address_detail_pid").distinct().count() > 0

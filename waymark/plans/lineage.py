@@ -10,11 +10,22 @@ import uuid
 from pyspark.sql import DataFrame
 
 
+#: Files of at most this size are broadcast. Prepared addresses shrink to a twentieth as Parquet, and the planner takes a file's
+#: size for that of its rows: at Spark's 10 MB it would send hundreds of MB through the driver.
+BROADCAST = 256 << 10
+
+
 def small_methods(spark) -> None:
     """Has the session run plans step by step whose generated methods the JVM would not compile, as scores are."""
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
 
 
+def small_broadcasts(spark) -> None:
+    """Keeps the session's threshold for broadcasts at BROADCAST or what it is, if less."""
+    if spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold() > BROADCAST:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(BROADCAST))
+
+
 def cut(df: DataFrame, spread: bool = False) -> DataFrame:
     """The same rows from a table in spark.checkpoint.dir, which goes when the driver's file systems close.
 
@@ -22,6 +33,7 @@ def cut(df: DataFrame, spread: bool = False) -> DataFrame:
     whose bytes say little about it. Where the setting is unset and driver and executors are one process (tests), a temporary folder; on a cluster it must be set.
     """
     spark = df.sparkSession
+    small_broadcasts(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):

@@ -30,9 +30,16 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+#: Inputs in a task that writes all pairs of a block: few enough for a Parquet dictionary of their ids (1 MB).
+TASK_INPUTS = 50_000
+
+
 def gated(t: Tables) -> DataFrame:
-    """Prepared pairs of the postcode block that pass the number gate."""
-    return blocking.block_pairs(*sides(t), [("in_postcode", "postcode")])
+    """Prepared pairs of the postcode block that pass the number gate. Inputs are dealt by what they meet by, into tasks whose
+    number the planner keeps: inputs of equal pairs follow each other, so that the many pairs take little room."""
+    i, r = sides(t)
+    n = max(2 * t.spark.sparkContext.defaultParallelism, -(-i.count() // TASK_INPUTS))
+    return blocking.block_pairs(i.repartition(n, "in_postcode", "in_number_first"), r, [("in_postcode", "postcode")], branches=blocking.needed(i, r))
 
 
 def sides(t: Tables) -> tuple[DataFrame, DataFrame]:
