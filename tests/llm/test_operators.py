@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -215,6 +216,31 @@ def test_near_duplicate_stage_reaches_similarity(spark, docs, empty, small, monk
     assert simhash.stage(spark, empty, "").count() == 0
 
 
+def test_links_across_a_large_bucket_are_those_of_all_pairs(spark):
+    rng = random.Random(3)
+    texts = []
+    for _ in range(30):  # thirty groups that share a passage, none near the bucket's least
+        own = [f"x{rng.randrange(10**6)}" for _ in range(60)]
+        for _ in range(4):
+            own = list(own)
+            own[rng.randrange(60)] = f"y{rng.randrange(10**6)}"
+            texts.append(" ".join([*[f"p{i}" for i in range(25)], *own]))
+    sets = [minhash.shingles(t) for t in texts]
+    near = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if minhash.similarity(sets[a], sets[b]) >= 0.8]
+
+    def groups(links):
+        root = list(range(len(texts)))
+        for a, b in links:
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+        return root
+
+    assert len(set(groups(near))) <= 40
+    rows = spark.createDataFrame([(1, k, k, t) for k, t in enumerate(texts)], "key long, node long, root long, text string")
+    found = [(r["a"], r["b"]) for r in minhash.across(rows, 5, 0.8).collect()]
+    assert set(map(tuple, map(sorted, found))) <= set(near) and groups(found) == groups(near) and len(found) < len(texts)
+
+
 def test_near_duplicate_stage_keeps_one_row_of_each_group(spark):
     base = [f"w{i}" for i in range(100)]
     near = " ".join([*base[:50], "changed", *base[51:]])
