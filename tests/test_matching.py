@@ -217,3 +217,16 @@ def test_all_pairs_are_made_in_tasks_of_few_inputs(spark, monkeypatch):
     found = queries.gated(queries.Tables(spark, "/root/testdata/sf0.001"))
     assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == found.select("input_id", "address_detail_pid").distinct().count() > 0
+
+
+def test_inputs_are_answered_by_content_and_pairs_kept_narrow(spark, ref, monkeypatch):
+    from waymark.plans import matcher
+
+    written = []
+    monkeypatch.setattr(matcher, "cut", lambda df, spread=False: written.append(df.columns) or df)
+    rows = [(None, 10, "RANGE"), (7, 10, "RANGE"), (7, 10, "NOWHERE"), (8, 10, "RANGE")]
+    inputs = spark.createDataFrame([(*r, "ROAD", "BRISBANE", "QLD", 4000) for r in rows], "input_id int, in_number_first int, in_street_name string, in_street_type string, in_locality string, in_state string, in_postcode int")
+    options = MatchOptions(locality_fallback=False, street_fallback=False)
+    got = [(r.input_id, r.in_street_name, r.address_detail_pid) for r in match_parsed(inputs, ref, options).collect()]
+    assert sorted(got, key=repr) == sorted([(k, s, "RANGE" if s == "RANGE" else None) for k, _, s in rows], key=repr)
+    assert all("i_name" not in columns for columns in written if "total_score" in columns) and any("total_score" in columns for columns in written)

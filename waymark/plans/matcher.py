@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import textnorm
@@ -20,6 +20,8 @@ from waymark.operators.scoring import ADDRESS_COLUMNS, COMPONENTS, PARSED_COLUMN
 from waymark.plans.lineage import cut, small_methods
 
 SCORES = [f"score_{c}" for c in COMPONENTS]
+#: What the cascade keeps of a scored pair.
+FOUND = ["input_id", "address_detail_pid", "source", "match_basis", "total_score", *SCORES, "number_distance"]
 
 
 @dataclass(frozen=True)
@@ -72,9 +74,10 @@ def score_path(pairs: DataFrame, options: MatchOptions, prune: bool = True) -> D
         if prune:
             pairs = pairs.where(scoring.may_reach(options.weights, int(options.min_score)))
     same = scoring.identity() & (F.col("in_postcode") == F.col("postcode"))
-    pairs = scoring.scored(pairs, options.weights).where(F.col("total_score") >= int(options.min_score))
     basis = F.when(F.coalesce(same, F.lit(False)), "exact_components").otherwise("weighted")
-    return pairs.withColumns({"match_basis": basis, "number_distance": scoring.number_distance()})
+    pairs = scoring.scored(pairs, options.weights).withColumns({"match_basis": basis, "number_distance": scoring.number_distance()})
+    # rand() keeps the filter here: as a condition of the join it would compute all scores, which are then computed again
+    return pairs.where(F.when(F.rand(0) < 2, F.col("total_score")) >= int(options.min_score))
 
 
 #: Pairs of names that are always compared block by block; more of them only if they are fewer than the pairs of equal number.
@@ -115,12 +118,16 @@ def score_block(inputs: DataFrame, ref: DataFrame, keys: list[tuple[str, str]],
     return score_path(blocking.block_pairs(inputs.join(names, mine), ref, [*keys, ("_name", "c_name"), ("_locality", "c_locality")], gate, branches), options, prune)
 
 
+def digest() -> Column:
+    """Of a parsed input's content."""
+    return F.unhex(F.sha2(F.to_json(F.struct(*PARSED_COLUMNS)), 256))
+
+
 def distinct_inputs(inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Parsed inputs without repeats, by a digest of their content as input_id, and (_own, _key), the digest of every
     input: equal inputs are matched once."""
     inputs = scoring.with_columns(inputs, scoring.PARSED_SCHEMA).select("input_id", *PARSED_COLUMNS)
-    digest = F.unhex(F.sha2(F.to_json(F.struct(*PARSED_COLUMNS)), 256))
-    return inputs.select(*PARSED_COLUMNS).distinct().withColumn("input_id", digest), inputs.select(F.col("input_id").alias("_own"), digest.alias("_key"))
+    return inputs.select(*PARSED_COLUMNS).distinct().withColumn("input_id", digest()), inputs.select(F.col("input_id").alias("_own"), digest().alias("_key"))
 
 
 def for_all(found: DataFrame, fan: DataFrame) -> DataFrame:
@@ -155,13 +162,13 @@ def cascade(inputs: DataFrame, ref: DataFrame, index: DataFrame, options: MatchO
     some = ref if chosen is None else ref.where(chosen)
     if not options.include_custom:
         some = some.where("source <> 'custom' OR source IS NULL")
-    by_postcode = cut(score_block(inputs.where("in_postcode IS NOT NULL"), some, [("in_postcode", "postcode")], options))
-    by_state = cut(score_block(inputs.where("in_postcode IS NULL AND in_state IS NOT NULL"), some, [("in_state", "state")], options))
+    by_postcode = cut(score_block(inputs.where("in_postcode IS NOT NULL"), some, [("in_postcode", "postcode")], options).select(*FOUND))
+    by_state = cut(score_block(inputs.where("in_postcode IS NULL AND in_state IS NOT NULL"), some, [("in_state", "state")], options).select(*FOUND))
     found = by_postcode.unionByName(by_state)
     if options.locality_fallback:
         exact = found.where("match_basis = 'exact_components'").select("input_id").distinct()
         open_ = inputs.join(exact, "input_id", "left_anti") if options.max_results == 1 else inputs
-        same = cut(postcode_identities(open_.where("in_locality IS NOT NULL"), some, index, options))
+        same = cut(postcode_identities(open_.where("in_locality IS NOT NULL"), some, index, options).select(*FOUND))
         found, seen = found.unionByName(same.where(F.col("total_score") >= int(options.min_score))), same.select("input_id").distinct()
         weak = int(round(0.85 * options.weights["suburb"]))
         reached = best_scores(by_postcode).where((F.col("best") > options.fallback_threshold) | (F.col("best_suburb") >= weak)).select("input_id")
@@ -169,7 +176,7 @@ def cascade(inputs: DataFrame, ref: DataFrame, index: DataFrame, options: MatchO
         left = inputs.join(reached, "input_id", "left_anti").join(by_state_only, "input_id", "left_anti").where("in_locality IS NOT NULL OR in_postcode IS NOT NULL")
         left = cut(left, spread=True)
         alt = cut(localities.alternative_postcodes(left, index))
-        by_locality = cut(score_block(cut(left.join(alt, "input_id"), spread=True), some, [("alt_postcode", "postcode")], options))
+        by_locality = cut(score_block(cut(left.join(alt, "input_id"), spread=True), some, [("alt_postcode", "postcode")], options).select(*FOUND))
         found = found.unionByName(by_locality)
     else:
         by_locality, seen = None, inputs.select("input_id").where(F.lit(False))
@@ -181,11 +188,11 @@ def cascade(inputs: DataFrame, ref: DataFrame, index: DataFrame, options: MatchO
         left = cut(inputs.join(good, "input_id", "left_anti").where("i_name <> ''"), spread=True)
         p = blocking.block_pairs(left.where("in_postcode IS NOT NULL"), some, [("in_postcode", "postcode"), ("i_name", "c_name")], gate=False)
         s = blocking.block_pairs(left.where("in_postcode IS NULL AND in_state IS NOT NULL"), some, [("in_state", "state"), ("i_name", "c_name")], gate=False)
-        found = found.unionByName(cut(score_path(p.unionByName(s), options)))
+        found = found.unionByName(cut(score_path(p.unionByName(s), options).select(*FOUND)))
     if options.street_only and (options.alias_types is None or "street_only" in options.alias_types):
         left = inputs.join(found.select("input_id").distinct(), "input_id", "left_anti").where("in_postcode IS NOT NULL AND i_name <> ''")
         lines = ref.where("alias_type = 'street_only' AND (source IS NULL OR source <> 'custom')")
-        found = found.unionByName(score_block(cut(left), lines, [("in_postcode", "postcode")], options, gate=False))
+        found = found.unionByName(score_block(cut(left), lines, [("in_postcode", "postcode")], options, gate=False).select(*FOUND))
     return ranked(found, options.max_results), seen
 
 
@@ -212,10 +219,7 @@ def match_parsed(inputs: DataFrame, ref: DataFrame, options: MatchOptions | None
     """
     options = options or MatchOptions()
     inputs = scoring.with_columns(inputs, scoring.PARSED_SCHEMA).select("input_id", *PARSED_COLUMNS)
-    signature = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0001")) for c in PARSED_COLUMNS])
-    keyed = inputs.withColumn("_k", F.concat_ws("-", signature, F.sha2(F.to_json(F.struct(*PARSED_COLUMNS)), 256)))
-    fan = keyed.select(F.col("input_id").alias("_own"), F.col("_k").alias("_key"))
-    distinct = keyed.groupBy("_k").agg(*[F.first(c).alias(c) for c in PARSED_COLUMNS]).withColumnRenamed("_k", "input_id")
+    distinct, _ = distinct_inputs(inputs)
     ready = cut(scoring.prepared_inputs(distinct, types), spread=True)
     table = cut(scoring.prepared(ref, types, untyped))
     places = cut(localities.locality_index(ref) if index is None else index)
@@ -224,11 +228,11 @@ def match_parsed(inputs: DataFrame, ref: DataFrame, options: MatchOptions | None
     narrow = ["match_rank", "match_basis", "total_score", *SCORES, "number_distance"]
     wide = table.select(*ADDRESS_COLUMNS, F.coalesce("source", F.lit("")).alias("_source"))
     best = best.select(F.col("input_id").alias("_key"), "address_detail_pid", F.coalesce("source", F.lit("")).alias("_source"), *narrow).join(wide, ["address_detail_pid", "_source"])
-    keep = [*narrow, *ADDRESS_COLUMNS]
-    out = fan.join(best, "_key").select(F.col("_own").alias("input_id"), *keep)
     line = textnorm.standardised(F.col)
-    below = fan.join(seen.select(F.col("input_id").alias("_key")), "_key").select(F.col("_own").alias("input_id"), F.lit(True).alias("_seen"))
-    result = inputs.withColumn("input_standardised", line).join(out, "input_id", "left").join(below, "input_id", "left").withColumn("matched", F.col("address_detail_pid").isNotNull())
+    below = seen.select(F.col("input_id").alias("_key"), F.lit(True).alias("_seen"))
+    # every input meets what was found for its content: one shuffle of the inputs, however many there are of a content
+    result = inputs.withColumn("input_standardised", line).withColumn("_key", digest())
+    result = result.join(best.select("_key", *narrow, *ADDRESS_COLUMNS), "_key", "left").join(below, "_key", "left").drop("_key").withColumn("matched", F.col("address_detail_pid").isNotNull())
     result = result.withColumn("match_status", status()).drop("_seen")
     if options.return_linked:
         result = with_links(result, scoring.with_columns(ref, scoring.ADDRESS_SCHEMA), {"principal": "principal_pid", "primary": "primary_pid"}[options.return_linked])
