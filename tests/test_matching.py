@@ -230,3 +230,33 @@ def test_inputs_are_answered_by_content_and_pairs_kept_narrow(spark, ref, monkey
     got = [(r.input_id, r.in_street_name, r.address_detail_pid) for r in match_parsed(inputs, ref, options).collect()]
     assert sorted(got, key=repr) == sorted([(k, s, "RANGE" if s == "RANGE" else None) for k, _, s in rows], key=repr)
     assert all("i_name" not in columns for columns in written if "total_score" in columns) and any("total_score" in columns for columns in written)
+
+
+def test_ranges_meet_in_one_join(spark):
+    from waymark.plans import queries
+
+    plan = queries.QUERIES["q_match_split_branches"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1 and plan.count("RepartitionByExpression") == 1
+
+
+@pytest.mark.parametrize("name", ["q_score_total", "q_score_custom_weights", "q_score_flat", "q_match_unpruned"])
+def test_pairs_look_their_names_up(spark, name):
+    from waymark.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "_i_street_similarity" in plan
+
+
+def test_what_is_looked_up_equals_what_is_compared(spark, ref, monkeypatch):
+    from waymark.plans import matcher
+    from waymark.plans.lineage import cut
+
+    rows = [(k, 4000, 10, name, kind, flat) for k, (name, kind, flat) in enumerate((n, t, f) for n in ("RANGE", "RNAGE", "OLD", None) for t in ("ROAD", None, "STREET") for f in ("2", None))]
+    i = cut(scoring.prepared_inputs(spark.createDataFrame(rows, "input_id int, in_postcode int, in_number_first int, in_street_name string, in_street_type string, in_flat_number string").withColumn("in_locality", F.lit("BRISBAN"))))
+    r, pairs = cut(scoring.prepared(ref)), lambda a, b: blocking.block_pairs(a, b, [("in_postcode", "postcode")])
+    got = lambda df: sorted(map(tuple, scoring.scored(df).select("input_id", "address_detail_pid", *(f"score_{c}" for c in scoring.COMPONENTS), "total_score").collect()))
+    want = got(scoring.with_similarities(pairs(i, r)))
+    known = matcher.with_known(i, r, pairs)
+    assert {*scoring.KNOWN} <= {*known.columns} and got(scoring.with_gate(known)) == want and len(want) > 50
+    monkeypatch.setattr(matcher, "LOOKED_UP", 3)
+    assert matcher.with_known(i, r, pairs) is None

@@ -1,7 +1,7 @@
 """Candidate pairs by equi-joins: a block key (postcode, state, a resolved postcode) and the house number.
 
-The number gate is an OR of equality and overlap, which no engine turns into hash joins; it is written as disjoint
-branches instead, each an equi-join with at most a small residual.
+The number gate is an OR of equality and overlap, which no engine turns into hash joins; it is written as an equi-join by
+the number at which two ranges meet, and disjoint branches for the rest, each an equi-join with at most a small residual.
 """
 
 from __future__ import annotations
@@ -50,11 +50,12 @@ def needed(inputs: DataFrame, ref: DataFrame) -> dict[str, bool]:
     }
 
 
-def block_pairs(inputs: DataFrame, ref: DataFrame, keys: list[tuple[str, str]], gate: bool = True, branches: dict[str, bool] | None = None) -> DataFrame:
+def block_pairs(inputs: DataFrame, ref: DataFrame, keys: list[tuple[str, str]], gate: bool = True, branches: dict[str, bool] | None = None, tasks: int | None = None) -> DataFrame:
     """Pairs of prepared inputs and candidates with equal keys (input column, candidate column) that pass the gate.
 
     No pair comes twice. Sides are left to the planner: it broadcasts one only below its size threshold, else both are
     shuffled by the keys and skewed partitions are split. ``branches``, of needed(), leaves out those without pairs.
+    ``tasks`` deals the numbered inputs by what they meet by into so many tasks, which the planner keeps.
     """
 
     def join(left: DataFrame, right: DataFrame, more: list[Column], residual: Column | None = None) -> DataFrame:
@@ -66,28 +67,38 @@ def block_pairs(inputs: DataFrame, ref: DataFrame, keys: list[tuple[str, str]],
 
     if not gate:
         return join(inputs, ref, [])
-    col = F.col
+    col, some = F.col, branches or {}
     a, b = col("in_number_first"), F.coalesce(col("in_number_last"), col("in_number_first"))
-    c, d = col("number_first"), col("number_last")
+    c, d = col("number_first"), F.coalesce(col("number_last"), col("number_first"))
     numbered = inputs.where(col("in_number_first").isNotNull())
     bare = inputs.where(col("in_number_first").isNull())
-    ranged, wide = ref.where(d > c), d - c > SPELT
-    spread, broad = numbered.where(col("in_number_last") > a), col("in_number_last") - a > SPELT
-    reached = F.coalesce(d, c) >= a
+    wide, broad = d - c > SPELT, b - a > SPELT
+
+    def each(side: DataFrame, name: str, first: Column, last: Column, spelt: bool) -> DataFrame:
+        """A row for every number of a range that is spelt out, else one for the first."""
+        long = last - first > SPELT
+        return side.withColumn(name, F.explode(F.sequence(first, F.when(long, first).otherwise(F.greatest(first, last)))) if spelt else first)
+
+    def meet() -> DataFrame:
+        # a pair meets where the later of the two ranges begins, and only there
+        left = each(numbered, "_i", a, b, some.get("spread", True))
+        right = each(ref.where(c.isNotNull()), "_c", c, d, some.get("ranged", True))
+        if tasks:
+            left = left.where(" AND ".join(f"{m} IS NOT NULL" for m, _ in keys)).repartition(tasks, *(m for m, _ in keys), "_i")
+        there = (col("_i") == a) & (c == a) | (col("_i") == F.greatest(a, c)) & (c <= b) & (d >= a)
+        return join(left, right, [col("_i") == col("_c")], there).drop("_i", "_c")
+
     made = {
-        "first": lambda: join(numbered, ref, [c == a]),
-        # the input's number lies behind the first of the candidate's range
-        "ranged": lambda: join(numbered, ranged.where(~wide).withColumn("_n", F.explode(F.sequence(c + 1, d))), [col("_n") == a], c <= b).drop("_n"),
-        "wide": lambda: join(numbered, ranged.where(wide), [], (c < a) & (d >= a) & (c <= b)),
-        # the candidate's number lies behind the first of the input's range
-        "spread": lambda: join(spread.where(~broad).withColumn("_n", F.explode(F.sequence(a + 1, col("in_number_last")))), ref, [col("_n") == c], reached).drop("_n"),
-        "broad": lambda: join(spread.where(broad), ref, [], (c > a) & (c <= b) & reached),
+        "meet": meet,
+        # ranges that are not spelt out, behind their first number
+        "wide": lambda: join(numbered, ref.where(wide), [], (c < a) & (d >= a) & (c <= b)),
+        "broad": lambda: join(numbered.where(broad), ref, [], (c > a) & (c <= b) & (d >= a)),
         "token": lambda: join(numbered, ref.where(col("number_first").isNull() & col("c_token_number").isNotNull()), [col("c_token_number") == a]),
         "lot": lambda: join(bare.where("i_lot <> ''"), ref.where("c_lot <> ''"), [col("i_lot") == col("c_lot")]),
         "bare": lambda: join(bare.where("i_lot = ''"), ref, []),
     }
-    some = [make() for k, make in made.items() if branches is None or branches.get(k, True)]
-    out = some[0]
-    for x in some[1:]:
+    parts = [make() for k, make in made.items() if some.get(k, True)]
+    out = parts[0]
+    for x in parts[1:]:
         out = out.unionByName(x)
     return out

@@ -105,7 +105,9 @@ PAIR_COLUMNS = (
 )
 
 
-SIMILARITIES = ("suburb_similarity", "street_similarity")
+#: The names that each similarity compares.
+COMPARED = {"suburb_similarity": ("i_locality", "c_locality"), "street_similarity": ("i_name", "c_name")}
+SIMILARITIES = tuple(COMPARED)
 
 
 def with_gate(pairs: DataFrame) -> DataFrame:
@@ -115,7 +117,7 @@ def with_gate(pairs: DataFrame) -> DataFrame:
 def with_similarities(pairs: DataFrame) -> DataFrame:
     """Adds suburb_similarity, street_similarity and the street gate, where the pairs are made: nothing is shuffled."""
     pairs = pairs.select(*[c for c in PAIR_COLUMNS if c in pairs.columns])
-    return with_gate(with_factors(pairs, {"suburb_similarity": ("i_locality", "c_locality"), "street_similarity": ("i_name", "c_name")}))
+    return with_gate(with_factors(pairs, COMPARED))
 
 
 def postcode_score(w: float, a: Column, b: Column) -> Column:
@@ -168,14 +170,32 @@ def flat_credit(col=F.col) -> Column:
     return F.when(has_unit & has_level, 0.6 * unit + 0.4 * level).when(has_unit, unit).when(has_level, level).otherwise(1.0)
 
 
+#: The credits of a pair that no name decides.
+CREDITS = {"street_type": type_credit, "number": number_credit, "flat": flat_credit}
+
+
+#: What of a pair's comparison is known of few contents of its two sides: the columns of either.
+KNOWN = {
+    **{name: ((a,), (b,)) for name, (a, b) in COMPARED.items()},
+    "credit_street_type": (("i_type", "i_direction"), ("c_type", "c_direction")),
+    "credit_flat": tuple(tuple(f"{side}_{x}" for x in ("flat", "flat_type", "level", "level_type")) for side in "ic"),
+}
+
+
+def compared(pairs: DataFrame, name: str) -> DataFrame:
+    """Adds one of KNOWN."""
+    return with_factors(pairs, {name: COMPARED[name]}) if name in COMPARED else pairs.withColumn(name, CREDITS[name.removeprefix("credit_")]())
+
+
 def scored(pairs: DataFrame, weights: Mapping[str, float] | None = None, gate: bool = True) -> DataFrame:
-    """Adds the six scores and total_score; pairs has the similarities."""
+    """Adds the six scores and total_score; pairs has the similarities, and may have the credits."""
     w = checked_weights(weights)
+    credit = {c: F.col(f"credit_{c}") if f"credit_{c}" in pairs.columns else of() for c, of in CREDITS.items()}
     factor = F.col("street_gate") if gate else F.lit(1.0)
     scores = {
         "score_postcode": postcode_score(w["postcode"], F.col("in_postcode"), F.col("postcode")), "score_suburb": name_score(w["suburb"], F.col("suburb_similarity")),
-        "score_street_name": name_score(w["street_name"], F.col("street_similarity")), "score_street_type": half_even(F.lit(float(w["street_type"])) * type_credit()),
-        "score_number": half_even(F.lit(float(w["number"])) * number_credit() * factor), "score_flat": half_even(F.lit(float(w["flat"])) * flat_credit() * factor),
+        "score_street_name": name_score(w["street_name"], F.col("street_similarity")), "score_street_type": half_even(F.lit(float(w["street_type"])) * credit["street_type"]),
+        "score_number": half_even(F.lit(float(w["number"])) * credit["number"] * factor), "score_flat": half_even(F.lit(float(w["flat"])) * credit["flat"] * factor),
     }
     return pairs.withColumns(scores).withColumn("total_score", sum((F.col(c) for c in scores), F.lit(0)).cast("int"))
 

@@ -7,7 +7,7 @@ not exceed the fallback threshold.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -66,7 +66,7 @@ def score_path(pairs: DataFrame, options: MatchOptions, prune: bool = True) -> D
     """Pairs with scores of at least min_score, their basis and number distance; names that have their similarities are
     not compared again."""
     if set(scoring.SIMILARITIES) <= set(pairs.columns):
-        pairs = scoring.with_gate(pairs.select(*[c for c in (*scoring.PAIR_COLUMNS, *scoring.SIMILARITIES) if c in pairs.columns]))
+        pairs = scoring.with_gate(pairs.select(*[c for c in (*scoring.PAIR_COLUMNS, *scoring.SIMILARITIES, *(f"credit_{x}" for x in scoring.CREDITS)) if c in pairs.columns]))
     else:
         if prune:
             pairs = pairs.where(scoring.may_ever_reach(options.weights, int(options.min_score)))
@@ -75,9 +75,9 @@ def score_path(pairs: DataFrame, options: MatchOptions, prune: bool = True) -> D
             pairs = pairs.where(scoring.may_reach(options.weights, int(options.min_score)))
     same = scoring.identity() & (F.col("in_postcode") == F.col("postcode"))
     basis = F.when(F.coalesce(same, F.lit(False)), "exact_components").otherwise("weighted")
-    pairs = scoring.scored(pairs, options.weights).withColumns({"match_basis": basis, "number_distance": scoring.number_distance()})
     # rand() keeps the filter here: as a condition of the join it would compute all scores, which are then computed again
-    return pairs.where(F.when(F.rand(0) < 2, F.col("total_score")) >= int(options.min_score))
+    pairs = scoring.scored(pairs, options.weights).where(F.when(F.rand(0) < 2, F.col("total_score")) >= int(options.min_score))
+    return pairs.withColumns({"match_basis": basis, "number_distance": scoring.number_distance()})
 
 
 #: Pairs of names that are always compared block by block; more of them only if they are fewer than the pairs of equal number.
@@ -101,16 +101,55 @@ def names_of_blocks(inputs: DataFrame, ref: DataFrame, keys: list[tuple[str, str
     if n > NAMES and n > meets(inputs, ref, [("in_number_first", "number_first")] if gate else []):
         return None
     both = a.alias("x").join(b.alias("y"), on("x", "y"))
-    both = scoring.with_factors(both, {"suburb_similarity": ("i_locality", "c_locality"), "street_similarity": ("i_name", "c_name")})
+    both = scoring.with_factors(both, scoring.COMPARED)
     both = both.select(*dict.fromkeys([*mine, "i_name", "i_locality"]), F.col("c_name").alias("_name"), F.col("c_locality").alias("_locality"), *scoring.SIMILARITIES)
     return cut(both if least is None else scoring.with_gate(both).where(scoring.names_may_reach(weights, least)).drop("street_gate"))
 
 
+#: Pairs of distinct contents that are all compared beforehand and looked up where pairs are made; more are compared there.
+LOOKED_UP = 1 << 18
+
+
+def with_known(inputs: DataFrame, ref: DataFrame, pairs: Callable[[DataFrame, DataFrame], DataFrame], wanted: Sequence[str] = tuple(scoring.KNOWN)) -> DataFrame | None:
+    """pairs(inputs, ref) with the wanted of KNOWN, and nulls for other similarities, without Python on pairs: the contents of a
+    side get numbers, and a pair looks up its two numbers in a table of all pairs of contents, which is sent to all tasks. None
+    where names have more than LOOKED_UP pairs; other contents are then left to be compared with the pair. The sides should be
+    written ones."""
+    tasks, tables = 2 * inputs.sparkSession.sparkContext.defaultParallelism, []
+
+    def numbered(side: DataFrame, contents: DataFrame, columns: Sequence[str], number: str) -> DataFrame:
+        there = contents.select(number, *[F.col(c).alias(f"_{c}") for c in columns])
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns]
+        return side.join(there, same).drop(*[f"_{c}" for c in columns])
+
+    for name in wanted:
+        mine, theirs = scoring.KNOWN[name]
+        a, b = inputs.select(*mine).distinct(), ref.select(*theirs).distinct()
+        k = b.count()
+        if a.count() * k > LOOKED_UP:
+            if name in scoring.COMPARED:
+                return None
+            continue
+        at, to = f"_i_{name}", f"_c_{name}"
+        a, b = (cut(x.withColumn(n, F.row_number().over(Window.orderBy(*c)).cast("long") - 1)) for x, n, c in ((a, at, mine), (b, to, theirs)))
+        key = F.col(at) * k + F.col(to)
+        tables.append((cut(scoring.compared(a.repartition(tasks).crossJoin(b), name).select(key.alias("_key"), name)), key))
+        inputs, ref = numbered(inputs, a, mine, at), numbered(ref, b, theirs, to)
+    out = pairs(inputs, ref)
+    for table, key in tables:
+        out = out.join(F.broadcast(table), key == F.col("_key")).drop("_key")
+    return out.withColumns({name: F.lit(None).cast("double") for name in scoring.SIMILARITIES if name not in wanted})
+
+
 def score_block(inputs: DataFrame, ref: DataFrame, keys: list[tuple[str, str]], options: MatchOptions, gate: bool = True, prune: bool = True) -> DataFrame:
     """score_path of a block's pairs. Names are compared once a block, before pairs are made, and only names that can
-    reach min_score (all, without prune) are joined: the sides, which should be written ones, meet by name as well."""
+    reach min_score (all, without prune) are joined: the sides, which should be written ones, meet by name as well. Without
+    prune what is known of few contents is looked up instead."""
     small_methods(inputs.sparkSession)
     branches = blocking.needed(inputs, ref) if gate else None
+    known = None if prune else with_known(inputs, ref, lambda i, r: blocking.block_pairs(i, r, keys, gate, branches))
+    if known is not None:
+        return score_path(known, options, prune)
     names = names_of_blocks(inputs, ref, keys, gate, int(options.min_score) if prune else None, options.weights)
     if names is None:
         return score_path(blocking.block_pairs(inputs, ref, keys, gate, branches), options, prune)

@@ -11,7 +11,7 @@ from waymark.functions import textnorm
 from waymark.operators import blocking, diagnostics, geo, indexes, localities, scoring
 from waymark.plans import matcher, oracles
 from waymark.plans.fixture import PREFIX, Tables
-from waymark.plans.lineage import cut
+from waymark.plans.lineage import cut, small_methods
 from waymark.plans.oracles import DEFAULTS, RANK, TOTAL, matched, norm, pairs, scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,11 +35,32 @@ TASK_INPUTS = 50_000
 
 
 def gated(t: Tables) -> DataFrame:
-    """Prepared pairs of the postcode block that pass the number gate. Inputs are dealt by what they meet by, into tasks whose
-    number the planner keeps: inputs of equal pairs follow each other, so that the many pairs take little room."""
+    """Prepared pairs of the postcode block that pass the number gate."""
+    return dealt(*sides(t))
+
+
+def dealt(i: DataFrame, r: DataFrame, branches: dict[str, bool] | None = None) -> DataFrame:
+    """Pairs of prepared sides. Inputs are dealt by what they meet by, into tasks whose number the planner keeps: inputs of
+    equal pairs follow each other, so that the many pairs take little room."""
+    n = max(2 * i.sparkSession.sparkContext.defaultParallelism, -(-i.count() // TASK_INPUTS))
+    return blocking.block_pairs(i, r, POSTCODE, branches=branches or blocking.needed(i, r), tasks=n)
+
+
+#: What is looked up for a score; the others read nothing that takes long.
+READ = {
+    "score_suburb": ("suburb_similarity",), "score_street_name": ("street_similarity",), "score_number": ("street_similarity",), "score_flat": ("street_similarity", "credit_flat"),
+    "total_score": tuple(scoring.KNOWN),
+}
+
+
+def all_scores(t: Tables, what: str, weights: dict[str, float] | None = None) -> DataFrame:
+    """One score of every pair that passes the gate."""
     i, r = sides(t)
-    n = max(2 * t.spark.sparkContext.defaultParallelism, -(-i.count() // TASK_INPUTS))
-    return blocking.block_pairs(i.repartition(n, "in_postcode", "in_number_first"), r, [("in_postcode", "postcode")], branches=blocking.needed(i, r))
+    small_methods(t.spark)
+    branches = blocking.needed(i, r)
+    pairs_ = matcher.with_known(i, r, lambda i, r: dealt(i, r, branches), READ[what]) if what in READ else None
+    pairs_ = scoring.with_similarities(dealt(i, r, branches)) if pairs_ is None else scoring.with_gate(pairs_)
+    return scoring.scored(pairs_, weights).select("input_id", "address_detail_pid", F.col(what).alias("score"))
 
 
 def sides(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -159,10 +180,10 @@ def score_sql(what: str, w: dict = DEFAULTS) -> str:
 
 
 for _name in scoring.COMPONENTS:
-    query(f"q_score_{_name}", score_sql(f"score_{_name}"))(lambda t, c=f"score_{_name}": scoring.scored(scoring.with_similarities(gated(t))).select("input_id", "address_detail_pid", F.col(c).alias("score")))
-query("q_score_total", score_sql(TOTAL))(lambda t: scoring.scored(scoring.with_similarities(gated(t))).select("input_id", "address_detail_pid", F.col("total_score").alias("score")))
+    query(f"q_score_{_name}", score_sql(f"score_{_name}"))(lambda t, c=f"score_{_name}": all_scores(t, c))
+query("q_score_total", score_sql(TOTAL))(lambda t: all_scores(t, "total_score"))
 UNEVEN = {"postcode": 12.5, "suburb": 0.0, "street_name": 27.3, "street_type": 10.2, "number": 33.5, "flat": 16.5}
-query("q_score_custom_weights", score_sql(TOTAL, UNEVEN))(lambda t: scoring.scored(scoring.with_similarities(gated(t)), UNEVEN).select("input_id", "address_detail_pid", F.col("total_score").alias("score")))
+query("q_score_custom_weights", score_sql(TOTAL, UNEVEN))(lambda t: all_scores(t, "total_score", UNEVEN))
 
 
 # matching
