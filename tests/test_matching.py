@@ -260,3 +260,22 @@ def test_what_is_looked_up_equals_what_is_compared(spark, ref, monkeypatch):
     assert {*scoring.KNOWN} <= {*known.columns} and got(scoring.with_gate(known)) == want and len(want) > 50
     monkeypatch.setattr(matcher, "LOOKED_UP", 3)
     assert matcher.with_known(i, r, pairs) is None
+
+
+def test_whole_blocks_are_scored_as_matrices(spark, monkeypatch):
+    from waymark.operators import matrices
+    from waymark.plans import matcher
+    from waymark.plans.lineage import cut
+
+    monkeypatch.setattr(matrices, "CHUNK", 4)
+    monkeypatch.setattr(matrices, "AT_ONCE", 5)
+    rows = [(k, 4000 if k % 5 else None, "QLD", ("BRISBANE", "BRISBAN", None)[k % 3], ("RANGE", "RNAGE", "OLD", None)[k % 4], ("ROAD", None)[k % 2], *n, ("2", None)[k % 2]) for k, n in enumerate(((10, None), (10, 14), (12, 10), (5, 400), (300, None), (None, None)) * 6)]
+    i = cut(scoring.prepared_inputs(spark.createDataFrame(rows, "input_id int, in_postcode int, in_state string, in_locality string, in_street_name string, in_street_type string, in_number_first int, in_number_last int, in_flat_number string")))
+    those = [(f"P{k // 2}", k % 2 and "custom" or None, 4000, "QLD", "BRISBANE", ("RANGE", "OLDE", "")[k % 3], ("ROAD", "STREET", None)[k % 3], *n, ("2", "3", None)[k % 3]) for k, n in enumerate(((10, None), (10, 14), (8, 12), (9, 900), (14, None), (None, None)) * 4)]
+    r = cut(scoring.prepared(spark.createDataFrame(those, "address_detail_pid string, source string, postcode int, state string, locality_name string, street_name string, street_type string, number_first int, number_last int, flat_number string")))
+    for weights, least in ((scoring.DEFAULT_WEIGHTS, 0), ({"postcode": 12.5, "suburb": 0.0, "street_name": 27.3, "street_type": 10.2, "number": 33.5, "flat": 16.5}, 40)):
+        options = MatchOptions(min_score=least, weights=weights)
+        got, want = (sorted(map(tuple, df.select(*matcher.FOUND).collect()), key=repr) for df in (matcher.score_block(i, r, [("in_postcode", "postcode")], options, prune=False), matcher.score_path(blocking.block_pairs(i, r, [("in_postcode", "postcode")]), options, prune=False)))
+        assert got == want and len(want) > 100 and any(x[3] == "exact_components" for x in want)
+    assert "MapInArrow" in matcher.score_block(i, r, [("in_postcode", "postcode")], options, prune=False)._jdf.queryExecution().executedPlan().toString()
+    assert matrices.score_all(i, r, [("in_postcode", "postcode")], weights, 40, blocking.needed(i, r), 3) is None

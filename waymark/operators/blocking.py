@@ -50,6 +50,21 @@ def needed(inputs: DataFrame, ref: DataFrame) -> dict[str, bool]:
     }
 
 
+def meeting(inputs: DataFrame, ref: DataFrame, branches: dict[str, bool] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Numbered inputs and candidates by the numbers, _i and _c, at which they can meet: a pair that passes the gate meets where the
+    later of its two ranges begins, and only there."""
+
+    def each(side: DataFrame, name: str, first: Column, last: Column, spelt: bool) -> DataFrame:
+        """A row for every number of a range that is spelt out, else one for the first."""
+        long = last - first > SPELT
+        return side.withColumn(name, F.explode(F.sequence(first, F.when(long, first).otherwise(F.greatest(first, last)))) if spelt else first)
+
+    col, some = F.col, branches or {}
+    a, b = col("in_number_first"), F.coalesce(col("in_number_last"), col("in_number_first"))
+    c, d = col("number_first"), F.coalesce(col("number_last"), col("number_first"))
+    return each(inputs.where(a.isNotNull()), "_i", a, b, some.get("spread", True)), each(ref.where(c.isNotNull()), "_c", c, d, some.get("ranged", True))
+
+
 def block_pairs(inputs: DataFrame, ref: DataFrame, keys: list[tuple[str, str]], gate: bool = True, branches: dict[str, bool] | None = None, tasks: int | None = None) -> DataFrame:
     """Pairs of prepared inputs and candidates with equal keys (input column, candidate column) that pass the gate.
 
@@ -74,15 +89,8 @@ def block_pairs(inputs: DataFrame, ref: DataFrame, keys: list[tuple[str, str]],
     bare = inputs.where(col("in_number_first").isNull())
     wide, broad = d - c > SPELT, b - a > SPELT
 
-    def each(side: DataFrame, name: str, first: Column, last: Column, spelt: bool) -> DataFrame:
-        """A row for every number of a range that is spelt out, else one for the first."""
-        long = last - first > SPELT
-        return side.withColumn(name, F.explode(F.sequence(first, F.when(long, first).otherwise(F.greatest(first, last)))) if spelt else first)
-
     def meet() -> DataFrame:
-        # a pair meets where the later of the two ranges begins, and only there
-        left = each(numbered, "_i", a, b, some.get("spread", True))
-        right = each(ref.where(c.isNotNull()), "_c", c, d, some.get("ranged", True))
+        left, right = meeting(inputs, ref, some)
         if tasks:
             left = left.where(" AND ".join(f"{m} IS NOT NULL" for m, _ in keys)).repartition(tasks, *(m for m, _ in keys), "_i")
         there = (col("_i") == a) & (c == a) | (col("_i") == F.greatest(a, c)) & (c <= b) & (d >= a)

@@ -182,6 +182,13 @@ KNOWN = {
 }
 
 
+#: All that scores, basis and distance read of a pair, as KNOWN.
+CONTENTS = KNOWN | {
+    "number": (("in_number_first", "in_number_last", "i_suffix", "i_lot"), ("number_first", "number_last", "c_suffix", "c_lot")),
+    "place": (("in_postcode", "in_state"), ("postcode", "state")), "building": (("i_building",), ("c_building",)),
+}
+
+
 def compared(pairs: DataFrame, name: str) -> DataFrame:
     """Adds one of KNOWN."""
     return with_factors(pairs, {name: COMPARED[name]}) if name in COMPARED else pairs.withColumn(name, CREDITS[name.removeprefix("credit_")]())
@@ -231,22 +238,33 @@ def may_reach(weights: Mapping[str, float], least: int) -> Column:
     return bound >= least
 
 
-def identity(col=F.col) -> Column:
-    """Whether input and candidate are the same address but for the postcode."""
+def identity_parts(col=F.col) -> dict[str, Column]:
+    """What identity demands, by the contents it is of, as CONTENTS has them; the postcode is not part of it."""
 
     def if_supplied(i: str, c: str) -> Column:
         return (col(i) == "") | (col(i) == col(c))
 
+    def equal(*names: str) -> Column:
+        out = F.lit(True)
+        for x in names:
+            out = out & (col(f"i_{x}") == col(f"c_{x}"))
+        return out
+
     a, b = col("in_number_first"), F.coalesce(col("in_number_last"), col("in_number_first"))
     c, d = col("number_first"), F.coalesce(col("number_last"), col("number_first"))
-    same_number = a.isNotNull() & c.isNotNull() & (a <= b) & (c <= d) & (a == c) & (b == d) & (col("i_suffix") == col("c_suffix"))
-    names = (col("i_name") != "") & (col("i_name") == col("c_name")) & (col("i_locality") != "") & (col("i_locality") == col("c_locality"))
-    state = F.coalesce((textnorm.value(col("in_state")) == "") | (textnorm.value(col("in_state")) == textnorm.value(col("state"))), F.lit(False))
-    rest = if_supplied("i_type", "c_type") & if_supplied("i_lot", "c_lot") & if_supplied("i_building", "c_building")
-    parts = [col(f"i_{x}") == col(f"c_{x}") for x in ("direction", "flat", "flat_type", "level", "level_type")]
-    out = same_number & names & state & rest
-    for p in parts:
-        out = out & p
+    return {
+        "number": a.isNotNull() & c.isNotNull() & (a <= b) & (c <= d) & (a == c) & (b == d) & equal("suffix") & if_supplied("i_lot", "c_lot"),
+        "street_similarity": (col("i_name") != "") & equal("name"), "suburb_similarity": (col("i_locality") != "") & equal("locality"),
+        "place": (textnorm.value(col("in_state")) == "") | (textnorm.value(col("in_state")) == textnorm.value(col("state"))), "building": if_supplied("i_building", "c_building"),
+        "credit_street_type": if_supplied("i_type", "c_type") & equal("direction"), "credit_flat": equal("flat", "flat_type", "level", "level_type"),
+    }
+
+
+def identity(col=F.col) -> Column:
+    """Whether input and candidate are the same address but for the postcode."""
+    out = F.lit(True)
+    for part in identity_parts(col).values():
+        out = out & part
     return F.coalesce(out, F.lit(False))
 
 

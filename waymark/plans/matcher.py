@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import textnorm
 from waymark.functions.vocab import StreetTypes
-from waymark.operators import blocking, localities, scoring
+from waymark.operators import blocking, localities, matrices, scoring
 from waymark.operators.scoring import ADDRESS_COLUMNS, COMPONENTS, PARSED_COLUMNS
 from waymark.plans.lineage import cut, small_methods
 
@@ -144,9 +144,16 @@ def with_known(inputs: DataFrame, ref: DataFrame, pairs: Callable[[DataFrame, Da
 def score_block(inputs: DataFrame, ref: DataFrame, keys: list[tuple[str, str]], options: MatchOptions, gate: bool = True, prune: bool = True) -> DataFrame:
     """score_path of a block's pairs. Names are compared once a block, before pairs are made, and only names that can
     reach min_score (all, without prune) are joined: the sides, which should be written ones, meet by name as well. Without
-    prune what is known of few contents is looked up instead."""
+    prune all pairs are scored, as matrices of few contents where they are, else with what is known of few looked up."""
     small_methods(inputs.sparkSession)
     branches = blocking.needed(inputs, ref) if gate else None
+    whole = matrices.score_all(inputs, ref, keys, options.weights, int(options.min_score), branches, LOOKED_UP) if gate and not prune else None
+    if whole is not None:
+        whole = whole.select(*FOUND)
+        if not any(branches[x] for x in ("wide", "broad", "token", "lot", "bare")):
+            return whole
+        rest = blocking.block_pairs(inputs, ref, keys, gate, {"meet": False} | branches)
+        return whole.unionByName(score_path(rest, options, prune).select(*FOUND))
     known = None if prune else with_known(inputs, ref, lambda i, r: blocking.block_pairs(i, r, keys, gate, branches))
     if known is not None:
         return score_path(known, options, prune)
